@@ -104,7 +104,7 @@ def merged(parts: DataFrame, bits: int, shards: int = 64) -> bytes:
     """The twice-seen filter of all tasks: each shard is merged by one task, so the driver gets bits / 8 bytes."""
     wide = bits // shards
 
-    def merge(key, batches: Iterable[pa.RecordBatch]):
+    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = key[0].as_py() * wide
         once, twice = np.zeros(wide, bool), np.zeros(wide, bool)
         for batch in batches:

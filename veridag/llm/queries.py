@@ -1,6 +1,8 @@
 """Queries of this subpackage, and SQL where it can express them."""
 
+from .lines import OP4_SQL, op4_line_dedup
+from .secrets import op3_secret_scan
 from .tokens import op7_bpe_monoid, op9_packing
 
-QUERIES = {f.__name__: f for f in (op7_bpe_monoid, op9_packing)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_secret_scan, op4_line_dedup, op7_bpe_monoid, op9_packing)}
+ORACLE: dict[str, str] = {"op4_line_dedup": OP4_SQL}
