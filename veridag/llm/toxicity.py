@@ -61,26 +61,31 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 80, rate: float = 0.2, decay: float = 1e-4, least: int = 4) -> tuple[np.ndarray, np.ndarray, float]:
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 80, rate: float = 0.2, decay: float = 1e-4, least: int = 4, apart_by: float = 4.0) -> tuple[np.ndarray, np.ndarray, float]:
     """(features, weights, bias) of a linear classifier that minimises the non-negative positive-unlabelled risk
 
         prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)])
 
     with the logistic loss l, by Adam over all rows. Where the bracket falls below zero, the step climbs it instead.
-    Every third unlabelled row is kept out of the fit; at last the bias is moved so that the prior's share of these rows
-    gets a score of 0.5 or more.
-    Features in fewer than `least` rows are left out. With no positive rows the score is the prior everywhere.
+    Every fourth row of both sides is kept out of the fit; on them the bias is moved to the border of the least estimated
+    error, prior * (1 - 2 * share of positives above) + share of unlabelled above.
+    Features in fewer than `least` rows, or whose shares on the two sides differ by fewer than `apart_by` standard errors,
+    are left out. With no positive rows the score is the prior everywhere.
     """
     prior = min(max(prior, 1e-4), 0.9)
     count = np.bincount(np.concatenate([*positive, *unlabelled, np.zeros(0, np.int32)]).astype(np.int64), minlength=FEATURES)
-    used = np.flatnonzero(count >= least)
+    of = lambda rows: np.bincount(np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int64), minlength=FEATURES) / max(1, len(rows))
+    share = count / max(1, len(positive) + len(unlabelled))
+    spread = np.sqrt(share * (1 - share) * (1 / max(1, len(positive)) + 1 / max(1, len(unlabelled)))) + 1e-12
+    used = np.flatnonzero((count >= least) & (np.abs(of(positive) - of(unlabelled)) > apart_by * spread))
     bias = float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled or not len(used):
         return np.zeros(0, np.int64), np.zeros(0), bias
     column = np.full(FEATURES, -1, np.int64)
     column[used] = np.arange(len(used))
-    aside = unlabelled[::3] if len(unlabelled) > 2 else unlabelled
-    p, u = Rows(positive, column), Rows([r for i, r in enumerate(unlabelled) if i % 3] if len(unlabelled) > 2 else unlabelled, column)
+    apart = lambda rows: (rows[::4], [r for i, r in enumerate(rows) if i % 4]) if len(rows) > 7 else (rows, rows)
+    (aside_p, fit_p), (aside_u, fit_u) = apart(positive), apart(unlabelled)
+    p, u = Rows(fit_p, column), Rows(fit_u, column)
     w, m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     w[-1] = bias
     for step in range(1, steps + 1):
@@ -94,7 +99,12 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
         g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-    return used, w[:-1], -float(np.quantile(Rows(aside, column).times(w[:-1]), 1 - prior))
+    fp, fu = np.sort(Rows(aside_p, column).times(w[:-1])), np.sort(Rows(aside_u, column).times(w[:-1]))
+    borders = np.concatenate([np.unique(np.concatenate([fp, fu])), [max(fp[-1], fu[-1]) + 1]])
+    middle = (borders[1:] + borders[:-1]) / 2
+    above = lambda x: 1 - np.searchsorted(x, middle) / len(x)
+    error = prior * (1 - 2 * above(fp)) + above(fu)
+    return used, w[:-1], -float(middle[np.flatnonzero(error <= error.min() + 1e-12)[-1]])
 
 
 def held_out(doc_id: Column) -> Column:
