@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
@@ -183,7 +184,8 @@ def partners(keys: DataFrame) -> DataFrame:
     return whole.mapInArrow(pick, "page_id long, partner long").where("partner is not null").dropDuplicates(["page_id"])
 
 
-EXTRACTED = "page_id long, url string, host string, path string, texts array<string>, kinds array<int>, hashes array<long>"
+def line_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) >> 1
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -195,28 +197,36 @@ def extract_text(pages: DataFrame) -> DataFrame:
     rows give repeated rows.
     """
 
-    def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in slices(b, "html", 4 << 20)):
-            hosts, paths, texts, kinds, hashes = [], [], [], [], []
+            hosts, paths, hashes = [], [], []
             for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 m = re.match(r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)", url or "")
                 hosts.append(m[1].lower() if m else "")
                 paths.append(m[2] if m else (url or ""))
-                found = blocks(page)
-                texts.append([t for t, _ in found])
-                kinds.append([k for _, k in found])
-                hashes.append([xxhash.xxh3_64_intdigest(t) >> 1 for t, _ in found])
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(texts, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], ["page_id", "url", "host", "path", "texts", "kinds", "hashes"])
-
-    held = stored(pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(parse, EXTRACTED))
-    pairs = stored(partners(held.where("page_id is not null").select("page_id", "host", "path")))
+                hashes.append([line_hash(t) for t, _ in blocks(page)])
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(hashes, pa.list_(pa.int64()))], ["page_id", "host", "path", "hashes"])
+
+    def squeezed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pages as compressed blocks: what is shuffled is smaller than the pages themselves."""
+        for batch in (s for b in batches for s in slices(b, "html", 4 << 20)):
+            found = [blocks(page) for page in batch.column("html").to_pylist()]
+            body = [zlib.compress("\n".join(t for t, _ in f).encode(), 6) for f in found]  # a block has no line end inside
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(body, pa.binary()), pa.array([bytes(k for _, k in f) for f in found], pa.binary())], ["page_id", "url", "body", "kinds"])
+
+    source = pages.select(F.col("page_id").cast("long"), "url", "html")
+    held = stored(source.where("page_id is not null").mapInArrow(lines, "page_id long, host string, path string, hashes array<long>"))
+    pairs = stored(partners(held.select("page_id", "host", "path")))
     other = held.select(F.col("page_id").alias("partner"), F.col("hashes").alias("theirs")).dropDuplicates(["partner"])
     of_partner = pairs.join(other.hint("shuffle_merge"), "partner").select("page_id", "theirs")
-    joined = held.select("page_id", "url", "texts", "kinds", "hashes").join(of_partner.hint("shuffle_hash"), "page_id", "left")
+    joined = source.mapInArrow(squeezed, "page_id long, url string, body binary, kinds binary").join(of_partner.hint("shuffle_hash"), "page_id", "left")
 
     def choose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [main_text(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("texts", "kinds", "hashes", "theirs")), strict=True)]
+            out = []
+            for body, kinds, theirs in zip(*(batch.column(c).to_pylist() for c in ("body", "kinds", "theirs")), strict=True):
+                texts = zlib.decompress(body).decode().split("\n") if kinds else []
+                out.append(main_text(texts, list(kinds), [line_hash(t) for t in texts], theirs))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(choose, "page_id long, url string, text string, n_chars long")
