@@ -20,7 +20,7 @@ from .common import FILTER_BITS, SEEN_ARROW, SEEN_SCHEMA, SeenTwice, forget, in_
 from .shingles import mix
 
 LENGTH = 100
-BUCKET = 2 << 20  # bytes of a bucket, about
+BUCKET = 1 << 18  # bytes of a bucket, about
 HOT = 2000  # distinct segments of one key from which its strings are compared one by one, as hashed rows
 SEPARATOR = b"\xff"  # in no UTF-8 text
 ODD, PLACE = 0x9E3779B97F4A7C15, 28  # multiplier of the rolling hash; bits of a position in a slice
@@ -89,31 +89,36 @@ def shared_prefix_groups(text: np.ndarray, length: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for k in range(8):
         key = (key << np.uint64(8)) | wide[k : k + n]
-    rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
     while True:
-        order = np.argsort(rank, kind="stable")
-        if depth >= length or int(rank.max(initial=0)) == n - 1:
+        order = np.argsort(key, kind="stable")
+        new = np.ones(n, np.int32)
+        new[1:] = key[order[1:]] != key[order[:-1]]
+        place = np.cumsum(new, dtype=np.int32)
+        if depth >= length or place[-1] == n:
             break
-        key = rank * np.uint64(n) + np.roll(rank, -depth % n)
-        rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+        rank = np.empty(n, np.uint64)
+        rank[order] = place
+        key = (rank << np.uint64(32)) | np.roll(rank, -depth % n)
         depth *= 2
     before = text[order - 1]  # the transform
-    by = np.argsort(before, kind="stable")  # by[i] is the row whose rotation, one byte earlier, is row i
-    target = np.empty(n, np.int64)
-    target[by] = np.arange(n)
-    last = np.full(n, -1, np.int64)  # the row before with the same byte
+    by = np.argsort(before, kind="stable").astype(np.int32)  # by[i] is the row whose rotation, one byte earlier, is row i
+    target = np.empty(n, np.int32)
+    target[by] = np.arange(n, dtype=np.int32)
+    last = np.full(n, -1, np.int32)  # the row before with the same byte
     same = before[by[1:]] == before[by[:-1]]
     last[by[1:][same]] = by[:-1][same]
     border = np.zeros(n, bool)
     border[target[last < 0]] = True  # common prefix 0
-    rows = np.flatnonzero(last >= 0)
+    rows = np.flatnonzero(last >= 0).astype(np.int32)
+    last, target = last[rows], target[rows]
     for _ in range(length - 1):
-        count = np.cumsum(border)
-        hit = count[rows] > count[last[rows]]
+        count = np.cumsum(border, dtype=np.int32)
+        hit = count[rows] > count[last]
         if not hit.any():
             break
-        border[target[rows[hit]]] = True
-        rows = rows[~hit]
+        border[target[hit]] = True
+        kept = ~hit
+        rows, last, target = rows[kept], last[kept], target[kept]
     group = np.empty(n, np.int64)
     group[order] = np.cumsum(border)
     return group
@@ -140,7 +145,7 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
     """Ids and distinct texts of slices: of equal texts in a slice, the smallest id's."""
-    for batch in (s for b in batches for s in slices(b, "text", 4 << 20)):
+    for batch in (s for b in batches for s in slices(b, "text", 1 << 20)):
         best: dict[bytes, int] = {}
         for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             if i is not None and len(t) >= 1 and (t not in best or i < best[t]):
