@@ -206,3 +206,13 @@ def claim_groups(lib: Library) -> DataFrame:
 @operator("E18_tests_of_claims", "select dst as claim, string_agg(gid, ',' order by gid) as tests from tb_aim_links where field = 'discriminates' group by dst")
 def tests_of_claims(lib: Library) -> DataFrame:
     return lib.aim_links.where("field = 'discriminates'").groupBy(F.col("dst").alias("claim")).agg(F.array_join(F.array_sort(F.collect_list("gid")), ",").alias("tests"))
+
+
+@operator("B9_programme_label", f"with recursive {FACTS} select s.ck, s.id, case when kind = 'test' and r.node is not null then 'at risk' when kind = 'capability' and a.node is not null then 'aspirational' when kind = 'claim' then m.modality else kind end as label from tb_aim_slices s left join ({RISK}) r on r.node = concat(s.ck, ':', s.id) left join ({ASPIRE}) a on a.node = concat(s.ck, ':', s.id) left join modal m on m.node = concat(s.ck, ':', s.id)")
+def programme_labels(lib: Library) -> DataFrame:
+    from ..functions.refs import aim_label
+
+    risk, dream = tests_at_risk(lib).select("node", F.lit(True).alias("r")), aspirational(lib).withColumn("a", F.lit(True))
+    s = lib.aim_slices.withColumn("node", GID).join(risk, "node", "left").join(dream, "node", "left").join(modalities(lib).select("node", "modality"), "node", "left")
+    no = F.lit(False)
+    return s.select("ck", "id", aim_label(F.col("kind"), F.coalesce("r", no), F.coalesce("a", no), F.col("modality")).alias("label"))

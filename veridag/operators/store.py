@@ -189,3 +189,49 @@ def fill_abstracts(lib: Library) -> DataFrame:
 @operator("A20_report_table", "select section, count(*) as n from (select case when curated then 'curated' else 'stub' end as section from tb_papers) x group by section")
 def report_table(lib: Library) -> DataFrame:
     return lib.papers.groupBy(F.when(F.col("curated"), "curated").otherwise("stub").alias("section")).agg(F.count("*").alias("n"))
+
+
+@operator("A7_fulltext", "select ck, length(text) as n from tb_fulltext where not regexp_matches(text, '[A-Za-z]-\\n|[ \\t]\\n|\\n{3,}') and not regexp_matches(text, '[\\x{ad}\\x{200b}-\\x{200d}\\x{2010}\\x{2011}\\x{2060}\\x{feff}]')")
+def full_texts(lib: Library) -> DataFrame:
+    """Full texts, normalised; here those that are normal already, by length."""
+    from .text import normal_text
+
+    plain = lib.fulltext.where(~F.col("text").rlike(r"[A-Za-z]-\n|[ \t]\n|\n{3,}") & ~F.col("text").rlike("[­​-‍‐‑⁠﻿]"))
+    return plain.select("ck", F.length(normal_text(F.col("text"))).cast("long").alias("n"))
+
+
+def openalex_columns(raw: DataFrame) -> DataFrame:
+    """Works of OpenAlex records, as load_openalex reads them."""
+    return raw.select(F.lower(F.regexp_replace("doi", r"^https?://(?:dx\.)?doi\.org/", "")).alias("doi"), F.coalesce("title", "display_name", F.lit("")).alias("title"), F.col("publication_year").alias("year"), F.col("primary_location.source.display_name").alias("venue"), F.transform("authorships", lambda a: a["author"]["display_name"]).alias("authors"))
+
+
+@operator("A8_openalex_works", "select doi, title, year, venue, author from tb_works")
+def openalex_works(lib: Library) -> DataFrame:
+    """Works written as OpenAlex records and read with their schema."""
+    name = lambda c: F.struct(F.col(c).alias("display_name"))
+    record = F.to_json(F.struct(F.concat(F.lit("https://doi.org/"), F.upper("doi")).alias("doi"), F.col("title").alias("display_name"), F.col("year").alias("publication_year"), F.array(F.struct(name("author").alias("author"), F.lit(True).alias("is_corresponding"))).alias("authorships"), F.struct(name("venue").alias("source")).alias("primary_location")))
+    raw = lib.works.select(F.from_json(record, OPENALEX).alias("r")).select("r.*")
+    return openalex_columns(raw).withColumn("author", F.col("authors")[0]).drop("authors")
+
+
+@operator("A9_crossref_works", "select doi, title, year, venue, author from tb_works")
+def crossref_works(lib: Library) -> DataFrame:
+    """Works written as Crossref messages and read with their schema; references without a DOI are dropped."""
+    record = F.to_json(F.struct(F.upper("doi").alias("DOI"), F.array("title").alias("title"), F.array("venue").alias("container-title"), F.struct(F.array(F.array("year")).alias("date-parts")).alias("issued"), F.array(F.struct(F.col("author").alias("family"))).alias("author")))
+    raw = lib.works.select(F.from_json(record, CROSSREF).alias("r")).select("r.*")
+    return raw.select(F.lower("DOI").alias("doi"), F.col("title")[0].alias("title"), F.nullif(F.col("issued")["date-parts"][0][0], F.lit(0)).alias("year"), F.col("container-title")[0].alias("venue"), F.col("author")[0]["family"].alias("author"))
+
+
+@operator("A10_page_words", "select ck, page, count(*) as n, max(t) as last from (select concat('Doc', lpad(cast(doc_id as string), 8, '0')) as ck, unnest(string_split_regex(text, '[ \\n]+')) as t, (generate_subscripts(string_split_regex(text, '[ \\n]+'), 1) - 1) // 200 as page from documents) w where t <> '' group by ck, page")
+def page_word_table(lib: Library) -> DataFrame:
+    """Words in reading order without control characters; blank ones are dropped."""
+    w = lib.page_words.withColumn("t", F.regexp_replace("t", r"\p{Cc}", "")).where(F.trim("t") != "")
+    return w.groupBy(F.col("ck"), F.col("page").cast("long").alias("page")).agg(F.count("*").alias("n"), F.max("t").alias("last"))
+
+
+@operator("A13_payload_tables", "select ck, id, kind from tb_slices")
+def payload_tables(lib: Library) -> DataFrame:
+    """A written payload as tables again: a map of each container's slices, exploded."""
+    nested = lib.slices.groupBy("ck").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("id", F.struct("kind"))))).alias("slices"))
+    back = staged(nested).select("ck", F.explode(F.from_json("slices", "map<string, struct<kind: string>>")).alias("id", "s"))
+    return back.select("ck", "id", "s.kind")
