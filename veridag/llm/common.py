@@ -70,6 +70,11 @@ def pieces(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
 # -- once-seen and twice-seen filters ------------------------------------------------------------
 
 
+def filter_bits(keys: int, each: int = 8, most: int = FILTER_BITS) -> int:
+    """A power of two with `each` bits or more for each of the keys, within bounds."""
+    return max(1 << 16, min(most, 1 << (each * max(1, int(keys)) - 1).bit_length()))
+
+
 class SeenTwice:
     """Positions of one task's keys in two filters: bits set once, and bits set at least twice."""
 

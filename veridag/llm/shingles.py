@@ -8,10 +8,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, SEEN_ARROW, SEEN_SCHEMA, SeenTwice, components, forget, in_filter, merged, slices, stored, table
+from .common import FILTER_BITS, SEEN_ARROW, SEEN_SCHEMA, SeenTwice, components, filter_bits, forget, in_filter, merged, slices, stored, table
 
 ORDERS = 3  # token orders; the first one's prefixes are indexed, the others' must meet too
 HEAVY = 1 << 20  # tokens of the table that ranks frequent ones; more of them only make longer candidate lists
@@ -30,13 +31,11 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the word shingles of each text; none without words, one with fewer words.
 
     A-Z are lower-cased; words are runs of other characters than space and \\t to \\r."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
-    flat, offsets = split.values, split.offsets.to_numpy()
-    real = np.append(0, np.cumsum(pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0))
-    coded = flat.dictionary_encode()
+    split = [(t or b"").lower().split() for t in texts.cast(pa.binary()).to_pylist()]  # both know ASCII alone
+    at = np.cumsum([0, *map(len, split)])
+    coded = pa.array([w for ws in split for w in ws], pa.large_binary()).dictionary_encode()
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    all_words = hashes[coded.indices.to_numpy()][np.diff(real) > 0] if len(flat) else np.zeros(0, np.uint64)
-    at = real[offsets]
+    all_words = hashes[coded.indices.to_numpy()] if at[-1] else np.zeros(0, np.uint64)
     out = []
     if len(all_words) >= words:
         rolled = mix(all_words[: len(all_words) - words + 1], 1)
@@ -151,103 +150,139 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, bits:
     order = spark.sparkContext.broadcast((token[by], top.column("rank").to_numpy()[by].astype(np.uint64)))
     classes = stored(rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep")))
 
-    def seen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rule, known = SeenTwice(bits), Order(*order.value), set()
-        for ids, sets in _sets(batches, words):
-            if len(known) > CHUNK:
-                known = set()
-            for doc, s in zip(ids, sets, strict=True):
-                if len(s) and doc is not None and (sig := signature(s)) not in known:
-                    known.add(sig)
-                    keys = rule.prefix(s, rule.rank(s), prefix_size(len(s), percent), 0)
-                    yield from (pa.RecordBatch.from_pylist([r], SEEN_ARROW) for r in held.add(mix(keys.astype(np.uint64), 3)))
-        yield from (pa.RecordBatch.from_pylist([r], SEEN_ARROW) for r in held.rows())
+    prefix_row = pa.schema([("doc_id", pa.int64()), ("sig", pa.binary()), ("n", pa.int64()), ("keys", pa.binary()), ("others", pa.list_(pa.binary()))])
 
-    twice = spark.sparkContext.broadcast(merged(slim.mapInArrow(seen, SEEN_SCHEMA), bits))
-    candidate = pa.schema([("doc_id", pa.int64()), ("sig", pa.binary()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("others", pa.list_(pa.binary())), ("tokens", pa.binary())])
-
-    def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rule = Order(*order.value)
         for ids, sets in _sets(batches, words):
-            columns: list[list] = [[] for _ in candidate]
+            best: dict[bytes, tuple[int, np.ndarray]] = {}
             for doc, s in zip(ids, sets, strict=True):
-                if not len(s) or doc is None:
-                    continue
+                if len(s) and doc is not None and ((sig := signature(s)) not in best or doc < best[sig][0]):
+                    best[sig] = (doc, s)
+            keys, others = [], []
+            for _, s in best.values():
                 ranks, size = rule.rank(s), prefix_size(len(s), percent)
-                keys = rule.prefix(s, ranks, size, 0)
-                keys = keys[in_filter(mix(keys.astype(np.uint64), 3), twice.value, bits)]
-                if len(keys):
-                    others = [rule.prefix(s, ranks, size, k).tobytes() for k in range(1, ORDERS)]
-                    for column, value in zip(columns, (doc, signature(s), len(s), keys.astype(np.int64), others, s.tobytes()), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, candidate, strict=True)], schema=candidate)
-
-    held = stored(slim.mapInArrow(candidates, "doc_id long, sig binary, n long, keys array<long>, others array<binary>, tokens binary"))
+                first, *rest = (rule.prefix(s, ranks, size, k).tobytes() for k in range(ORDERS))
+                keys.append(first)
+                others.append(rest)
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in best.values()], pa.int64()), pa.array(list(best), pa.binary()), pa.array([len(s) for _, s in best.values()], pa.int64()), pa.array(keys, pa.binary()), pa.array(others, pa.list_(pa.binary()))], schema=prefix_row)
+
     leads = classes.select("sig", F.col("rep").alias("doc_id"))
-    index = stored(held.select("doc_id", "sig", "n", "keys").join(leads.hint("shuffle_merge"), ["sig", "doc_id"]).dropDuplicates(["doc_id", "sig"]).select("doc_id", "n", F.size("keys").alias("shared"), F.explode("keys").alias("key")))
+    most = bits
+    prefix = stored(slim.mapInArrow(prefixes, "doc_id long, sig binary, n long, keys binary, others array<binary>").join(leads.hint("shuffle_hash"), ["sig", "doc_id"]).dropDuplicates(["sig", "doc_id"]).select("doc_id", "n", "keys", "others"))
+
+    order.destroy()
+    bits = filter_bits(prefix.agg(F.sum(F.length("keys")) / 4).first()[0] or 0, 8, most)
+
+    def seen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = SeenTwice(bits)
+        for batch in batches:
+            keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.uint32)
+            yield from (pa.RecordBatch.from_pylist([r], SEEN_ARROW) for r in held.add(mix(keys.astype(np.uint64), 3)))
+        yield from (pa.RecordBatch.from_pylist([r], SEEN_ARROW) for r in held.rows())
+
+    twice = spark.sparkContext.broadcast(merged(prefix.select("keys").mapInArrow(seen, SEEN_SCHEMA), bits))
+    index_row = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("key", pa.int64())])
+
+    def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column("keys").to_pylist()
+            keys = np.frombuffer(b"".join(raw), np.uint32)
+            row = np.repeat(np.arange(batch.num_rows), [len(r) // 4 for r in raw])
+            hit = in_filter(mix(keys.astype(np.uint64), 3), twice.value, bits)
+            keys, row = keys[hit], row[hit]
+            shared = np.bincount(row, minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("doc_id").to_numpy()[row]), pa.array(batch.column("n").to_numpy()[row]), pa.array(shared[row]), pa.array(keys.astype(np.int64))], schema=index_row)
+
+    loose = stored(prefix.select("doc_id", "n", "keys").mapInArrow(rows_of, "doc_id long, n long, shared long, key long"))
+    twice.destroy()
+    common = loose.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    index = stored(loose.join(stored(common).hint("shuffle_merge"), "key"))
+    forget(loose)
+    token_row = pa.schema([("doc_id", pa.int64()), ("sig", pa.binary()), ("tokens", pa.binary())])
     verified = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        """(a, b, linked) of pairs(a, b): prefixes in the other orders must meet, then the sets are compared."""
-        wanted = spark.sparkContext.broadcast(member_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")), bits))
+    def only(held: DataFrame, pairs: DataFrame) -> tuple[DataFrame, Broadcast]:
+        """Rows of held(doc_id, ...) that pairs(a, b) can name: others are dropped before they are shuffled."""
+        size = filter_bits(2 * pairs.count(), 32, most)
+        wanted = spark.sparkContext.broadcast(member_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")), size))
 
         def needed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                hit = in_filter(mix(batch.column("doc_id").to_numpy().astype(np.uint64), 5), wanted.value, bits)
-                yield batch.filter(pa.array(hit))
+                ids = pc.fill_null(batch.column("doc_id"), -1).to_numpy()
+                yield batch.take(pa.array(np.flatnonzero(in_filter(mix(ids.astype(np.uint64), 5), wanted.value, size))))
 
-        some = held.select("doc_id", "sig", "others", "tokens").mapInArrow(needed, "doc_id long, sig binary, others array<binary>, tokens binary")
-        one = some.join(leads.hint("shuffle_merge"), ["sig", "doc_id"]).dropDuplicates(["doc_id"]).drop("sig")
-        one = stored(one)
-        left = one.select(F.col("doc_id").alias("a"), F.col("others").alias("others_a"), F.col("tokens").alias("tokens_a"))
-        right = one.select(F.col("doc_id").alias("b"), F.col("others").alias("others_b"), F.col("tokens").alias("tokens_b"))
+        return held.mapInArrow(needed, held.schema), wanted
 
-        def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                linked = []
-                for oa, ta, ob, tb in zip(*(batch.column(c).to_pylist() for c in ("others_a", "tokens_a", "others_b", "tokens_b")), strict=True):
-                    fine = all(len(np.intersect1d(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), assume_unique=True)) for x, y in zip(oa, ob, strict=True))
-                    if fine:
-                        x, y = np.frombuffer(ta, np.uint64), np.frombuffer(tb, np.uint64)
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        fine = 100 * both >= percent * (len(x) + len(y) - both)
-                    linked.append(fine)
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked)], schema=verified)
-
-        out = stored(pairs.join(left.hint("shuffle_merge"), "a").join(right.hint("shuffle_merge"), "b").mapInArrow(compare, "a long, b long, linked boolean"))
-        forget(one)
+    def with_both(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+        side = lambda x: rows.select(F.col("doc_id").alias(x), F.col(column).alias(f"of_{x}"))
+        return pairs.select("a", "b").join(side("a").hint("shuffle_merge"), "a").join(side("b").hint("shuffle_merge"), "b")
+
+    def meeting(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fine = [all(len(np.intersect1d(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), assume_unique=True)) for x, y in zip(oa, ob, strict=True)) for oa, ob in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
+
+    def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sets in _sets(batches, words):
+            rows = [(d, signature(s), s.tobytes()) for d, s in zip(ids, sets, strict=True) if len(s) and d is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(token_row)], schema=token_row)
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for ta, tb in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist(), strict=True):
+                x, y = np.frombuffer(ta, np.uint64), np.frombuffer(tb, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                linked.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], schema=verified)
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        """Linked (a, b) of pairs(a, b): prefixes in the other orders must meet, then the sets are compared."""
+        some, sent = only(prefix.select("doc_id", "others"), pairs)
+        met = stored(with_both(pairs, some, "others").mapInArrow(meeting, "a long, b long"))
+        sent.destroy()
+        some, sent = only(slim, met)
+        some = some.mapInArrow(tokens, "doc_id long, sig binary, tokens binary")
+        sets = stored(some.join(leads.hint("shuffle_hash"), ["sig", "doc_id"]).dropDuplicates(["doc_id"]).select("doc_id", "tokens"))
+        sent.destroy()
+        out = stored(with_both(met, sets, "tokens").mapInArrow(compare, "a long, b long, linked boolean").where("linked").select("a", "b"))
+        forget(sets)
+        forget(met)
         return out
 
     near = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     pair = [F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")]
-    tested = None
+    tested = links = None
     for turn in range(3):
         if tested is None:
             live = index.withColumn("c", F.col("doc_id"))
         else:
-            lead = stored(components(tested.where("linked").select("a", "b")))
+            lead = stored(components(links))
             live = stored(index.join(lead.select(F.col("id").alias("doc_id"), "component").hint("shuffle_merge"), "doc_id", "left").select("doc_id", "n", "shared", "key", F.coalesce("component", "doc_id").alias("c")))
-        most = live.groupBy("key").agg(F.max("c").alias("high"), F.min("c").alias("low"), F.min(F.struct((-F.col("shared")).alias("s"), "doc_id", "n", "c")).alias("lead")).where("high > low")
+        ends = live.groupBy("key").agg(F.max("c").alias("high"), F.min("c").alias("low"), F.min(F.struct((-F.col("shared")).alias("s"), "doc_id", "n", "c")).alias("lead")).where("high > low")
         if turn == 0:
-            met = live.join(most.select("key", F.col("lead.doc_id").alias("other"), F.col("lead.n").alias("m")).hint("shuffle_merge"), "key").where(near & (F.col("doc_id") != F.col("other")))
+            met = live.join(ends.select("key", F.col("lead.doc_id").alias("other"), F.col("lead.n").alias("m")).hint("shuffle_merge"), "key").where(near & (F.col("doc_id") != F.col("other")))
             votes = met.groupBy("doc_id", "other").agg(F.count("*").alias("k")).groupBy("doc_id").agg(F.max(F.struct("k", (-F.col("other")).alias("o"))).alias("best"))
             pairs = votes.select("doc_id", (-F.col("best.o")).alias("other"))
         elif turn == 1:
-            apart = live.join(most.select("key", F.col("lead.c").alias("c1"), F.col("lead.doc_id").alias("first"), F.col("lead.n").alias("n1")).hint("shuffle_merge"), "key").where("c <> c1")
+            apart = live.join(ends.select("key", F.col("lead.c").alias("c1"), F.col("lead.doc_id").alias("first"), F.col("lead.n").alias("n1")).hint("shuffle_merge"), "key").where("c <> c1")
             second = apart.groupBy("key").agg(F.min(F.struct((-F.col("shared")).alias("s"), "doc_id", "n", "c")).alias("lead"))
             to_first = apart.select("doc_id", "n", F.col("first").alias("other"), F.col("n1").alias("m"))
             to_second = live.join(second.select("key", F.col("lead.doc_id").alias("other"), F.col("lead.n").alias("m"), F.col("lead.c").alias("c2")).hint("shuffle_merge"), "key").where("c <> c2").select("doc_id", "n", "other", "m")
             pairs = to_first.unionByName(to_second).where(near).select("doc_id", "other")
         else:
-            rest = stored(live.join(most.select("key").hint("shuffle_merge"), "key"))
+            rest = stored(live.join(ends.select("key").hint("shuffle_merge"), "key"))
             twin = rest.select("key", F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("c").alias("c2"))
             pairs = rest.join(twin.hint("shuffle_merge"), "key").where((F.col("c") < F.col("c2")) & near).select("doc_id", "other")
         pairs = pairs.select(*pair).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b").hint("shuffle_merge"), ["a", "b"], "left_anti")
-        new = verify(stored(pairs))
-        tested = new if tested is None else tested.unionByName(new)
-    lead = stored(components(tested.where("linked").select("a", "b")))
+        pairs = stored(pairs)
+        new = verify(pairs)
+        links = new if links is None else links.unionByName(new)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+    lead = stored(components(links))
     of_class = classes.join(lead.select(F.col("id").alias("rep"), "component").hint("shuffle_merge"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
     by_row = rows.select("doc_id", "n", "sig").join(stored(of_class).hint("shuffle_merge"), "sig", "left")
     return by_row.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
