@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, SEEN_ARROW, SEEN_SCHEMA, SeenTwice, forget, in_filter, merged, slices, stored, table, text_bytes
+from .common import FILTER_BITS, SEEN_ARROW, SEEN_SCHEMA, SeenTwice, filter_bits, forget, in_filter, merged, slices, stored, table, text_bytes
 from .shingles import mix
 
 LENGTH = 100
@@ -153,8 +153,8 @@ def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes
         yield list(best.values()), list(best)
 
 
-SEGMENT = "key long, digest binary, doc_id long, start long, size long"
-SEGMENT_ARROW = pa.schema([("key", pa.int64()), ("digest", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int64()), ("size", pa.int64())])
+SEGMENT = "key long, digest long, doc_id long, start long, size long"
+SEGMENT_ARROW = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("size", pa.int64())])
 
 
 def covered(docs: DataFrame, length: int = LENGTH, bits: int = FILTER_BITS) -> DataFrame:
@@ -163,6 +163,9 @@ def covered(docs: DataFrame, length: int = LENGTH, bits: int = FILTER_BITS) -> D
     whole = stored(docs.where("doc_id is not null").select("doc_id", F.sha2("text", 256).alias("hash"), F.length("text").cast("long").alias("size")))
     first_of = stored(whole.where(F.col("size") >= length).groupBy("hash").agg(F.min("doc_id").alias("rep")))
 
+    most = bits
+    bits = filter_bits((whole.agg(F.sum("size")).first()[0] or 0) // (length // 4), 8, most)  # a key each length / 4 bytes
+
     def seen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = SeenTwice(bits)
         for _, texts in _texts(batches):
@@ -176,41 +179,45 @@ def covered(docs: DataFrame, length: int = LENGTH, bits: int = FILTER_BITS) -> D
             text, start, size, key = segments(texts, length)
             hit = np.flatnonzero(in_filter(key, twice.value, bits))
             text, start, size, key = text[hit], start[hit], size[hit], key[hit]
-            digests = [xxhash.xxh3_128_digest(texts[t][a : a + n]) for t, a, n in zip(text.tolist(), start.tolist(), size.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(digests, pa.binary()), pa.array(np.array(ids, np.int64)[text] if len(text) else np.zeros(0, np.int64)), pa.array(start), pa.array(size)], schema=SEGMENT_ARROW)
+            digests = np.fromiter((xxhash.xxh3_64_intdigest(texts[t][a : a + n]) for t, a, n in zip(text.tolist(), start.tolist(), size.tolist(), strict=True)), np.uint64, len(text))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(digests.view(np.int64)), pa.array(np.array(ids, np.int64)[text] if len(text) else np.zeros(0, np.int64)), pa.array(start), pa.array(size)], schema=SEGMENT_ARROW)
 
     # copies of a whole text never hold a first string, so their segments can go
     copies = stored(whole.join(first_of.hint("shuffle_merge"), "hash").where("doc_id <> rep").select("doc_id", "size").distinct())
     found = stored(docs.mapInArrow(suspects, SEGMENT))
     segs = stored(found.join(copies.select("doc_id").hint("shuffle_hash"), "doc_id", "left_anti"))
     forget(found)
+    twice.destroy()
     distinct = stored(segs.groupBy("key", "digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"), F.first("size").alias("size")))
     keys = stored(distinct.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("size").alias("bytes")).where("kinds > 1"))
     again = distinct.where("n > 1").select("key", "digest", "first")
     later = segs.join(again.hint("shuffle_merge"), ["key", "digest"]).where("not (doc_id <=> first.doc_id and start <=> first.start)").select("doc_id", "start", (F.col("start") + F.col("size")).alias("end"))
 
+    wide = filter_bits(keys.count(), 32, most)
+
     def contested_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = SeenTwice(bits)
+        held = SeenTwice(wide)
         for batch in batches:
             k = batch.column("key").to_numpy().view(np.uint64)
             yield from (pa.RecordBatch.from_pylist([r], SEEN_ARROW) for r in held.add(np.concatenate([k, k])))
         yield from (pa.RecordBatch.from_pylist([r], SEEN_ARROW) for r in held.rows())
 
-    open_keys = spark.sparkContext.broadcast(merged(keys.select("key").mapInArrow(contested_keys, SEEN_SCHEMA), bits))
+    open_keys = spark.sparkContext.broadcast(merged(keys.select("key").mapInArrow(contested_keys, SEEN_SCHEMA), wide))
 
     def bodies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _texts(batches):
             text, start, size, key = segments(texts, length)
-            hit = np.flatnonzero(in_filter(key, open_keys.value, bits))
+            hit = np.flatnonzero(in_filter(key, open_keys.value, wide))
             held = {}
             for k, t, a, n in zip(key[hit].view(np.int64).tolist(), text[hit].tolist(), start[hit].tolist(), size[hit].tolist(), strict=True):
                 body = texts[t][a : a + n]
-                held[k, xxhash.xxh3_128_digest(body)] = body
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), pa.array([d for _, d in held], pa.binary()), pa.array(list(held.values()), pa.binary())], ["key", "digest", "body"])
+                held[k, xxhash.xxh3_64_intdigest(body)] = body
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), pa.array(np.array([d for _, d in held], np.uint64).view(np.int64)), pa.array(list(held.values()), pa.binary())], ["key", "digest", "body"])
 
     shared = stored(distinct.join(keys.select("key", "kinds").hint("shuffle_merge"), "key").select("key", "digest", "kinds", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start")))
-    with_body = stored(docs.mapInArrow(bodies, "key long, digest binary, body binary").join(shared.hint("shuffle_merge"), ["key", "digest"]).dropDuplicates(["key", "digest"]))
+    with_body = stored(docs.mapInArrow(bodies, "key long, digest long, body binary").join(shared.hint("shuffle_merge"), ["key", "digest"]).dropDuplicates(["key", "digest"]))
     forget(shared)
+    open_keys.destroy()
     total = with_body.where(F.col("kinds") <= HOT).agg(F.sum(F.length("body"))).first()[0] or 0
     buckets = max(1, round(total / BUCKET))
     out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
