@@ -68,6 +68,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits: i
             yield pa.RecordBatch.from_arrays([pa.array([digest(keys[i]) for i in hit], pa.binary()), pa.array([ids[i] for i in hit], pa.int64())], ["key", "doc_id"])
 
     suspects = stored(slim.mapInArrow(suspect, "key binary, doc_id long"))
+    twice.destroy()
     common = stored(suspects.distinct().groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= min_docs).select("key", "keep"))
     drops = stored(suspects.join(common.hint("shuffle_merge"), "key").where("doc_id <> keep").groupBy("doc_id").agg(F.collect_set("key").alias("__drop")))
     forget(suspects)
