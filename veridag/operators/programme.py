@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.refs import is_programme
@@ -12,8 +12,14 @@ from ..plans.fixpoint import closure, reach
 from ..plans.registry import operator
 from ..sources.testbed import Library
 
-GID = F.concat_ws(":", "ck", "id")
-TEST = F.col("form").isin("local", "sharpened") & F.col("tid").rlike(r"^t\d+$")
+def gid() -> Column:
+    return F.concat_ws(":", "ck", "id")
+
+
+def is_test() -> Column:
+    """A reference to a test, by its local id."""
+    return F.col("form").isin("local", "sharpened") & F.col("tid").rlike(r"^t\d+$")
+
 
 TESTED = "select distinct dst as node from tb_aim_links where field = 'discriminates' union select gid from tb_aim_links where field = 'grounded_in' and tid like 't%'"
 DEPENDS = "select dst as src, gid as dst from tb_aim_links where field = 'grounded_in' union select gid, dst from tb_aim_links where field = 'leads_to'"
@@ -35,7 +41,7 @@ blast(root, node) as (select node, dep.dst from bearing join dep on dep.src = be
 def tested(lib: Library) -> DataFrame:
     """Claims that a test discriminates, or that are grounded in one. A broad slug that starts with t is no test."""
     a = lib.aim_links.where("field = 'discriminates'").select(F.col("dst").alias("node"))
-    return a.union(lib.aim_links.where(F.col("field") == "grounded_in").where(TEST).select("gid")).distinct()
+    return a.union(lib.aim_links.where(F.col("field") == "grounded_in").where(is_test()).select("gid")).distinct()
 
 
 @operator("E2_dependents", DEPENDS)
@@ -46,11 +52,11 @@ def dependents(lib: Library) -> DataFrame:
 
 def local_up(lib: Library, without_tests: bool) -> DataFrame:
     g = lib.aim_links.where("field = 'grounded_in' and form = 'local'")
-    return (g.where(~TEST) if without_tests else g).select(F.col("dst").alias("src"), F.col("gid").alias("dst"))
+    return (g.where(~is_test()) if without_tests else g).select(F.col("dst").alias("src"), F.col("gid").alias("dst"))
 
 
 def nodes_of(lib: Library, kind: str) -> DataFrame:
-    return lib.aim_slices.where(F.col("kind") == kind).select(GID.alias("node"))
+    return lib.aim_slices.where(F.col("kind") == kind).select(gid().alias("node"))
 
 
 @operator("E4_rests_on_test", f"with recursive {FACTS} select r.node from rests r join tb_aim_slices s on concat(s.ck, ':', s.id) = r.node where kind = 'claim'")
@@ -60,7 +66,7 @@ def rests_on_test(lib: Library) -> DataFrame:
 
 def solid(lib: Library) -> DataFrame:
     g = lib.aim_links.where("field = 'grounded_in'")
-    held = g.where("form = 'local'").where(~TEST).select(F.col("gid").alias("node"))
+    held = g.where("form = 'local'").where(~is_test()).select(F.col("gid").alias("node"))
     floors = nodes_of(lib, "method").join(held, "node", "left_anti")
     cited = g.where(F.col("form").isin("container", "sharpened") & ~is_programme(F.col("ref"))).select(F.col("gid").alias("node"))
     return floors.union(cited).distinct()
@@ -74,7 +80,7 @@ def reaches_evidence(lib: Library) -> DataFrame:
 
 def modalities(lib: Library) -> DataFrame:
     a, b = rests_on_test(lib).withColumn("a", F.lit(1)), reaches_evidence(lib).withColumn("b", F.lit(1))
-    claims = lib.aim_slices.where("kind = 'claim'").select("ck", "id", GID.alias("node"))
+    claims = lib.aim_slices.where("kind = 'claim'").select("ck", "id", gid().alias("node"))
     return claims.join(a, "node", "left").join(b, "node", "left").select("ck", "id", "node", F.when(F.col("a").isNotNull(), "proposed").when(F.col("b").isNotNull(), "established").otherwise("speculation").alias("modality"))
 
 
@@ -85,8 +91,8 @@ def modality(lib: Library) -> DataFrame:
 
 @operator("E7_programme_flags", "select concat(ck, ':', id) as node, kind, not exists (select 1 from tb_aim_links l where l.ck = s.ck and l.src = s.id and field = 'grounded_in' and form = 'local' and ref not like 't%') and kind = 'method' as is_floor, exists (select 1 from tb_aim_links l where l.ck = s.ck and l.src = s.id and field = 'grounded_in' and form in ('container', 'sharpened')) as borrowed from tb_aim_slices s")
 def programme_flags(lib: Library) -> DataFrame:
-    g = lib.aim_links.where("field = 'grounded_in'").groupBy(F.col("gid").alias("node")).agg(F.bool_or((F.col("form") == "local") & ~TEST).alias("held"), F.bool_or(F.col("form").isin("container", "sharpened")).alias("borrowed"))
-    s = lib.aim_slices.select(GID.alias("node"), "kind").join(g, "node", "left").na.fill(False)
+    g = lib.aim_links.where("field = 'grounded_in'").groupBy(F.col("gid").alias("node")).agg(F.bool_or((F.col("form") == "local") & ~is_test()).alias("held"), F.bool_or(F.col("form").isin("container", "sharpened")).alias("borrowed"))
+    s = lib.aim_slices.select(gid().alias("node"), "kind").join(g, "node", "left").na.fill(False)
     return s.select("node", "kind", ((F.col("kind") == "method") & ~F.col("held")).alias("is_floor"), "borrowed")
 
 
@@ -117,7 +123,7 @@ select kind, concat(ck, ':', id) as node from tb_aim_slices s where
 @operator("E9_orphans", ORPHANS)
 def orphans(lib: Library) -> DataFrame:
     """Claims without any link, tests that discriminate nothing, capabilities that enable nothing."""
-    s = lib.aim_slices.select("kind", GID.alias("node"))
+    s = lib.aim_slices.select("kind", gid().alias("node"))
     ends = lib.aim_links.select(F.explode(F.array("gid", "dst")).alias("node"))
     tests = lib.aim_links.where("field = 'discriminates'").select(F.col("gid").alias("node"))
     used = lib.aim_links.where("field = 'enabled_by'").select(F.col("dst").alias("node"))
@@ -213,6 +219,6 @@ def programme_labels(lib: Library) -> DataFrame:
     from ..functions.refs import aim_label
 
     risk, dream = tests_at_risk(lib).select("node", F.lit(True).alias("r")), aspirational(lib).withColumn("a", F.lit(True))
-    s = lib.aim_slices.withColumn("node", GID).join(risk, "node", "left").join(dream, "node", "left").join(modalities(lib).select("node", "modality"), "node", "left")
+    s = lib.aim_slices.withColumn("node", gid()).join(risk, "node", "left").join(dream, "node", "left").join(modalities(lib).select("node", "modality"), "node", "left")
     no = F.lit(False)
     return s.select("ck", "id", aim_label(F.col("kind"), F.coalesce("r", no), F.coalesce("a", no), F.col("modality")).alias("label"))

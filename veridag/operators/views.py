@@ -13,12 +13,11 @@ from ..plans.staging import staged
 from ..sources.testbed import Library
 from .graph import answered, landing_order
 
-GID = F.concat_ws(":", "ck", "id")
 BROAD_FIELDS = "field in ('leads_to', 'corroborates', 'contradicts', 'answers')"
 
 
 def ids(lib: Library) -> DataFrame:
-    return lib.slices.select(GID.alias("node"), "ck", "id", "kind", "ln")
+    return lib.slices.select(F.concat_ws(":", "ck", "id").alias("node"), "ck", "id", "kind", "ln")
 
 
 @operator("I1_broad_links", f"select ref as slug, string_agg(distinct ck, ',' order by ck) as papers from tb_links where form = 'broad' and {BROAD_FIELDS} group by ref")
