@@ -17,7 +17,7 @@ from .common import FILTER_BITS, SEEN_ARROW, SEEN_SCHEMA, SeenTwice, components,
 ORDERS = 3  # token orders; the first one's prefixes are indexed, the others' must meet too
 HEAVY = 1 << 20  # tokens of the table that ranks frequent ones; more of them only make longer candidate lists
 LOCAL = 4  # documents of one task from which a token is counted
-CHUNK = 4 << 20  # tokens that a task counts at once
+CHUNK = 2 << 20  # tokens that a task counts at once
 
 
 def mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -85,7 +85,7 @@ class Order:
 
 
 def _sets(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    for batch in (s for b in batches for s in slices(b, "text")):
+    for batch in (s for b in batches for s in slices(b, "text", 2 << 20)):
         yield batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), words)
 
 
@@ -202,17 +202,15 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, bits:
     token_row = pa.schema([("doc_id", pa.int64()), ("sig", pa.binary()), ("tokens", pa.binary())])
     verified = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
 
-    def only(held: DataFrame, pairs: DataFrame) -> tuple[DataFrame, Broadcast]:
-        """Rows of held(doc_id, ...) that pairs(a, b) can name: others are dropped before they are shuffled."""
+    def named(pairs: DataFrame) -> tuple[int, Broadcast]:
+        """A filter of the ids that pairs(a, b) name, with its size: other rows are dropped before they are shuffled."""
         size = filter_bits(2 * pairs.count(), 32, most)
-        wanted = spark.sparkContext.broadcast(member_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")), size))
+        return size, spark.sparkContext.broadcast(member_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")), size))
 
-        def needed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = pc.fill_null(batch.column("doc_id"), -1).to_numpy()
-                yield batch.take(pa.array(np.flatnonzero(in_filter(mix(ids.astype(np.uint64), 5), wanted.value, size))))
-
-        return held.mapInArrow(needed, held.schema), wanted
+    def needed(batches: Iterable[pa.RecordBatch], size: int, wanted: Broadcast) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = pc.fill_null(batch.column("doc_id"), -1).to_numpy()
+            yield batch.take(pa.array(np.flatnonzero(in_filter(mix(ids.astype(np.uint64), 5), wanted.value, size))))
 
     def with_both(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
         side = lambda x: rows.select(F.col("doc_id").alias(x), F.col(column).alias(f"of_{x}"))
@@ -223,11 +221,6 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, bits:
             fine = [all(len(np.intersect1d(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), assume_unique=True)) for x, y in zip(oa, ob, strict=True)) for oa, ob in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
-    def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _sets(batches, words):
-            rows = [(d, signature(s), s.tobytes()) for d, s in zip(ids, sets, strict=True) if len(s) and d is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(token_row)], schema=token_row)
-
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
@@ -239,11 +232,18 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, bits:
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Linked (a, b) of pairs(a, b): prefixes in the other orders must meet, then the sets are compared."""
-        some, sent = only(prefix.select("doc_id", "others"), pairs)
+        size, sent = named(pairs)
+        some = prefix.select("doc_id", "others").mapInArrow(lambda batches: needed(batches, size, sent), "doc_id long, others array<binary>")
         met = stored(with_both(pairs, some, "others").mapInArrow(meeting, "a long, b long"))
         sent.destroy()
-        some, sent = only(slim, met)
-        some = some.mapInArrow(tokens, "doc_id long, sig binary, tokens binary")
+        wide, sent = named(met)
+
+        def tokens(batches: Iterable[pa.RecordBatch], wide: int = wide, sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
+            for ids, sets in _sets(needed(batches, wide, sent), words):
+                rows = [(d, signature(s), s.tobytes()) for d, s in zip(ids, sets, strict=True) if len(s) and d is not None]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(token_row)], schema=token_row)
+
+        some = slim.mapInArrow(tokens, "doc_id long, sig binary, tokens binary")
         sets = stored(some.join(leads.hint("shuffle_hash"), ["sig", "doc_id"]).dropDuplicates(["doc_id"]).select("doc_id", "tokens"))
         sent.destroy()
         out = stored(with_both(met, sets, "tokens").mapInArrow(compare, "a long, b long, linked boolean").where("linked").select("a", "b"))
