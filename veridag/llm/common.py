@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FILTER_BITS = 1 << 28  # 32 MB; beyond its capacity a filter lets more rows through, never fewer
+FILTER_BITS = 1 << 27  # 16 MB; beyond its capacity a filter lets more rows through, never fewer
 
 
 def shared_folder(spark: SparkSession) -> str:

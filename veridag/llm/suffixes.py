@@ -157,7 +157,7 @@ SEGMENT = "key long, digest long, doc_id long, start long, size long"
 SEGMENT_ARROW = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("size", pa.int64())])
 
 
-def covered(docs: DataFrame, length: int = LENGTH, bits: int = FILTER_BITS) -> DataFrame:
+def covered(docs: DataFrame, length: int = LENGTH, bits: int = 2 * FILTER_BITS) -> DataFrame:
     """(doc_id, spans): byte ranges of docs(doc_id, text as binary) covered by strings that also start earlier."""
     spark = docs.sparkSession
     whole = stored(docs.where("doc_id is not null").select("doc_id", F.sha2("text", 256).alias("hash"), F.length("text").cast("long").alias("size")))
@@ -242,7 +242,7 @@ def covered(docs: DataFrame, length: int = LENGTH, bits: int = FILTER_BITS) -> D
     return later.unionByName(inside).unionByName(hot).unionByName(full).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, bits: int = FILTER_BITS) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, bits: int = 2 * FILTER_BITS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) for every row of docs(doc_id, text): each byte covered by a
     string of `length` bytes that also starts earlier (smaller doc_id, or earlier in the document) is removed.
 
