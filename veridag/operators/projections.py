@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import bfs, closure, longest, reach
+from ..plans.fixpoint import bfs, closure, grow, longest, reach
 from ..plans.registry import operator
 from ..plans.staging import staged
 from ..sources.testbed import Library
@@ -268,10 +268,9 @@ cv(node, family) as (select m.src, family from m join fam on fam.node = m.dst wh
 def forward_coverage(lib: Library) -> DataFrame:
     """Slices of each family by one rule alone: what an anchored slice rests on belongs to its families."""
     anchors = staged(model(lib).where("kind = 'cons'").join(families(lib).withColumnRenamed("node", "dst"), "dst").select("family", F.col("src").alias("node")).distinct())
-    down = upward(lib, "'up', 'cite'").select(F.col("dst"), F.col("src")).distinct()
-    rests = closure(anchors.select("node"), down.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    under = anchors.join(rests.select(F.col("root").alias("node"), F.col("node").alias("n")), "node").select("family", F.col("n").alias("node"))
-    return anchors.select("family", "node").union(under).distinct().groupBy("family").agg(F.count("*").alias("n"))
+    rests = upward(lib, "'up', 'cite'").select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()
+    held = grow(anchors, staged(rests), ["family", "node"], lambda j, k: j.select("family", F.col("dst").alias("node")))
+    return held.groupBy("family").agg(F.count("*").alias("n"))
 
 
 @operator("K22_generality_radius", ranks_sql(WALK) + ", g as (select node, d, max(d) over () as gmax from rk) select node, round(0.13 + (1 - d / gmax) * 0.87, 6) as r, d = 0 as halo from g")

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from .staging import staged
 
 
-def _grow(start: DataFrame, edges: DataFrame, keys: list[str], step, rounds: int) -> DataFrame:
+def grow(start: DataFrame, edges: DataFrame, keys: list[str], step, rounds: int = 1000) -> DataFrame:
+    """start with all that step(newest rows joined with edges on node = src, round) adds, a row for each value of keys."""
     new = staged(start)
     known = new
     for k in range(1, rounds + 1):
@@ -25,19 +26,19 @@ def _grow(start: DataFrame, edges: DataFrame, keys: list[str], step, rounds: int
 
 def reach(seeds: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
     """node: seeds(node) and all that edges(src, dst) lead to from there."""
-    return _grow(seeds.select("node").distinct(), edges.select("src", "dst").distinct(), ["node"], lambda j, k: j.select(F.col("dst").alias("node")), rounds)
+    return grow(seeds.select("node").distinct(), edges.select("src", "dst").distinct(), ["node"], lambda j, k: j.select(F.col("dst").alias("node")), rounds)
 
 
 def bfs(seeds: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
     """(node, d): the least number of edges(src, dst) from seeds(node)."""
-    return _grow(seeds.select("node").distinct().withColumn("d", F.lit(0)), edges.select("src", "dst").distinct(), ["node"], lambda j, k: j.select(F.col("dst").alias("node"), F.lit(k).alias("d")), rounds)
+    return grow(seeds.select("node").distinct().withColumn("d", F.lit(0)), edges.select("src", "dst").distinct(), ["node"], lambda j, k: j.select(F.col("dst").alias("node"), F.lit(k).alias("d")), rounds)
 
 
 def closure(roots: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
     """(root, node): what each of roots(node) reaches by one edge or more; itself only on a cycle."""
     edges = edges.select("src", "dst").distinct()
     start = roots.select(F.col("node").alias("root")).distinct().join(edges, F.col("root") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-    return _grow(start, edges, ["root", "node"], lambda j, k: j.select("root", F.col("dst").alias("node")), rounds)
+    return grow(start, edges, ["root", "node"], lambda j, k: j.select("root", F.col("dst").alias("node")), rounds)
 
 
 def longest(nodes: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
