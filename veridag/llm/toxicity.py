@@ -70,7 +70,8 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     Every fourth row of both sides is kept out of the fit; on them the bias is moved to the border of the least estimated
     error, prior * (1 - 2 * share of positives above) + share of unlabelled above.
     Features in fewer than `least` rows, or whose shares on the two sides differ by fewer than `apart_by` standard errors,
-    are left out. With no positive rows the score is the prior everywhere.
+    are left out. With nothing to learn from the score is
+    the prior everywhere, but below one half.
     """
     prior = min(max(prior, 1e-4), 0.9)
     count = np.bincount(np.concatenate([*positive, *unlabelled, np.zeros(0, np.int32)]).astype(np.int64), minlength=FEATURES)
@@ -80,7 +81,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     used = np.flatnonzero((count >= least) & (np.abs(of(positive) - of(unlabelled)) > apart_by * spread))
     bias = float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled or not len(used):
-        return np.zeros(0, np.int64), np.zeros(0), bias
+        return np.zeros(0, np.int64), np.zeros(0), min(bias, -0.1)
     column = np.full(FEATURES, -1, np.int64)
     column[used] = np.arange(len(used))
     apart = lambda rows: (rows[::4], [r for i, r in enumerate(rows) if i % 4]) if len(rows) > 7 else (rows, rows)
