@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import operator
+from ..plans.staging import staged
 from ..sources.testbed import Library
+from .graph import ranks_within
 
 
 def from_inverted_index(works: DataFrame, key: str = "doi") -> DataFrame:
@@ -146,22 +148,48 @@ def base_keys(lib: Library) -> DataFrame:
 
 @operator("M11_disambiguated", f"select doi, concat(base, case when r = 1 then '' else chr(95 + cast(r as int)) end) as ck from (select doi, base, row_number() over (partition by base order by seq) as r from ({BASE}) b) x where r <= 27")
 def disambiguated(lib: Library) -> DataFrame:
-    """Distinct keys: the base, then a to z in the order of coming. Keys that are taken by the same DOI are used again."""
-    r = F.row_number().over(Window.partitionBy("base").orderBy("seq"))
-    b = based(lib).withColumn("r", r).where("r <= 27")
-    return b.select("doi", F.concat("base", F.when(F.col("r") == 1, "").otherwise(F.char(F.col("r") + 95))).alias("ck"))
+    """Distinct keys for all works: the base, then a to z, aa and so on in the order of coming."""
+    return ranks_within(based(lib), "base", [F.col("seq")], "r").select("doi", F.concat("base", suffix(F.col("r") - 1)).alias("ck"))
+
+
+# Fixed value: letters of the longest suffix; more slots than rows can be.
+LETTERS = 10
+
+
+def suffix(slot: Column) -> Column:
+    """The letters of a slot of a base: none for 0, a to z for 1 to 26, then aa, ab and so on."""
+    firsts = [(26 ** (i + 1) - 1) // 25 for i in range(LETTERS)]
+    letters = [F.when(slot >= s, F.char((97 + F.floor((slot - s) / 26**i) % 26).cast("int"))).otherwise("") for i, s in enumerate(firsts)]
+    return F.concat(*reversed(letters))
+
+
+def slot_of(letters: Column) -> Column:
+    """The slot whose suffix() is letters."""
+    return F.aggregate(F.filter(F.split(letters, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda n, c: n * 26 + F.ascii(c) - 96)
 
 
 def free_slots(wanted: DataFrame, taken: DataFrame) -> DataFrame:
-    """(doi, ck): wanted(doi, base, seq) get their key of taken(ck, doi) with the same base and DOI, else the first free
-    slot of the base: the base itself, then a to z."""
-    slot = F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(97), F.lit(122)), lambda i: F.char(i))))
-    slots = wanted.select("base").distinct().select("base", slot.alias("s")).select("base", F.concat("base", "s").alias("ck"))
-    own = slots.join(taken, "ck").select("base", "doi", "ck").where("doi is not null").groupBy("base", "doi").agg(F.min("ck").alias("ck"))
-    again = wanted.join(own, ["base", "doi"]).select("doi", "ck")
-    free = slots.join(taken.select("ck"), "ck", "left_anti").withColumn("r", F.row_number().over(Window.partitionBy("base").orderBy("ck")))
-    new = wanted.join(own, ["base", "doi"], "left_anti").withColumn("r", F.row_number().over(Window.partitionBy("base").orderBy("seq")))
-    return again.unionByName(new.join(free, ["base", "r"]).select("doi", "ck"))
+    """(doi, ck) for every row of wanted(doi, base, seq), each DOI once: its key of taken(ck, doi) with the same base and
+    DOI, else the next free slot of the base in the order of seq: the base itself, then a to z, aa and so on."""
+    wanted = wanted.withColumn("__doi", normal_doi(F.col("doi")))
+    cut = F.explode(F.sequence(F.lit(0), F.least(F.length(F.regexp_extract("ck", "[a-z]*$", 0)), F.lit(LETTERS)))).alias("n")
+    parts = taken.select("ck", normal_doi(F.col("doi")).alias("__doi"), cut).selectExpr("ck", "__doi", "left(ck, length(ck) - n) as base", "right(ck, n) as letters")
+    held = staged(parts.join(wanted.select("base").distinct(), "base").select("base", "__doi", "ck", slot_of(F.col("letters")).alias("slot")))
+    own = held.where("__doi is not null").groupBy("base", "__doi").agg(F.min_by("ck", "slot").alias("ck"))
+    both = staged(wanted.join(own, ["base", "__doi"], "left").select("doi", "base", "seq", "ck"))
+    # the r-th new row stands behind as many taken slots as have at most r free ones before them
+    full = ranks_within(held.select("base", "slot").distinct(), "base", [F.col("slot")], "i").select("base", (F.col("slot") - F.col("i") + 1).alias("at"), F.lit(0).alias("new"), F.lit(None).cast("string").alias("doi"))
+    new = ranks_within(both.where("ck is null").drop("ck"), "base", [F.col("seq")], "r").select("base", (F.col("r") - 1).alias("at"), F.lit(1).alias("new"), "doi")
+    placed = ranks_within(full.unionByName(new), "base", [F.col("at"), F.col("new")], "slot").where("new = 1")
+    return both.where("ck is not null").select("doi", "ck").unionByName(placed.select("doi", F.concat("base", suffix(F.col("slot") - 1)).alias("ck")))
+
+
+@operator("M17_keys_kept")
+def keys_kept(lib: Library) -> DataFrame:
+    """All works once a third of them is in the library: that third keeps its keys, the others get what is free."""
+    b = based(lib)
+    taken = ranks_within(b.where("seq % 3 = 0"), "base", [F.col("seq")], "r").select(F.concat("base", suffix(2 * F.col("r") - 1)).alias("ck"), "doi")
+    return free_slots(b, taken)
 
 
 @operator("M12_venue_token", "select distinct venue, case venue when 'AUTOMOBILE' then 'Auto' when 'BUILDING' then 'Bldg' else concat(upper(venue[1]), lower(substr(venue, 2))) end as token from tb_works")

@@ -199,6 +199,14 @@ def ranks(df: DataFrame, order: list, name: str = "pos") -> DataFrame:
     return held.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__id") - F.col("__low") + 1).drop("__part", "__id", "__low", "__n", "__before")
 
 
+def ranks_within(df: DataFrame, group: str, order: list, name: str = "pos") -> DataFrame:
+    """df with each row's place in its group, from 1: places in the order of all rows, less those before the group, so that
+    no task sees a whole group."""
+    placed = staged(ranks(df, [F.col(group), *order], "__all"))
+    starts = placed.groupBy(group).agg((F.min("__all") - 1).alias("__start"))
+    return placed.join(starts, group).withColumn(name, F.col("__all") - F.col("__start")).drop("__all", "__start")
+
+
 @operator("D8_landing_order", "select ck, row_number() over (order by curated desc, case when curated then coalesce(pass, -1) else 0 end desc, coalesce(year, 0) desc, ck) as pos from tb_papers")
 def landing(lib: Library) -> DataFrame:
     return ranks(lib.papers, landing_order(lib.papers)).select("ck", "pos")
