@@ -121,20 +121,32 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return [*range(low), *reversed(middle), *range(len(a) - high, len(a))]
 
 
-def main_text(texts: list[str], kinds: list[int], hashes: list[int], partner: list[int] | None) -> str:
-    """The blocks of a page that are its text. Lines that the partner shares are deleted, but for lines of an article
-    element: corpora repeat licences and quotations there. Where no line of unmarked blocks is left because the partner
-    is a copy of the page, the shared lines stay."""
-    if MAIN in kinds:
-        return " ".join(t for t, k in zip(texts, kinds, strict=True) if k == MAIN)
+def main_text(texts: list[str], kinds: list[int], hashes: list[int], partner: list[int] | None, other: list[int] | None = None) -> str:
+    """The blocks of a page that are its text. Lines that the partner shares are deleted; lines of an article element only
+    if the host's other neighbour has them too, since corpora repeat licences and quotations there. A neighbour that
+    shares more than half of the article is a copy, and its lines tell nothing. Where no line of unmarked blocks is left
+    on a page without an article because the partner is a copy of the page, the shared lines stay."""
     shared = set(common_lines(hashes, partner)) if partner else set()
-    own = [t for i, (t, k) in enumerate(zip(texts, kinds, strict=True)) if k == PLAIN and i not in shared]
-    return " ".join(own or [t for t, k in zip(texts, kinds, strict=True) if k == PLAIN])
+    if MAIN not in kinds:
+        own = [t for i, (t, k) in enumerate(zip(texts, kinds, strict=True)) if k == PLAIN and i not in shared]
+        return " ".join(own or [t for t, k in zip(texts, kinds, strict=True) if k == PLAIN])
+    seen = set(other or ())
+    common = {i for i in shared if hashes[i] in seen}
+    size = {i: len(t) for i, (t, k) in enumerate(zip(texts, kinds, strict=True)) if k == MAIN}
+
+    def copied(lines: set[int]) -> bool:
+        return 2 * sum(n for i, n in size.items() if i in lines) > sum(size.values())
+
+    if copied(common):
+        common = set()
+    lost = {MAIN: common, PLAIN: common if copied(shared) else shared}
+    return " ".join(t for i, (t, k) in enumerate(zip(texts, kinds, strict=True)) if k != OTHER and i not in lost[k])
 
 
 def partners(keys: DataFrame) -> DataFrame:
-    """(page_id, partner) for keys(page_id, host, path): the neighbour within the host, in the order of paths, whose path
-    shares the longer beginning (the one before, where both share as much). A host's pages may fill many partitions."""
+    """(page_id, partner, other) for keys(page_id, host, path): the neighbour within the host, in the order of paths, whose
+    path shares the longer beginning (the one before, where both share as much), and the neighbour on the other side, for
+    a host's first and last page the one behind the partner. A host's pages may fill many partitions."""
     edge = "part long, n long, page_id long, host string, path string"
 
     def numbered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +173,7 @@ def partners(keys: DataFrame) -> DataFrame:
     def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def best(prior, row, following) -> tuple:
             options = [(share(o[2], row[2]), -k, o[0]) for k, o in enumerate((prior, following)) if o and o[1] == row[1]]
-            return row[0], max(options)[2] if options else None
+            return row[0], *([o[2] for o in sorted(options, reverse=True)] + [None, None])[:2]
 
         prior, row, part = None, None, None
         for batch in batches:
@@ -177,11 +189,14 @@ def partners(keys: DataFrame) -> DataFrame:
                 if n == last[p] - 1:
                     found.append(best(prior, row, after.get(p)))
                     prior, row = None, None
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["page_id", "partner"])
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], ["page_id", "partner", "other"])
 
     # a file of the table holds one partition in order; it is read whole, so that neighbours meet
     whole = order.repartition("part").sortWithinPartitions("part", "n")
-    return whole.mapInArrow(pick, "page_id long, partner long").where("partner is not null").dropDuplicates(["page_id"])
+    near = stored(whole.mapInArrow(pick, "page_id long, partner long, other long").where("partner is not null").dropDuplicates(["page_id"]))
+    behind = near.select(F.col("page_id").alias("partner"), F.array("partner", "other").alias("next"))
+    far = near.where("other is null").select("page_id", "partner").join(behind, "partner").select("page_id", F.get(F.filter("next", lambda p: p != F.col("page_id")), F.lit(0)).alias("far"))
+    return near.join(far, "page_id", "left").select("page_id", "partner", F.coalesce("other", "far").alias("other"))
 
 
 def line_hash(text: str) -> int:
@@ -192,8 +207,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages(page_id, url, html), other columns ignored.
 
     Pages are paired with the page of their host whose URL path is nearest, their lines (blocks) are aligned by longest
-    common subsequence, and shared lines are deleted; elements that say they aren't the article go in any case. A null
-    or empty html gives an empty text; a null url stands for a host of its own; a null page_id has no partner; repeated
+    common subsequence, and shared lines are deleted (see main_text for lines of articles and copies); elements that say
+    they aren't the article go in any case. A null or empty html gives an empty text; a null url stands for a host of its own; a null page_id has no partner; repeated
     rows give repeated rows.
     """
 
@@ -218,15 +233,19 @@ def extract_text(pages: DataFrame) -> DataFrame:
     held = stored(source.where("page_id is not null").mapInArrow(lines, "page_id long, host string, path string, hashes array<long>"))
     pairs = stored(partners(held.select("page_id", "host", "path")))
     other = held.select(F.col("page_id").alias("partner"), F.col("hashes").alias("theirs")).dropDuplicates(["partner"])
-    of_partner = pairs.join(other.hint("shuffle_merge"), "partner").select("page_id", "theirs")
+    both = F.explode(F.array(F.struct(F.lit(True).alias("near"), "partner"), F.struct(F.lit(False).alias("near"), F.col("other").alias("partner")))).alias("n")
+    asked = pairs.select("page_id", both).select("page_id", "n.*").where("partner is not null")
+    of = lambda near: F.any_value(F.when(F.col("near") == near, F.col("theirs")), F.lit(True))
+    of_partner = asked.join(other.hint("shuffle_merge"), "partner").groupBy("page_id").agg(of(True).alias("theirs"), of(False).alias("others"))
+    of_partner = of_partner.select("page_id", "theirs", F.array_intersect("theirs", "others").alias("others"))
     joined = source.mapInArrow(squeezed, "page_id long, url string, body binary, kinds binary").join(of_partner.hint("shuffle_hash"), "page_id", "left")
 
     def choose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for body, kinds, theirs in zip(*(batch.column(c).to_pylist() for c in ("body", "kinds", "theirs")), strict=True):
+            for body, kinds, theirs, others in zip(*(batch.column(c).to_pylist() for c in ("body", "kinds", "theirs", "others")), strict=True):
                 texts = zlib.decompress(body).decode().split("\n") if kinds else []
-                out.append(main_text(texts, list(kinds), [line_hash(t) for t in texts], theirs))
+                out.append(main_text(texts, list(kinds), [line_hash(t) for t in texts], theirs, others))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(choose, "page_id long, url string, text string, n_chars long")
