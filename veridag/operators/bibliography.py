@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.registry import operator
@@ -113,9 +113,9 @@ def enriched_names(lib: Library) -> DataFrame:
 
 def author_roles(authors: DataFrame) -> DataFrame:
     """authors(ck, pos, name, equal, marked) with position (first, co-first, last, middle) and corresponding."""
-    n = F.count("*").over(Window.partitionBy("ck"))
-    first = F.when(F.col("pos") == 0, "first").when(F.col("equal"), "co-first").when(F.col("pos") == n - 1, "last").otherwise("middle")
-    return authors.select("ck", "pos", "name", first.alias("position"), F.coalesce("marked", F.lit(False)).alias("corresponding"))
+    n = authors.groupBy("ck").agg(F.count("*").alias("n"))
+    first = F.when(F.col("pos") == 0, "first").when(F.col("equal"), "co-first").when(F.col("pos") == F.col("n") - 1, "last").otherwise("middle")
+    return authors.join(n, "ck").select("ck", "pos", "name", first.alias("position"), F.coalesce("marked", F.lit(False)).alias("corresponding"))
 
 
 ROLES = "select venue as ck, author as name, row_number() over (partition by venue order by seq) - 1 as pos, count(*) over (partition by venue) as n, seq from tb_works where seq % 100 < 3"
@@ -123,8 +123,9 @@ ROLES = "select venue as ck, author as name, row_number() over (partition by ven
 
 @operator("M9_author_roles", f"select ck, pos, name, case when pos = 0 then 'first' when pos = 1 then 'co-first' when pos = n - 1 then 'last' else 'middle' end as position, seq % 2 = 0 as corresponding from ({ROLES}) x")
 def roles(lib: Library) -> DataFrame:
-    w = lib.works.where("seq % 100 < 3").select(F.col("venue").alias("ck"), (F.row_number().over(Window.partitionBy("venue").orderBy("seq")) - 1).cast("long").alias("pos"), F.col("author").alias("name"), (F.col("seq") % 2 == 0).alias("marked"))
-    return author_roles(w.withColumn("equal", F.col("pos") == 1))
+    """The authors of a venue's works as one byline, in the order of works."""
+    w = ranks_within(lib.works.select(F.col("venue").alias("ck"), "seq", F.col("author").alias("name"), (F.col("seq") % 2 == 0).alias("marked")), "ck", [F.col("seq")])
+    return author_roles(staged(w.withColumn("pos", F.col("pos") - 1).withColumn("equal", F.col("pos") == 1)))
 
 
 def base_key(family: Column, year: Column, venue: Column) -> Column:

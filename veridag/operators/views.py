@@ -11,7 +11,7 @@ from ..plans.fixpoint import closure, longest
 from ..plans.registry import operator
 from ..plans.staging import staged
 from ..sources.testbed import Library
-from .graph import answered, landing_order
+from .graph import answered, landing_order, ranks
 
 BROAD_FIELDS = "field in ('leads_to', 'corroborates', 'contradicts', 'answers')"
 
@@ -199,8 +199,8 @@ def why_shown(lib: Library) -> DataFrame:
 def hoisted(lib: Library) -> DataFrame:
     """Papers whose claims were clicked first (a claim's line here) come first."""
     clicks = lib.slices.where("kind = 'claim'").groupBy("ck").agg(F.min("ln").alias("first_"))
-    p = lib.papers.where("okey % 20 = 0").join(clicks, "ck", "left").na.fill(99, ["first_"])
-    return p.select("ck", F.row_number().over(Window.orderBy("first_", *landing_order(p))).cast("long").alias("pos"))
+    p = lib.papers.join(clicks, "ck", "left").na.fill(99, ["first_"])
+    return ranks(p, [F.col("first_"), *landing_order(p)]).select("ck", "pos")
 
 
 @operator("I19_top_answers", f"with recursive ld as materialized (select * from ({LOCAL}) q where kind = 'gen'), an as materialized (select ck, src as a, ref as q from tb_links where field = 'answers') select ck, a, q from an where not exists (select 1 from an b join ld on ld.ck = b.ck and ld.a = b.a and ld.b = an.a where b.ck = an.ck and b.q = an.q)")
