@@ -193,11 +193,10 @@ def report_table(lib: Library) -> DataFrame:
 
 @operator("A7_fulltext", "select ck, length(text) as n from tb_fulltext where not regexp_matches(text, '[A-Za-z]-\\n|[ \\t]\\n|\\n{3,}') and not regexp_matches(text, '[\\x{ad}\\x{200b}-\\x{200d}\\x{2010}\\x{2011}\\x{2060}\\x{feff}]')")
 def full_texts(lib: Library) -> DataFrame:
-    """Full texts, normalised; here those that are normal already, by length."""
+    """Full texts, normalised, by length."""
     from .text import normal_text
 
-    plain = lib.fulltext.where(~F.col("text").rlike(r"[A-Za-z]-\n|[ \t]\n|\n{3,}") & ~F.col("text").rlike("[­​-‍‐‑⁠﻿]"))
-    return plain.select("ck", F.length(normal_text(F.col("text"))).cast("long").alias("n"))
+    return lib.fulltext.select("ck", F.length(normal_text(F.col("text"))).cast("long").alias("n"))
 
 
 def openalex_columns(raw: DataFrame) -> DataFrame:
