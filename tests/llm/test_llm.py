@@ -118,11 +118,11 @@ def test_op6_pages(spark):
 
 def test_op7_as_tiktoken(spark):
     rng = random.Random(4)
-    bits = ["the ", "a", "  ", " \n", "\n", "\n\n ", "it's", " 123", "!!", "é", "日本", "\t", "🙂", "hello world foo bar"]
-    texts = ["".join(rng.choices(bits, k=rng.randrange(80))) for _ in range(60)] + ODD
+    bits = ["the ", "a", "  ", " \n", "\n", "\n\n ", "it's", " 123", "!!", "é", "日本", "\t", "🙂", "hello world foo bar", "'", "'r", "e", "'l", "l", "\x1c", "\u3000", "d"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(80))) for _ in range(300)] + ODD + ["日本語" * 5000, "y" * 20000, "<|endoftext|>"]
     path = P.path("byte_bpe_multi_50k.tiktoken")
     plain = tokens.encoder_of(path).plain
-    for leaf in (7, 1 << 14):
+    for leaf in (1, 7, 64):
         for r in tokens.bpe_round_trip(docs(spark, texts), path, leaf).collect():
             t = texts[r["doc_id"]] or ""
             ids = plain.encode_ordinary(t)
@@ -157,11 +157,40 @@ def test_op8_components(spark, words, percent):
     assert got == [(i, len(s), union.find(i)) for i, s in enumerate(sets)]
 
 
+def test_op8_large_group_and_common_token(spark):
+    """300 near copies, many of them further from the first than the limit, and words that every document has."""
+    rng = random.Random(16)
+    base, same = [f"word{i}" for i in range(60)], "every document has these very words"
+    edits = [(k, f"new{e}") for k in range(60) for e in range(2)]
+    texts = []
+    for _ in range(300):
+        w = list(base)
+        for k, e in rng.sample(edits, rng.choice([0, 1, 1, 2, 2, 3])):
+            w[k] = e
+        texts.append(" ".join(w) + " " + same)
+    texts += [" ".join(f"own{i}x{rng.randrange(30)}" for _ in range(rng.randrange(1, 40))) + " " + same for i in range(100)] + [same] * 3
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[k : k + 4]) for k in range(len(w) - 3)})
+    union = vectors.Union()
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
+                union.add(i, j)
+    got = sorted(map(tuple, shingles.jaccard_components(docs(spark, texts), bits=1 << 20).collect()))
+    want = [(i, len(s), union.find(i)) for i, s in enumerate(sets)]
+    assert len({c for _, _, c in want[:300]}) > 10 and got == want
+
+
 def test_op9_pieces_cover_all_ids(spark):
-    texts = ["one two three " * 300, *ODD, "日本 text"]
+    from tokenizers import Tokenizer
+
+    texts = ["one two three " * 300, *ODD, "日本 text", "ends<|endoftext|> here " * 9, "<|endoftext|>", "a\x1cb  \n c " * 20]
     a, b = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
     got = sorted(tokens.pack(docs(spark, texts).repartition(3), a, b, length=64).collect(), key=lambda r: (r["sequence_id"], r["offset"]))
-    json = tokens.encoder_of(a, b).json
+    json = Tokenizer.from_file(b)
+    assert 50256 in json.encode(texts[-2], add_special_tokens=False).ids
     at = 0
     for r in got:
         ids = [*json.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, 0]

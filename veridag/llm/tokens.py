@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -16,13 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, slices, stored, table
+from .common import slices, stored, table
 
-LEAF = 1 << 14  # characters of a leaf of the tree
+LEAF = 64  # characters of a leaf of the tree, and ids of one when decoding
+LOOK = 3  # characters from its start that a match of the pattern sees, besides itself and the character behind it
+KEPT = 1 << 18  # matches whose ids a task remembers
 #: Where single spaces don't bound the pattern's matches: white space on both sides, or before it and at the end.
 ODD_SPACE = re.compile(r" (?:(?<=\s )(?:\s|\Z))")
-#: Between these, a space always starts a match: a letter run ends before it, and " x" begins one.
-BOUND = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 #: Characters beyond these ranges are given to the tokenizers library itself.
 PLAIN = re.compile(r"[\x00-ɏ]*\Z")
 EASY = r"^[!-~¡-ɏ]+$"  # such units can be encoded in a row
@@ -45,15 +46,20 @@ class Encoder:
             self.bytes[v] = k
         self.spaced = np.array([k[:1] == b" " for k in self.bytes])
         self.digits = [str(i) for i in range(size)]
-        self.json = None
+        self.json, self.marks = None, None
         if json_path:
             from tokenizers import Tokenizer
 
             self.json = Tokenizer.from_file(json_path)
-            self.json.encode_special_tokens = True
+            added = [re.escape(t.content) for t in self.json.get_added_tokens_decoder().values()]
+            self.marks = re.compile("|".join(added)) if added else None
+
+    def own(self, text: str) -> bool:
+        """Does the text hold an added token's string, which has an id of its own in that library?"""
+        return self.marks is not None and self.marks.search(text) is not None
 
     def one(self, text: str) -> np.ndarray:
-        if self.json is not None and not PLAIN.match(text):
+        if self.json is not None and (self.own(text) or not PLAIN.match(text)):
             return np.array(self.json.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(self.plain.encode_ordinary(text), np.uint32)
 
@@ -77,7 +83,7 @@ class Encoder:
         out: list = [None] * len(texts)
         lines, owner = [], []
         for i, t in enumerate(texts):
-            if len(t) < 64 or ODD_SPACE.search(t):
+            if len(t) < 64 or ODD_SPACE.search(t) or self.own(t):
                 out[i] = self.one(t)
             else:
                 cut = [t] if ODD_LINE.search(t) else t.split("\n")  # a single line end between other characters is a match
@@ -109,72 +115,82 @@ class Encoder:
             out[i] = ids[a:b]
         return out
 
-    def size(self, ids: np.ndarray) -> np.ndarray:
-        return self._sizes[ids]
-
-    @functools.cached_property
-    def _sizes(self) -> np.ndarray:
-        return np.array([len(b) for b in self.bytes], np.int64)
-
-
-class Span:
-    """An element of the monoid: a text with its ids, as if it stood alone."""
-
-    __slots__ = ("text", "ids")
-
-    def __init__(self, text: str, ids: np.ndarray):
-        self.text, self.ids = text, ids
-
-
-def join_spans(encoder: Encoder, a: Span, b: Span, window: int = 64) -> Span:
-    """The span of a.text + b.text. A window around the seam grows until it starts and ends at a space between two
-    letters. There a match starts in any text, whatever surrounds it, so ids left and right of the window stand."""
-    text, seam = a.text + b.text, len(a.text)
-    while True:
-        low, high = max(0, seam - window), min(len(text), seam + window)
-        left = next((m.start() for m in BOUND.finditer(a.text, low) if m.start() < seam - 1), None) if low else 0
-        right = None if high < len(text) else len(text)
-        for m in BOUND.finditer(b.text, 0, high - seam):
-            if m.start() > 0:
-                right = seam + m.start()
-        if left is not None and right is not None:
-            break
-        window *= 2
-    keep_a = np.searchsorted(np.cumsum(encoder.size(a.ids)), len(a.text[:left].encode()), side="left") + 1 if left else 0
-    skip_b = np.searchsorted(np.cumsum(encoder.size(b.ids)), len(b.text[: right - seam].encode()), side="left") + 1 if right < len(text) else len(b.ids)
-    return Span(text, np.concatenate([a.ids[:keep_a], encoder.one(text[left:right]), b.ids[skip_b:]]))
-
 
-def encode_tree(encoder: Encoder, texts: list[str], leaf: int = LEAF) -> list[np.ndarray]:
-    """Ids of each text: halves are encoded recursively down to leaves, all leaves of the batch at once, then joined."""
-    leaves: list[str] = []
-
-    def cut(low: int, high: int, text: str):
-        if high - low <= leaf:
-            leaves.append(text[low:high])
-            return len(leaves) - 1
-        middle = (low + high) // 2
-        return cut(low, middle, text), cut(middle, high, text)
-
-    trees = [cut(0, len(t), t) for t in texts]
-    ids: list = []
-    for x, y in pieces([len(t) for t in leaves], 8 << 20):
-        ids += encoder.many(leaves[x:y])
-
-    def joined(tree) -> Span:
-        if isinstance(tree, int):
-            return Span(leaves[tree], ids[tree])
-        return join_spans(encoder, joined(tree[0]), joined(tree[1]))
-
-    return [ids[t] if isinstance(t, int) else joined(t).ids for t in trees]
+class Monoid:
+    """Spans of text under concatenation. A span is the list of the pattern's matches in it and the list of their ids."""
 
+    def __init__(self, ranks_path: str):
+        import public_tokenizers
+        import regex
+
+        self.encoder = encoder_of(ranks_path)
+        self.matches = regex.compile(public_tokenizers.PATTERN).findall
+        self.kept: dict[str, tuple[int, ...]] = {}
+
+    def ids(self, match: str) -> tuple[int, ...]:
+        if (out := self.kept.get(match)) is None:
+            out = tuple(self.encoder.plain.encode_ordinary(match))
+            if len(match) <= LEAF:
+                if len(self.kept) >= KEPT:
+                    self.kept.clear()
+                self.kept[match] = out
+        return out
 
-def decode_tree(encoder: Encoder, ids: list[int], leaf: int = LEAF) -> bytes:
-    """The bytes of the ids, concatenated up the tree."""
-    if len(ids) > leaf:
-        middle = len(ids) // 2
-        return decode_tree(encoder, ids[:middle], leaf) + decode_tree(encoder, ids[middle:], leaf)
-    return b"".join(map(encoder.bytes.__getitem__, ids))
+    def leaf(self, text: str) -> tuple[list[str], list[tuple[int, ...]]]:
+        found = self.matches(text)
+        return found, list(map(self.ids, found))
+
+    def join(self, a: tuple[list, list], b: tuple[list, list]) -> tuple[list, list]:
+        """The span of both texts. A match depends on the text from its start alone, and sees the character behind it and
+        LOOK characters from its start. So all matches of a stand but those at its end that saw the end of a. From there a
+        window over the seam is matched again; it grows until a match that doesn't see the window's end stops where one of
+        b's begins: from that place on, b's matches and ids are those of the whole."""
+        (left, left_ids), (right, right_ids) = a, b
+        if not left or not right:
+            return b if not left else a
+        k = len(left) - 1
+        n = len(left[k])
+        while k and n + len(left[k - 1]) < LOOK:
+            k -= 1
+            n += len(left[k])
+        tail, m = "".join(left[k:]), 2
+        while True:
+            text = tail + "".join(right[:m])
+            whole, size = m >= len(right), len(text)
+            i, at, end, new = 0, len(tail), 0, []  # b's match i starts at `at`
+            for match in self.matches(text):
+                start, end = end, end + len(match)
+                if not whole and (end >= size or start + LOOK > size):
+                    break
+                new.append(match)
+                while at < end and i < len(right):
+                    at += len(right[i])
+                    i += 1
+                if at == end:
+                    left[k:] = new
+                    left += right[i:]
+                    left_ids[k:] = map(self.ids, new)
+                    left_ids += right_ids[i:]
+                    return left, left_ids
+            m *= 2
+
+    def encode(self, text: str, leaf: int = LEAF) -> list[int]:
+        """Halves are encoded recursively down to leaves, and joined up the tree."""
+
+        def span(low: int, high: int) -> tuple[list, list]:
+            if high - low <= leaf:
+                return self.leaf(text[low:high])
+            middle = (low + high) // 2
+            return self.join(span(low, middle), span(middle, high))
+
+        return list(itertools.chain.from_iterable(span(0, len(text))[1]))
+
+    def decode(self, ids: list[int], leaf: int = LEAF) -> bytes:
+        """The bytes of the ids, concatenated up the tree."""
+        if len(ids) > leaf:
+            middle = len(ids) // 2
+            return self.decode(ids[:middle], leaf) + self.decode(ids[middle:], leaf)
+        return b"".join(map(self.encoder.bytes.__getitem__, ids))
 
 
 @functools.cache
@@ -182,6 +198,11 @@ def encoder_of(ranks_path: str, json_path: str | None = None) -> Encoder:
     return Encoder(ranks_path, json_path)
 
 
+@functools.cache
+def monoid_of(ranks_path: str) -> Monoid:
+    return Monoid(ranks_path)
+
+
 def bpe_round_trip(docs: DataFrame, ranks_path: str, leaf: int = LEAF) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs(doc_id, text), columns beyond these ignored.
 
@@ -190,15 +211,14 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, leaf: int = LEAF) -> DataFr
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(ranks_path)
+        monoid = monoid_of(ranks_path)
         for batch in (s for b in batches for s in slices(b, "text")):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
             n, sha, back = [], [], []
-            for ids in encode_tree(encoder, texts, leaf):
-                ids = ids.tolist()
+            for text in batch.column("text").to_pylist():
+                ids = monoid.encode(text or "", leaf)
                 n.append(len(ids))
-                sha.append(hashlib.sha256(",".join(map(encoder.digits.__getitem__, ids)).encode()).hexdigest())
-                back.append(hashlib.sha256(decode_tree(encoder, ids)).hexdigest())
+                sha.append(hashlib.sha256(",".join(map(monoid.encoder.digits.__getitem__, ids)).encode()).hexdigest())
+                back.append(hashlib.sha256(monoid.decode(ids, leaf)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -216,7 +236,7 @@ def pack(docs: DataFrame, ranks_path: str, json_path: str, length: int = 1024, e
     def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at = encoder_of(ranks_path, json_path), TaskContext.get().partitionId(), 0
         for batch in (s for b in batches for s in slices(b, "text")):
-            ids = [np.append(x, end_id).astype(np.uint16) for x in encode_tree(encoder, [t or "" for t in batch.column("text").to_pylist()])]
+            ids = [np.append(x, end_id).astype(np.uint16) for x in encoder.many([t or "" for t in batch.column("text").to_pylist()])]
             n = np.array([len(x) for x in ids], np.int64)
             low = at + np.cumsum(n) - n
             at += int(n.sum())
