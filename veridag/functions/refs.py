@@ -40,9 +40,10 @@ def slice_label(kind: Column, floor: Column, borrowed: Column, grounded: Column)
     return F.when(kind == "question", "question").when(floor, "floor").when(kind == "method", "model").when(borrowed, "borrowed").when(grounded, "grounded").otherwise("plausible")
 
 
-def aim_label(kind: Column, at_risk: Column, aspirational: Column, modality: Column) -> Column:
-    """A programme's label: a test at risk, an aspirational capability, else the kind or a claim's modality."""
-    return F.when((kind == "test") & at_risk, "at risk").when((kind == "capability") & aspirational, "aspirational").when(kind == "claim", modality).otherwise(kind)
+def aim_label(kind: Column, at_risk: Column, aspirational: Column, floor: Column, modality: Column) -> Column:
+    """A programme's label: a claim's modality, what is amiss with a test or capability, whether a method is a floor."""
+    plain = F.when(kind == "claim", F.coalesce(modality, F.lit("speculation"))).when(kind == "method", F.when(floor, "floor").otherwise("model"))
+    return plain.when((kind == "test") & at_risk, "test-at-risk").when((kind == "capability") & aspirational, "capability-aspirational").otherwise(kind)
 
 
 def work_type(raw: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.refs import ref_form, short_text, slice_label, valid_rects, work_type
 from ..plans.fixpoint import reach
 from ..plans.registry import operator
-from ..plans.staging import staged
+from ..plans.staging import shared, staged
 from ..sources.testbed import Library
 
 FIELDS = ["grounded_in", "leads_to", "corroborates", "contradicts", "answers", "discriminates", "enabled_by"]
@@ -81,11 +81,15 @@ def unquoted_ref_lint(lib: Library) -> DataFrame:
 
 def flags(lib: Library) -> DataFrame:
     """Slices with is_floor, borrowed, grounded and label."""
+    return shared(lib, "flags", lambda: flagged(lib))
+
+
+def flagged(lib: Library) -> DataFrame:
     ground = lib.links.where("field = 'grounded_in'")
     has_local = ground.where("form = 'local'").select("ck", F.col("src").alias("id"), F.lit(True).alias("has_local")).distinct()
     has_far = ground.where("form in ('container', 'sharpened')").select("ck", F.col("src").alias("id"), F.lit(True).alias("borrowed")).distinct()
     s = lib.slices.join(has_local, ["ck", "id"], "left").join(has_far, ["ck", "id"], "left")
-    s = s.withColumn("is_floor", (F.col("kind") == "method") & F.col("has_local").isNull()).withColumn("borrowed", F.coalesce("borrowed", F.lit(False)) & (F.col("kind") == "claim"))
+    s = s.withColumn("is_floor", F.col("axiom") | ((F.col("kind") == "method") & F.col("has_local").isNull())).withColumn("borrowed", F.coalesce("borrowed", F.lit(False)) & (F.col("kind") == "claim"))
     gid = F.concat_ws(":", "ck", "id")
     reached = reach(s.where("is_floor").select(gid.alias("node")), ground.where("form = 'local'").select(F.col("dst").alias("src"), F.col("gid").alias("dst"))).withColumn("reached", F.lit(True))
     s = s.withColumn("node", gid).join(reached, "node", "left").withColumn("grounded", F.coalesce("reached", F.lit(False)) & (F.col("kind") == "claim"))
@@ -136,17 +140,16 @@ def short_texts(lib: Library) -> DataFrame:
     return lib.given("documents").select("doc_id", short_text(F.col("text"), 88).alias("short"))
 
 
-@operator("D1_method_floor", "select ck, id from tb_floor")
+@operator("D1_method_floor", "select f.ck, f.id from tb_floor f join tb_slices s on s.ck = f.ck and s.id = f.id where kind = 'method'")
 def method_floors(lib: Library) -> DataFrame:
     local = lib.links.where("field = 'grounded_in' and form = 'local'").select("ck", F.col("src").alias("id"))
     return lib.slices.where("kind = 'method'").join(local, ["ck", "id"], "left_anti").select("ck", "id")
 
 
-@operator("D2_axiom_floor", "select ck, id from tb_slices where kind = 'claim' and qty = 49")
+@operator("D2_axiom_floor", "select f.ck, f.id from tb_floor f join tb_slices s on s.ck = f.ck and s.id = f.id where kind = 'claim'")
 def axiom_floors(lib: Library) -> DataFrame:
-    """Claims flagged as axioms are floors; here a quantity of 49 is the flag."""
-    flagged = lib.slices.withColumn("floor_flag", F.col("qty") == 49)
-    return flagged.where("kind = 'claim' and floor_flag").select("ck", "id")
+    """Claims flagged as axioms are floors."""
+    return lib.slices.where("kind = 'claim' and axiom").select("ck", "id")
 
 
 @operator("D3_grounded", "select s.ck, s.id from tb_slices s join tb_reach r on r.ck = s.ck and r.id = s.id where kind = 'claim'")

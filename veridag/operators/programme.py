@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.refs import is_programme
+from ..functions.refs import aim_label, is_programme
 from ..plans.fixpoint import closure, reach
 from ..plans.registry import operator
+from ..plans.staging import shared
 from ..sources.testbed import Library
+from .graph import ranks_within
 
 def gid() -> Column:
     return F.concat_ws(":", "ck", "id")
@@ -21,14 +23,18 @@ def is_test() -> Column:
     return F.col("form").isin("local", "sharpened") & F.col("tid").rlike(r"^t\d+$")
 
 
-TESTED = "select distinct dst as node from tb_aim_links where field = 'discriminates' union select gid from tb_aim_links where field = 'grounded_in' and tid like 't%'"
+TESTED = """
+select distinct l.dst as node from tb_aim_links l join tb_aim_slices s on s.ck = l.ck and s.id = l.src where l.field = 'discriminates' and s.kind = 'test'
+union select l.gid from tb_aim_links l join tb_aim_slices s on s.ck = l.ck and s.id = l.src where l.field = 'grounded_in' and l.tid like 't%' and s.kind = 'claim'"""
 DEPENDS = "select dst as src, gid as dst from tb_aim_links where field = 'grounded_in' union select gid, dst from tb_aim_links where field = 'leads_to'"
+AIM_FLOOR = "select concat(ck, ':', id) as node, kind from tb_aim_slices s where axiom or (kind = 'method' and not exists (select 1 from tb_aim_links l where l.ck = s.ck and l.src = s.id and field = 'grounded_in' and form = 'local'))"
 #: What the rules on evidence and tests give, as common tables.
 FACTS = f"""
 tested as materialized ({TESTED}),
-solid as (select concat(ck, ':', id) as node from tb_aim_slices s where kind = 'method' and not exists (select 1 from tb_aim_links l where l.ck = s.ck and l.src = s.id and field = 'grounded_in' and form = 'local' and l.ref not like 't%')
-  union select gid from tb_aim_links where field = 'grounded_in' and form in ('container', 'sharpened') and ref[1] <> '@'),
+aim_floor as materialized ({AIM_FLOOR}),
+solid as (select node from aim_floor union select gid from tb_aim_links where field = 'grounded_in' and form in ('container', 'sharpened') and ref[1] <> '@'),
 evid(node) as (select node from solid where node not in (select concat(ck, ':', id) from tb_aim_slices where kind = 'test') union select l.gid from tb_aim_links l join evid e on l.dst = e.node where l.field = 'grounded_in' and l.form = 'local' and l.ref not like 't%'),
+based(node) as (select node from aim_floor union select l.gid from tb_aim_links l join based e on l.dst = e.node where l.field = 'grounded_in' and l.form = 'local' and l.ref not like 't%'),
 rests(node) as (select concat(ck, ':', id) from tb_aim_slices where kind = 'test' union select node from tested union select l.gid from tb_aim_links l join rests r on l.dst = r.node where l.field = 'grounded_in' and l.form = 'local'),
 modal as materialized (select s.ck, s.id, concat(s.ck, ':', s.id) as node, case when r.node is not null then 'proposed' when e.node is not null then 'established' else 'speculation' end as modality
   from tb_aim_slices s left join rests r on r.node = concat(s.ck, ':', s.id) left join evid e on e.node = concat(s.ck, ':', s.id) where s.kind = 'claim'),
@@ -39,9 +45,10 @@ blast(root, node) as (select node, dep.dst from bearing join dep on dep.src = be
 
 @operator("E1_tested_claims", TESTED)
 def tested(lib: Library) -> DataFrame:
-    """Claims that a test discriminates, or that are grounded in one. A broad slug that starts with t is no test."""
-    a = lib.aim_links.where("field = 'discriminates'").select(F.col("dst").alias("node"))
-    return a.union(lib.aim_links.where(F.col("field") == "grounded_in").where(is_test()).select("gid")).distinct()
+    """What a test discriminates, and claims that are grounded in a test. A broad slug that starts with t is no test."""
+    of = lambda kind: lib.aim_slices.where(F.col("kind") == kind).select(gid().alias("gid"))
+    a = lib.aim_links.where("field = 'discriminates'").join(of("test"), "gid", "left_semi").select(F.col("dst").alias("node"))
+    return a.union(lib.aim_links.where("field = 'grounded_in'").where(is_test()).join(of("claim"), "gid", "left_semi").select("gid")).distinct()
 
 
 @operator("E2_dependents", DEPENDS)
@@ -64,12 +71,16 @@ def rests_on_test(lib: Library) -> DataFrame:
     return reach(nodes_of(lib, "test").union(tested(lib)), local_up(lib, False)).join(nodes_of(lib, "claim"), "node", "left_semi")
 
 
+def aim_floors(lib: Library) -> DataFrame:
+    """(node, kind): methods without local grounds, and axioms."""
+    held = lib.aim_links.where("field = 'grounded_in' and form = 'local'").select(F.col("gid").alias("node"))
+    s = lib.aim_slices.select(gid().alias("node"), "kind", "axiom")
+    return s.where("kind = 'method'").join(held, "node", "left_anti").unionByName(s.where("axiom")).select("node", "kind")
+
+
 def solid(lib: Library) -> DataFrame:
-    g = lib.aim_links.where("field = 'grounded_in'")
-    held = g.where("form = 'local'").where(~is_test()).select(F.col("gid").alias("node"))
-    floors = nodes_of(lib, "method").join(held, "node", "left_anti")
-    cited = g.where(F.col("form").isin("container", "sharpened") & ~is_programme(F.col("ref"))).select(F.col("gid").alias("node"))
-    return floors.union(cited).distinct()
+    cited = lib.aim_links.where("field = 'grounded_in'").where(F.col("form").isin("container", "sharpened") & ~is_programme(F.col("ref"))).select(F.col("gid").alias("node"))
+    return aim_floors(lib).select("node").union(cited).distinct()
 
 
 @operator("E5_reaches_evidence", f"with recursive {FACTS} select distinct e.node from evid e join tb_aim_slices s on concat(s.ck, ':', s.id) = e.node where kind = 'claim'")
@@ -79,6 +90,10 @@ def reaches_evidence(lib: Library) -> DataFrame:
 
 
 def modalities(lib: Library) -> DataFrame:
+    return shared(lib, "modalities", lambda: judged(lib))
+
+
+def judged(lib: Library) -> DataFrame:
     a, b = rests_on_test(lib).withColumn("a", F.lit(1)), reaches_evidence(lib).withColumn("b", F.lit(1))
     claims = lib.aim_slices.where("kind = 'claim'").select("ck", "id", gid().alias("node"))
     return claims.join(a, "node", "left").join(b, "node", "left").select("ck", "id", "node", F.when(F.col("a").isNotNull(), "proposed").when(F.col("b").isNotNull(), "established").otherwise("speculation").alias("modality"))
@@ -89,11 +104,19 @@ def modality(lib: Library) -> DataFrame:
     return modalities(lib).select("ck", "id", "modality")
 
 
-@operator("E7_programme_flags", "select concat(ck, ':', id) as node, kind, not exists (select 1 from tb_aim_links l where l.ck = s.ck and l.src = s.id and field = 'grounded_in' and form = 'local' and ref not like 't%') and kind = 'method' as is_floor, exists (select 1 from tb_aim_links l where l.ck = s.ck and l.src = s.id and field = 'grounded_in' and form in ('container', 'sharpened')) as borrowed from tb_aim_slices s")
+@operator("E7_programme_flags", f"""
+with recursive {FACTS} select concat(s.ck, ':', id) as node, s.kind, f.node is not null as is_floor,
+  s.kind = 'claim' and exists (select 1 from tb_aim_links l where l.ck = s.ck and l.src = s.id and field = 'grounded_in' and form in ('container', 'sharpened')) as borrowed, s.kind = 'claim' and g.node is not null as grounded
+from tb_aim_slices s left join aim_floor f on f.node = concat(s.ck, ':', s.id) left join based g on g.node = concat(s.ck, ':', s.id)""")
 def programme_flags(lib: Library) -> DataFrame:
-    g = lib.aim_links.where("field = 'grounded_in'").groupBy(F.col("gid").alias("node")).agg(F.bool_or((F.col("form") == "local") & ~is_test()).alias("held"), F.bool_or(F.col("form").isin("container", "sharpened")).alias("borrowed"))
-    s = lib.aim_slices.select(gid().alias("node"), "kind").join(g, "node", "left").na.fill(False)
-    return s.select("node", "kind", ((F.col("kind") == "method") & ~F.col("held")).alias("is_floor"), "borrowed")
+    """Floors, borrowed claims, and claims that reach a floor where tests are left out: a planned test is a hollow floor."""
+    yes = F.lit(True)
+    far = lib.aim_links.where("field = 'grounded_in' and form in ('container', 'sharpened')").select(F.col("gid").alias("node"), yes.alias("far")).distinct()
+    floor = aim_floors(lib).select("node", yes.alias("is_floor"))
+    based = reach(floor, local_up(lib, True)).withColumn("based", yes)
+    s = lib.aim_slices.select(gid().alias("node"), "kind").join(floor, "node", "left").join(far, "node", "left").join(based, "node", "left").na.fill(False)
+    claim = F.col("kind") == "claim"
+    return s.select("node", "kind", "is_floor", (claim & F.col("far")).alias("borrowed"), (claim & F.col("based")).alias("grounded"))
 
 
 def bearing(lib: Library) -> DataFrame:
@@ -105,7 +128,7 @@ def bearing(lib: Library) -> DataFrame:
 @operator("E3_blast_radius", f"with recursive {FACTS} select root as node, count(*) as radius from blast group by root")
 def blast_radius(lib: Library) -> DataFrame:
     """How many nodes depend on each load-bearing claim, directly or through others; only these claims are walked."""
-    return closure(bearing(lib), dependents(lib)).groupBy(F.col("root").alias("node")).agg(F.count("*").alias("radius"))
+    return shared(lib, "radius", lambda: closure(bearing(lib), dependents(lib)).groupBy(F.col("root").alias("node")).agg(F.count("*").alias("radius")))
 
 
 @operator("E8_load_bearing", f"with recursive {FACTS} select ck, id from bearing")
@@ -113,21 +136,24 @@ def load_bearing(lib: Library) -> DataFrame:
     return bearing(lib).select("ck", "id")
 
 
-ORPHANS = """
+ORPHANS = f"""
 select kind, concat(ck, ':', id) as node from tb_aim_slices s where
-  (kind = 'claim' and not exists (select 1 from tb_aim_links l where l.dst = concat(s.ck, ':', s.id)) and not exists (select 1 from tb_aim_links l where l.gid = concat(s.ck, ':', s.id)))
-  or (kind = 'test' and not exists (select 1 from tb_aim_links l where l.gid = concat(s.ck, ':', s.id) and field = 'discriminates'))
-  or (kind = 'capability' and not exists (select 1 from tb_aim_links l where l.dst = concat(s.ck, ':', s.id) and field = 'enabled_by'))"""
+  (kind = 'claim' and not exists (select 1 from ({DEPENDS}) d where d.src = concat(s.ck, ':', s.id)) and not exists (select 1 from tb_aim_links l where l.gid = concat(s.ck, ':', s.id) and field = 'answers') and not exists (select 1 from ({TESTED}) t where t.node = concat(s.ck, ':', s.id)))
+  or (kind = 'test' and not exists (select 1 from tb_aim_links l where l.gid = concat(s.ck, ':', s.id) and field = 'discriminates') and not exists (select 1 from ({DEPENDS}) d where d.src = concat(s.ck, ':', s.id)))
+  or (kind = 'capability' and not exists (select 1 from tb_aim_links l join tb_aim_slices t on t.ck = l.ck and t.id = l.src where l.dst = concat(s.ck, ':', s.id) and l.field = 'enabled_by' and t.kind = 'test'))"""
 
 
 @operator("E9_orphans", ORPHANS)
 def orphans(lib: Library) -> DataFrame:
-    """Claims without any link, tests that discriminate nothing, capabilities that enable nothing."""
+    """Untested claims that nothing depends on and that answer nothing, tests that discriminate nothing and that nothing
+    depends on, capabilities that no test uses."""
     s = lib.aim_slices.select("kind", gid().alias("node"))
-    ends = lib.aim_links.select(F.explode(F.array("gid", "dst")).alias("node"))
-    tests = lib.aim_links.where("field = 'discriminates'").select(F.col("gid").alias("node"))
-    used = lib.aim_links.where("field = 'enabled_by'").select(F.col("dst").alias("node"))
-    return reduce(DataFrame.unionAll, [s.where(F.col("kind") == k).join(x, "node", "left_anti").select("kind", "node") for k, x in (("claim", ends), ("test", tests), ("capability", used))])
+    links = lambda field, end: lib.aim_links.where(F.col("field") == field).select(F.col(end).alias("node"))
+    leaned = dependents(lib).select(F.col("src").alias("node"))
+    used = lib.aim_links.where("field = 'enabled_by'").join(nodes_of(lib, "test").withColumnRenamed("node", "gid"), "gid", "left_semi").select(F.col("dst").alias("node"))
+    why = {"claim": [leaned, links("answers", "gid"), tested(lib)], "test": [links("discriminates", "gid"), leaned], "capability": [used]}
+    left = lambda kind: reduce(lambda x, y: x.join(y.hint("shuffle_merge"), "node", "left_anti"), why[kind], s.where(F.col("kind") == kind))
+    return reduce(DataFrame.unionByName, map(left, why)).select("kind", "node")
 
 
 ASPIRE = "select concat(ck, ':', id) as node from tb_aim_slices s where kind = 'capability' and not exists (select 1 from tb_aim_links l where l.gid = concat(s.ck, ':', s.id) and field = 'grounded_in')"
@@ -139,14 +165,14 @@ def aspirational(lib: Library) -> DataFrame:
     return nodes_of(lib, "capability").join(grounds, "node", "left_anti")
 
 
-RISK = f"select l.gid as node, string_agg(l.dst, ', ' order by l.dst) as needs from tb_aim_links l join ({ASPIRE}) a on a.node = l.dst where field = 'enabled_by' group by l.gid"
+RISK = f"select l.gid as node, string_agg(l.ref, ', ' order by l.ref) as needs from tb_aim_links l join ({ASPIRE}) a on a.node = l.dst join tb_aim_slices t on t.ck = l.ck and t.id = l.src where l.field = 'enabled_by' and t.kind = 'test' group by l.gid"
 
 
 @operator("E11_tests_at_risk", RISK)
 def tests_at_risk(lib: Library) -> DataFrame:
-    """Tests that an aspirational capability enables, with the capabilities they wait for."""
-    j = lib.aim_links.where("field = 'enabled_by'").join(aspirational(lib).withColumnRenamed("node", "dst"), "dst", "left_semi")
-    return j.groupBy(F.col("gid").alias("node")).agg(F.array_join(F.array_sort(F.collect_list("dst")), ", ").alias("needs"))
+    """Tests that an aspirational capability of their own or another aim enables, with the references that block them."""
+    j = lib.aim_links.where("field = 'enabled_by'").join(nodes_of(lib, "test").withColumnRenamed("node", "gid"), "gid", "left_semi").join(aspirational(lib).withColumnRenamed("node", "dst"), "dst", "left_semi")
+    return j.groupBy(F.col("gid").alias("node")).agg(F.array_join(F.array_sort(F.collect_list("ref")), ", ").alias("needs"))
 
 
 @operator("E12_enabled_tests", "select dst as node, string_agg(gid, ',' order by gid) as tests from tb_aim_links where field = 'enabled_by' group by dst")
@@ -154,41 +180,53 @@ def enabled_tests(lib: Library) -> DataFrame:
     return lib.aim_links.where("field = 'enabled_by'").groupBy(F.col("dst").alias("node")).agg(F.array_join(F.array_sort(F.collect_list("gid")), ",").alias("tests"))
 
 
-@operator("E13_answered_in_aims", "select distinct l.dst as gid from tb_aim_links l join tb_aim_slices s on concat(s.ck, ':', s.id) = l.gid where s.kind = 'claim' and l.field = 'grounded_in' and l.tid like 'm%'")
+@operator("E13_answered_in_aims", "select distinct l.dst as gid from tb_aim_links l join tb_aim_slices s on concat(s.ck, ':', s.id) = l.gid where s.kind = 'claim' and l.field = 'answers'")
 def answered_in_aims(lib: Library) -> DataFrame:
-    """What claims of aims answer; grounds in methods stand in as answers here, as these aims have no questions."""
+    """What claims of aims answer."""
     claims = nodes_of(lib, "claim").withColumnRenamed("node", "gid")
-    answers = lib.aim_links.where("field = 'grounded_in' and tid like 'm%'")
-    return answers.join(claims, "gid", "left_semi").select(F.col("dst").alias("gid")).distinct()
+    return lib.aim_links.where("field = 'answers'").join(claims, "gid", "left_semi").select(F.col("dst").alias("gid")).distinct()
 
 
+ANSWERED = "select l.dst from tb_aim_links l join tb_aim_slices s on concat(s.ck, ':', s.id) = l.gid where s.kind = 'claim' and l.field = 'answers'"
 REPORT = f"""
-select 'assumption' as section, root as node, cast(count(*) as string) as detail from blast group by root
-union all select 'at risk', node, needs from ({RISK}) r union all select 'aspirational', node, '' from ({ASPIRE}) a union all select concat('orphan ', kind), node, '' from ({ORPHANS}) o"""
+select 'assumptions' as section, root as node, concat(cast(count(*) as string), ' dependent', case when count(*) = 1 then '' else 's' end, ', no test') as detail, count(*) as weight from blast group by root
+union all select 'speculation', node, '', 0 from modal where modality = 'speculation' and node not in (select node from bearing)
+union all select 'at_risk', node, concat('needs ', needs), 0 from ({RISK}) r
+union all select 'aspirational', node, 'no evidence it exists', 0 from ({ASPIRE}) a
+union all select 'open_questions', concat(ck, ':', id), '', 0 from tb_aim_slices where kind = 'question' and concat(ck, ':', id) not in ({ANSWERED})
+union all select 'orphans', node, case kind when 'claim' then 'nothing depends on it' when 'test' then 'discriminates nothing' else 'no test uses it' end, 0 from ({ORPHANS}) o"""
 
 
 def report_rows(lib: Library) -> DataFrame:
-    empty = F.lit("").alias("detail")
+    """(section, node, detail, weight): all findings; weight is the blast radius of an assumption, else 0."""
+    row = lambda df, section, detail: df.select(F.lit(section).alias("section"), "node", detail.alias("detail"), F.lit(0).cast("long").alias("weight"))
+    n = F.col("radius")
+    empty = F.lit("")
+    quiet = modalities(lib).where("modality = 'speculation'").join(bearing(lib).select("node"), "node", "left_anti")
+    open_ = nodes_of(lib, "question").join(answered_in_aims(lib).withColumnRenamed("gid", "node"), "node", "left_anti")
+    why = F.when(F.col("kind") == "claim", "nothing depends on it").when(F.col("kind") == "test", "discriminates nothing").otherwise("no test uses it")
     parts = [
-        blast_radius(lib).select(F.lit("assumption").alias("section"), "node", F.col("radius").cast("string").alias("detail")),
-        tests_at_risk(lib).select(F.lit("at risk"), "node", "needs"),
-        aspirational(lib).select(F.lit("aspirational"), "node", empty),
-        orphans(lib).select(F.concat(F.lit("orphan "), "kind"), "node", empty),
+        blast_radius(lib).select(F.lit("assumptions").alias("section"), "node", F.concat(n.cast("string"), F.when(n == 1, " dependent").otherwise(" dependents"), F.lit(", no test")).alias("detail"), n.alias("weight")),
+        row(quiet, "speculation", empty),
+        row(tests_at_risk(lib), "at_risk", F.concat(F.lit("needs "), "needs")),
+        row(aspirational(lib), "aspirational", F.lit("no evidence it exists")),
+        row(open_, "open_questions", empty),
+        row(orphans(lib), "orphans", why),
     ]
     return reduce(DataFrame.unionAll, parts)
 
 
-@operator("E14_report", f"with recursive {FACTS} select section, row_number() over (partition by section order by case when section = 'assumption' then -cast(detail as int) else 0 end, node) as rank, node, detail from ({REPORT}) x")
+@operator("E14_report", f"with recursive {FACTS} select section, row_number() over (partition by section order by weight desc, node) as rank, node, detail from ({REPORT}) x")
 def report(lib: Library) -> DataFrame:
     """Sections of a report; assumptions go by falling radius, the others by node."""
-    first = F.when(F.col("section") == "assumption", -F.col("detail").try_cast("int")).otherwise(0)
-    return report_rows(lib).withColumn("rank", F.row_number().over(Window.partitionBy("section").orderBy(first, "node")).cast("long"))
+    return ranks_within(report_rows(lib), "section", [F.desc("weight"), F.col("node")], "rank").select("section", "rank", "node", "detail")
 
 
-@operator("E15_clean", f"with recursive {FACTS} select split_part(node, ':', 1) as ck, count(*) as findings from ({REPORT}) x group by 1")
+@operator("E15_clean", f"with recursive {FACTS}, r as ({REPORT}) select s.ck, count(r.node) as findings, count(r.node) = 0 as clean from (select distinct ck from tb_aim_slices) s left join r on split_part(r.node, ':', 1) = s.ck and section <> 'open_questions' group by s.ck")
 def clean(lib: Library) -> DataFrame:
-    """Findings of each aim; an aim that isn't here is clean."""
-    return report_rows(lib).groupBy(F.split("node", ":")[0].alias("ck")).agg(F.count("*").alias("findings"))
+    """Findings of each aim; open questions do not count."""
+    found = report_rows(lib).where("section <> 'open_questions'").groupBy(F.split("node", ":")[0].alias("ck")).agg(F.count("*").alias("findings"))
+    return lib.aim_slices.select("ck").distinct().join(found, "ck", "left").na.fill(0, ["findings"]).withColumn("clean", F.col("findings") == 0)
 
 
 @operator("E16_aim_stats", "select ck, count(*) filter (where kind = 'claim') as claims, count(*) filter (where kind = 'test') as tests, count(*) filter (where kind = 'capability') as capabilities, count(*) filter (where kind = 'method') as methods from tb_aim_slices group by ck")
@@ -214,11 +252,14 @@ def tests_of_claims(lib: Library) -> DataFrame:
     return lib.aim_links.where("field = 'discriminates'").groupBy(F.col("dst").alias("claim")).agg(F.array_join(F.array_sort(F.collect_list("gid")), ",").alias("tests"))
 
 
-@operator("B9_programme_label", f"with recursive {FACTS} select s.ck, s.id, case when kind = 'test' and r.node is not null then 'at risk' when kind = 'capability' and a.node is not null then 'aspirational' when kind = 'claim' then m.modality else kind end as label from tb_aim_slices s left join ({RISK}) r on r.node = concat(s.ck, ':', s.id) left join ({ASPIRE}) a on a.node = concat(s.ck, ':', s.id) left join modal m on m.node = concat(s.ck, ':', s.id)")
+@operator("B9_programme_label", f"""
+with recursive {FACTS} select s.ck, s.id, case s.kind when 'claim' then m.modality when 'test' then case when r.node is null then 'test' else 'test-at-risk' end
+  when 'capability' then case when a.node is null then 'capability' else 'capability-aspirational' end when 'question' then 'question' else case when f.node is null then 'model' else 'floor' end end as label
+from tb_aim_slices s left join ({RISK}) r on r.node = concat(s.ck, ':', s.id) left join ({ASPIRE}) a on a.node = concat(s.ck, ':', s.id) left join aim_floor f on f.node = concat(s.ck, ':', s.id) left join modal m on m.node = concat(s.ck, ':', s.id)""")
 def programme_labels(lib: Library) -> DataFrame:
-    from ..functions.refs import aim_label
-
-    risk, dream = tests_at_risk(lib).select("node", F.lit(True).alias("r")), aspirational(lib).withColumn("a", F.lit(True))
-    s = lib.aim_slices.withColumn("node", gid()).join(risk, "node", "left").join(dream, "node", "left").join(modalities(lib).select("node", "modality"), "node", "left")
-    no = F.lit(False)
-    return s.select("ck", "id", aim_label(F.col("kind"), F.coalesce("r", no), F.coalesce("a", no), F.col("modality")).alias("label"))
+    flag = lambda df, name: df.select("node", F.lit(True).alias(name))
+    s = lib.aim_slices.select("ck", "id", "kind", gid().alias("node"))
+    for df, name in ((tests_at_risk(lib), "risk"), (aspirational(lib), "dream"), (aim_floors(lib), "floor")):
+        s = s.join(flag(df, name), "node", "left")
+    s = s.na.fill(False).join(modalities(lib).select("node", "modality"), "node", "left")
+    return s.select("ck", "id", aim_label(F.col("kind"), F.col("risk"), F.col("dream"), F.col("floor"), F.col("modality")).alias("label"))

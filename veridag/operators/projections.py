@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..plans.fixpoint import bfs, closure, grow, longest, reach
 from ..plans.registry import operator
-from ..plans.staging import staged
+from ..plans.staging import shared, staged
 from ..sources.testbed import Library
-from .graph import flags
+from .graph import flags, ranks_within
 
 PAIRS = "select distinct ck, key as target from tb_links where field = 'grounded_in' and form in ('container', 'sharpened')"
 
@@ -94,6 +94,10 @@ union all select slug, leads_to, 'ladder' from tb_broad where leads_to is not nu
 
 
 def model(lib: Library) -> DataFrame:
+    return shared(lib, "model", lambda: resolved(lib))
+
+
+def resolved(lib: Library) -> DataFrame:
     nodes = lib.slices.select(F.concat_ws(":", "ck", "id").alias("dst"))
     slugs = lib.broad.select(F.col("slug").alias("dst"))
     edge = lambda df, kind: df.select(F.col("gid").alias("src"), "dst", F.lit(kind).alias("kind"))
@@ -115,7 +119,8 @@ def typed_model(lib: Library) -> DataFrame:
 
 def floors(lib: Library) -> DataFrame:
     held = lib.links.where("field = 'grounded_in' and form = 'local'").select("ck", F.col("src").alias("id"))
-    return lib.slices.where("kind = 'method'").join(held, ["ck", "id"], "left_anti").select(F.concat_ws(":", "ck", "id").alias("node"))
+    methods = lib.slices.where("kind = 'method'").select("ck", "id").join(held, ["ck", "id"], "left_anti")
+    return methods.unionByName(lib.slices.where("axiom").select("ck", "id")).select(F.concat_ws(":", "ck", "id").alias("node"))
 
 
 def upward(lib: Library, kinds: str) -> DataFrame:
@@ -134,7 +139,7 @@ WALK = "'up', 'cite', 'cons', 'ladder'"
 
 
 def distances(lib: Library) -> DataFrame:
-    return bfs(floors(lib), upward(lib, WALK))
+    return shared(lib, "distances", lambda: bfs(floors(lib), upward(lib, WALK)))
 
 
 @operator("K10_distance_to_floor", ranks_sql(WALK) + " select node, d from rk")
@@ -174,7 +179,7 @@ def ladder_tier(lib: Library) -> DataFrame:
 def columns(lib: Library) -> DataFrame:
     """Each node's column (its distance) and place there, in binary order."""
     x = all_nodes(lib).join(distances(lib), "node", "left")
-    return x.select("node", F.coalesce(F.col("d").cast("string"), F.lit("none")).alias("col"), F.row_number().over(Window.partitionBy("d").orderBy("node")).cast("long").alias("pos"))
+    return ranks_within(x.select("node", F.coalesce(F.col("d").cast("string"), F.lit("none")).alias("col")), "col", [F.col("node")])
 
 
 PINS = "select concat(s.ck, ':', s.id) as node from tb_slices s join tb_papers p on p.ck = s.ck where p.okey % 200 = 0"
@@ -269,13 +274,13 @@ def forward_coverage(lib: Library) -> DataFrame:
     """Slices of each family by one rule alone: what an anchored slice rests on belongs to its families."""
     anchors = staged(model(lib).where("kind = 'cons'").join(families(lib).withColumnRenamed("node", "dst"), "dst").select("family", F.col("src").alias("node")).distinct())
     rests = upward(lib, "'up', 'cite'").select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()
-    held = grow(anchors, staged(rests), ["family", "node"], lambda j, k: j.select("family", F.col("dst").alias("node")))
+    held = grow(anchors, rests, ["family", "node"], lambda j, k: j.select("family", F.col("dst").alias("node")))
     return held.groupBy("family").agg(F.count("*").alias("n"))
 
 
 @operator("K22_generality_radius", ranks_sql(WALK) + ", g as (select node, d, max(d) over () as gmax from rk) select node, round(0.13 + (1 - d / gmax) * 0.87, 6) as r, d = 0 as halo from g")
 def generality_radius(lib: Library) -> DataFrame:
-    d = staged(distances(lib))
+    d = distances(lib)
     top = d.agg(F.max("d").alias("gmax"))  # one row
     return d.join(F.broadcast(top)).select("node", F.round(0.13 + (1 - F.col("d") / F.col("gmax")) * 0.87, 6).alias("r"), (F.col("d") == 0).alias("halo"))
 

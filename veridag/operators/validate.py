@@ -1,8 +1,15 @@
-"""Validation (C): every rule gives its violations as rows (rule, ck, id, field, ref, message); none are hidden by the first."""
+"""Validation (C): every rule gives its violations as rows (ck, id, field, ref); none are hidden by the first.
+
+A rule takes any container of the frames papers(ck, curated, type, given_keys), aims(ck), slices(ck, id, kind, axiom),
+links (long edges), broad(slug, kind, leads_to), topics(slug, broader) and refs(bullet, ref). The queries apply the rules
+to the draft of the derived library, which has errors in all of these.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,192 +19,250 @@ from ..plans.fixpoint import cycles
 from ..plans.registry import operator
 from ..sources.testbed import Library
 
-ROW = ["ck", "id", "field", "ref"]
+Container = Any
+RULES: dict[str, tuple[Callable[[Container], DataFrame], str]] = {}
+TEXTS: dict[str, str] = {}
+
+
+def rule(name: str, sql: str, message: str):
+    """Register a rule, and the query that applies it to the draft."""
 
+    def register(find: Callable[[Container], DataFrame]) -> Callable[[Container], DataFrame]:
+        def rows(lib: Container) -> DataFrame:
+            df = find(lib)
+            return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in ("ck", "id", "field", "ref")])
 
-def violations(df: DataFrame, rule: str, message: Column | str) -> DataFrame:
-    null = F.lit(None).cast("string")
-    return df.select(F.lit(rule).alias("rule"), *[F.col(c) if c in df.columns else null.alias(c) for c in ROW], (F.lit(message) if isinstance(message, str) else message).alias("message"))
+        RULES[name], TEXTS[name] = (rows, message), sql
+        operator(name, sql)(lambda lib: rows(lib.draft))
+        return rows
+
+    return register
 
 
 def of_links(df: DataFrame) -> DataFrame:
     return df.select("ck", F.col("src").alias("id"), "field", "ref")
 
 
-def kinds(slices: DataFrame) -> DataFrame:
-    return slices.select(F.concat_ws(":", "ck", "id").alias("dst"), F.col("kind").alias("dst_kind"))
+def has_broad() -> Column:
+    """Tests and capabilities have no broad tier; their rules are others."""
+    return ~F.col("kind").isin("test", "capability")
+
+
+KIND = "(select concat(ck, ':', id) as gid, min(kind) as kind from tb_draft_slices group by ck, id)"
+OWN = f"tb_draft_links l join {KIND} s on s.gid = l.gid"
+END = f"join {KIND} t on t.gid = l.dst"
+
+
+def own_kind(lib: Container) -> DataFrame:
+    """(gid, kind) of each slice; the smallest kind where an id is given twice."""
+    return lib.slices.groupBy(F.concat_ws(":", "ck", "id").alias("gid")).agg(F.min("kind").alias("kind"))
+
+
+def of_kind(lib: Container, fields: list[str]) -> DataFrame:
+    """Links of these fields with the kind of the slice that they stand on."""
+    return lib.links.where(F.col("field").isin(fields)).join(own_kind(lib), "gid")
+
 
+def to_kind(lib: Container, links: DataFrame, how: str = "inner") -> DataFrame:
+    """Links with the kind of the slice that they name; a plain join passes over what isn't resolved."""
+    return links.join(own_kind(lib).select(F.col("gid").alias("dst"), F.col("kind").alias("dst_kind")), "dst", how)
 
-@operator("C1_duplicate_ids", "select ck, id, count(*) as n from (select ck, concat(kind[1], cast(ln % 3 as string)) as id from tb_slices) x group by ck, id having count(*) > 1")
-def duplicate_ids(lib: Library) -> DataFrame:
-    """Ids that a container gives twice; here ids are made to clash by taking the line modulo three."""
-    ids = lib.slices.select("ck", F.concat(F.substring("kind", 1, 1), (F.col("ln") % 3).cast("string")).alias("id"))
-    return ids.groupBy("ck", "id").agg(F.count("*").alias("n")).where("n > 1")
 
+def to_broad(lib: Container, links: DataFrame) -> DataFrame:
+    return links.where("form = 'broad'").join(lib.broad.select(F.col("slug").alias("ref"), F.regexp_replace("kind", "^broad ", "").alias("dst_kind")), "ref")
 
-@operator("C2_curated_and_stub", "select distinct substr(ck, 4, 8) as ck from tb_papers p where curated and exists (select 1 from tb_papers q where not q.curated and q.okey % 100 = p.okey % 100)")
-def curated_and_stub(lib: Library) -> DataFrame:
-    """Keys on both sides; stubs are given keys modulo 100 here, so that some clash."""
-    stubs = lib.papers.where("not curated").select((F.col("okey") % 100).alias("k"))
-    return lib.papers.where("curated").withColumn("k", F.col("okey") % 100).join(stubs, "k", "left_semi").select(F.substring("ck", 4, 8).alias("ck")).distinct()
 
+@rule("C1_duplicate_ids", "select ck, id, cast(null as string) as field, cast(null as string) as ref from tb_draft_slices group by ck, id having count(*) > 1", "a duplicate local id")
+def duplicate_ids(lib: Container) -> DataFrame:
+    return lib.slices.groupBy("ck", "id").agg(F.count("*").alias("n")).where("n > 1")
 
-@operator("C3_paper_and_aim", "select ck from tb_papers intersect select ck from tb_aim_slices")
-def paper_and_aim(lib: Library) -> DataFrame:
-    return lib.papers.select("ck").intersect(lib.aim_slices.select("ck"))
+
+@rule("C2_curated_and_stub", "select ck, cast(null as string) as id, cast(null as string) as field, cast(null as string) as ref from tb_draft_papers group by ck having bool_or(curated) and bool_or(not curated)", "both a curated paper and a stub")
+def curated_and_stub(lib: Container) -> DataFrame:
+    return lib.papers.groupBy("ck").agg(F.bool_or("curated").alias("c"), F.bool_or(~F.col("curated")).alias("s")).where("c and s")
+
+
+@rule("C3_paper_and_aim", "select ck, cast(null as string) as id, cast(null as string) as field, cast(null as string) as ref from (select ck from tb_draft_papers intersect select ck from tb_draft_aims) x", "both a paper and an aim")
+def paper_and_aim(lib: Container) -> DataFrame:
+    return lib.papers.select("ck").intersect(lib.aims.select("ck"))
 
 
 DANGLING = """
-select l.ck, l.src as id, field, ref from tb_links l where
-  (form = 'local' and not exists (select 1 from tb_slices s where s.ck = l.ck and s.id = l.ref))
-  or (form = 'broad' and not exists (select 1 from tb_broad b where b.slug = l.ref))
-  or (form in ('container', 'sharpened') and not exists (select 1 from tb_papers p where p.ck = l.key) and not exists (select 1 from tb_aim_slices a where a.ck = l.key))"""
+select l.ck, l.src as id, field, ref from tb_draft_links l where
+  (form = 'local' and not exists (select 1 from tb_draft_slices s where s.ck = l.ck and s.id = l.ref))
+  or (form = 'broad' and not exists (select 1 from tb_draft_broad b where b.slug = l.ref))
+  or (form in ('container', 'sharpened') and not exists (select 1 from tb_draft_papers p where p.ck = l.key) and not exists (select 1 from tb_draft_aims a where a.ck = l.key))"""
 
 
-@operator("C4_dangling_refs", DANGLING)
-def dangling(lib: Library) -> DataFrame:
+@rule("C4_dangling_refs", DANGLING, "a dangling reference")
+def dangling(lib: Container) -> DataFrame:
     """A sharpened reference needs its container alone."""
     local = lib.links.where("form = 'local'").join(lib.slices.select("ck", F.col("id").alias("ref")), ["ck", "ref"], "left_anti")
     broad = lib.links.where("form = 'broad'").join(lib.broad.select(F.col("slug").alias("ref")), "ref", "left_anti")
-    keys = lib.papers.select(F.col("ck").alias("key")).unionAll(lib.aim_slices.select("ck")).distinct()
+    keys = lib.papers.select(F.col("ck").alias("key")).union(lib.aims.select("ck")).distinct()
     far = lib.links.where("form in ('container', 'sharpened')").join(keys, "key", "left_anti")
-    return reduce(DataFrame.unionAll, [of_links(x) for x in (local, broad, far)])
+    return reduce(DataFrame.unionByName, [of_links(x) for x in (local, broad, far)])
+
+
+UPPER = "s.kind not in ('test', 'capability')"
 
 
-@operator("C5_leads_to_form", "select ck, src as id, ref from tb_links where field = 'leads_to' and form in ('container', 'sharpened') union all select ck, src, ref from tb_links where field = 'corroborates' and form in ('container', 'sharpened')")
-def leads_to_form(lib: Library) -> DataFrame:
-    """leads_to must not name a container or its slice; corroborating links stand in as leading ones, to give cases."""
-    as_leads = lib.links.where("field in ('leads_to', 'corroborates')").withColumn("field", F.lit("leads_to"))
-    return as_leads.where("field = 'leads_to' and form in ('container', 'sharpened')").select("ck", F.col("src").alias("id"), "ref")
+@rule("C5_leads_to_form", f"select l.ck, l.src as id, field, ref from {OWN} where field = 'leads_to' and form in ('container', 'sharpened') and {UPPER}", "leads_to names another paper; author it there as grounded_in")
+def leads_to_form(lib: Container) -> DataFrame:
+    return of_links(of_kind(lib, ["leads_to"]).where(has_broad()).where("form in ('container', 'sharpened')"))
 
 
-@operator("C6_leads_to_kind", "select l.ck, l.src as id, l.ref from tb_links l join tb_slices s on s.ck = l.ck and s.id = l.src join tb_slices t on t.ck = l.ck and t.id = l.ref where l.form = 'local' and l.field = 'grounded_in' and s.kind <> t.kind")
-def leads_to_kind(lib: Library) -> DataFrame:
-    """A leading link joins slices of one kind; local grounds stand in as leading links, to give cases."""
-    led = lib.links.where("field = 'grounded_in' and form = 'local'")
-    own = lib.slices.select("ck", F.col("id").alias("src"), "kind")
-    return led.join(own, ["ck", "src"]).join(kinds(lib.slices), "dst").where("kind <> dst_kind").select("ck", F.col("src").alias("id"), "ref")
+@rule("C6_leads_to_kind", f"select l.ck, l.src as id, field, ref from {OWN} {END} where field = 'leads_to' and form = 'local' and {UPPER} and s.kind <> t.kind union all select l.ck, l.src, field, ref from {OWN} join tb_draft_broad b on b.slug = l.ref where field = 'leads_to' and form = 'broad' and {UPPER} and b.kind <> concat('broad ', s.kind)", "leads_to joins slices of one kind")
+def leads_to_kind(lib: Container) -> DataFrame:
+    led = of_kind(lib, ["leads_to"]).where(has_broad())
+    both = of_links(to_kind(lib, led.where("form = 'local'")).where("kind <> dst_kind"))
+    return both.unionByName(of_links(to_broad(lib, led).where("kind <> dst_kind")))
 
 
-def wrong_kind(links: DataFrame, slices: DataFrame, broad: DataFrame, allowed: str) -> DataFrame:
-    """Links to a slice or broad node of another kind; what isn't resolved is passed over."""
-    ends = kinds(slices).unionAll(broad.select(F.col("slug").alias("dst"), F.regexp_replace("kind", "^broad ", "").alias("dst_kind")))
-    return links.join(ends, "dst").where(F.col("dst_kind") != allowed)
+def target_sql(fields: str, kind: str) -> str:
+    return f"select l.ck, l.src as id, field, ref from {OWN} {END} where field in ({fields}) and form in ('local', 'sharpened') and {UPPER} and t.kind <> '{kind}' union all select l.ck, l.src, field, ref from {OWN} join tb_draft_broad b on b.slug = l.ref where field in ({fields}) and form = 'broad' and {UPPER} and b.kind <> 'broad {kind}'"
 
 
-@operator("C7_answers_target", "select l.ck, l.src as id, l.ref from tb_links l join tb_slices t on concat(t.ck, ':', t.id) = l.dst where field in ('answers', 'grounded_in') and t.kind <> 'question'")
-def answers_target(lib: Library) -> DataFrame:
-    """An answer is to a question; grounds stand in as answers too, to give cases."""
-    return of_links(wrong_kind(lib.links.where("field in ('answers', 'grounded_in')"), lib.slices, lib.broad.limit(0), "question")).select("ck", "id", "ref")
+def wrong_target(lib: Container, fields: list[str], kind: str) -> DataFrame:
+    """Links of these fields to a slice or broad node of another kind; containers, and what isn't resolved, may pass."""
+    x = of_kind(lib, fields).where(has_broad())
+    ends = of_links(to_kind(lib, x.where("form in ('local', 'sharpened')")).where(F.col("dst_kind") != kind))
+    return ends.unionByName(of_links(to_broad(lib, x).where(F.col("dst_kind") != kind)))
 
 
-@operator("C8_lateral_target", "select l.ck, l.src as id, l.ref from tb_links l join tb_slices t on concat(t.ck, ':', t.id) = l.dst where field in ('corroborates', 'contradicts', 'grounded_in') and t.kind <> 'claim'")
-def lateral_target(lib: Library) -> DataFrame:
-    return of_links(wrong_kind(lib.links.where("field in ('corroborates', 'contradicts', 'grounded_in')"), lib.slices, lib.broad, "claim")).select("ck", "id", "ref")
+@rule("C7_answers_target", target_sql("'answers'", "question"), "answers names no question")
+def answers_target(lib: Container) -> DataFrame:
+    return wrong_target(lib, ["answers"], "question")
 
 
-@operator("C9_floor_on_claims", "select ck, id from tb_slices where qty = 49 and kind <> 'claim'")
-def floor_on_claims(lib: Library) -> DataFrame:
-    return lib.slices.withColumn("floor_flag", F.col("qty") == 49).where("floor_flag and kind <> 'claim'").select("ck", "id")
+@rule("C8_lateral_target", target_sql("'corroborates', 'contradicts'", "claim"), "a lateral link names no claim")
+def lateral_target(lib: Container) -> DataFrame:
+    return wrong_target(lib, ["corroborates", "contradicts"], "claim")
 
 
-@operator("C10_tests_in_papers", "select ck, count(*) as n from tb_aim_slices where kind in ('test', 'capability') group by ck")
-def tests_in_papers(lib: Library) -> DataFrame:
-    """Containers that hold tests or capabilities: none may, if they are papers. Aims are read as papers here."""
-    return lib.aim_slices.where(F.col("kind").isin("test", "capability")).groupBy("ck").agg(F.count("*").alias("n"))
+@rule("C9_floor_on_claims", "select ck, id, cast(null as string) as field, cast(null as string) as ref from tb_draft_slices where axiom and kind <> 'claim'", "floor: true stands on claims alone")
+def floor_on_claims(lib: Container) -> DataFrame:
+    return lib.slices.where("axiom and kind <> 'claim'")
 
 
-def field_on_kind(links: DataFrame, slices: DataFrame, fields: list[str], bad: Column) -> DataFrame:
-    return links.where(F.col("field").isin(fields)).join(slices.select("ck", F.col("id").alias("src"), "kind"), ["ck", "src"]).where(bad)
+@rule("C10_tests_in_papers", "select ck, id, cast(null as string) as field, cast(null as string) as ref from tb_draft_slices s where kind in ('test', 'capability') and exists (select 1 from tb_draft_papers p where p.ck = s.ck)", "tests and capabilities belong to aims")
+def tests_in_papers(lib: Container) -> DataFrame:
+    return lib.slices.where("kind in ('test', 'capability')").join(lib.papers.select("ck"), "ck", "left_semi")
 
 
-@operator("C11_test_fields", "select l.ck, l.src as id, l.field, l.ref from tb_aim_links l join tb_aim_slices s on s.ck = l.ck and s.id = l.src where l.field in ('discriminates', 'enabled_by', 'grounded_in') and s.kind <> 'test'")
-def test_fields(lib: Library) -> DataFrame:
-    """Fields that only tests may have; grounds are counted among them here, to give cases."""
-    return of_links(field_on_kind(lib.aim_links, lib.aim_slices, ["discriminates", "enabled_by", "grounded_in"], F.col("kind") != "test"))
+@rule("C11_test_fields", f"select l.ck, l.src as id, field, ref from {OWN} where field in ('discriminates', 'enabled_by') and s.kind <> 'test'", "a field of tests alone")
+def test_fields(lib: Container) -> DataFrame:
+    return of_links(of_kind(lib, ["discriminates", "enabled_by"]).where("kind <> 'test'"))
 
 
-@operator("C12_fields_on_tests", "select l.ck, l.src as id, l.field, l.ref from tb_aim_links l join tb_aim_slices s on s.ck = l.ck and s.id = l.src where l.field = 'grounded_in' and s.kind in ('test', 'capability')")
-def fields_on_tests(lib: Library) -> DataFrame:
-    """Fields that tests and capabilities may not have; grounds stand in for them, to give cases."""
-    return of_links(field_on_kind(lib.aim_links, lib.aim_slices, ["answers", "corroborates", "contradicts", "leads_to", "grounded_in"], F.col("kind").isin("test", "capability")))
+@rule("C12_fields_on_tests", f"select l.ck, l.src as id, field, ref from {OWN} where field in ('answers', 'corroborates', 'contradicts', 'leads_to') and s.kind in ('test', 'capability')", "not a field of tests and capabilities")
+def fields_on_tests(lib: Container) -> DataFrame:
+    return of_links(of_kind(lib, ["answers", "corroborates", "contradicts", "leads_to"]).where("kind in ('test', 'capability')"))
 
 
-@operator("C13_lonely_tests", "select ck, src as id from tb_aim_links where field = 'discriminates' group by ck, src having count(*) = 1")
-def lonely_tests(lib: Library) -> DataFrame:
-    return lib.aim_links.where("field = 'discriminates'").groupBy("ck", F.col("src").alias("id")).agg(F.count("*").alias("n")).where("n = 1").select("ck", "id")
+@rule("C13_lonely_tests", f"select l.ck, l.src as id, min(field) as field, min(ref) as ref from {OWN} where field = 'discriminates' and s.kind = 'test' group by l.ck, l.src having count(*) = 1", "a test discriminates two targets or more; one is plain grounding")
+def lonely_tests(lib: Container) -> DataFrame:
+    x = of_kind(lib, ["discriminates"]).where("kind = 'test'")
+    return x.groupBy("ck", F.col("src").alias("id")).agg(F.count("*").alias("n"), F.min("field").alias("field"), F.min("ref").alias("ref")).where("n = 1")
 
 
-@operator("C14_discriminates_claims", "select l.ck, l.src as id, l.ref from tb_aim_links l join tb_aim_slices t on concat(t.ck, ':', t.id) = l.dst where field in ('discriminates', 'enabled_by') and t.kind <> 'claim'")
-def discriminates_claims(lib: Library) -> DataFrame:
-    return of_links(wrong_kind(lib.aim_links.where("field in ('discriminates', 'enabled_by')"), lib.aim_slices, lib.broad.limit(0), "claim")).select("ck", "id", "ref")
+@rule("C14_discriminates_claims", f"select l.ck, l.src as id, field, ref from {OWN} {END} where field = 'discriminates' and form in ('local', 'sharpened') and s.kind = 'test' and t.kind <> 'claim'", "a test discriminates claims")
+def discriminates_claims(lib: Container) -> DataFrame:
+    return of_links(to_kind(lib, of_kind(lib, ["discriminates"]).where("kind = 'test' and form in ('local', 'sharpened')")).where("dst_kind <> 'claim'"))
 
 
-@operator("C15_enabled_by_capability", "select l.ck, l.src as id, l.ref from tb_aim_links l left join tb_aim_slices t on concat(t.ck, ':', t.id) = l.dst where field in ('enabled_by', 'discriminates') and (form not in ('local', 'sharpened') or t.kind is null or t.kind <> 'capability')")
-def enabled_by_capability(lib: Library) -> DataFrame:
+@rule("C15_enabled_by_capability", f"select l.ck, l.src as id, field, ref from {OWN} left {END} where field = 'enabled_by' and s.kind = 'test' and (form not in ('local', 'sharpened') or t.kind is null or t.kind <> 'capability')", "enabled_by names a capability")
+def enabled_by_capability(lib: Container) -> DataFrame:
     """Here an unresolved reference is an error too."""
-    j = lib.aim_links.where("field in ('enabled_by', 'discriminates')").join(kinds(lib.aim_slices), "dst", "left")
-    return of_links(j.where("form not in ('local', 'sharpened') or dst_kind is null or dst_kind <> 'capability'")).select("ck", "id", "ref")
-
-
-@operator("C16_broad_ladder", "select b.slug, b.leads_to from tb_broad b left join tb_broad p on p.slug = b.leads_to and p.slug not like 'fam-%' where b.leads_to is not null and (p.slug is null or p.kind <> b.kind)")
-def broad_ladder(lib: Library) -> DataFrame:
-    """Steps to an unknown slug or another kind; the families are left out of the known ones, to give cases."""
-    known = lib.broad.where("slug not like 'fam-%'").select(F.col("slug").alias("leads_to"), F.col("kind").alias("up"))
-    return lib.broad.where("leads_to is not null").join(known, "leads_to", "left").where("up is null or up <> kind").select("slug", "leads_to")
-
-
-@operator("C17_broad_cycles", """
-with recursive s as (select slug as a, leads_to as b from tb_broad where leads_to is not null and slug not like 'part-%' union all values ('fam-0', 'fam-1'), ('fam-1', 'fam-0'), ('fam-2', 'fam-2')),
-p(first, last, path) as (select a, b, concat(a, ' -> ', b) from s union all select first, s.b, concat(path, ' -> ', s.b) from p join s on s.a = p.last where p.first <> p.last and (s.b = p.first or strpos(concat(path, ' '), concat(s.b, ' ')) = 0))
-select distinct path from p where first = last""")
-def broad_cycles(lib: Library) -> DataFrame:
-    """Cycles of the ladder, with their paths; three steps that close cycles are added, to give cases."""
-    steps = lib.broad.where("leads_to is not null").select(F.col("slug").alias("src"), F.col("leads_to").alias("dst"))
-    extra = lib.spark.createDataFrame([("fam-0", "fam-1"), ("fam-1", "fam-0"), ("fam-2", "fam-2")], "src string, dst string")
-    return cycles(steps.unionAll(extra)).distinct()
-
-
-@operator("C18_topics", "select 'clash' as rule, slug from (select replace(slug, 'nat-', 'part-') as slug from tb_topics) t where slug in (select slug from tb_broad) union all select 'broader', t.slug from tb_topics t where broader is not null and broader not in (select slug from tb_topics where slug <> 'world')")
-def topic_rules(lib: Library) -> DataFrame:
-    """Slugs that broad nodes have too (nations take the parts' names here), and unknown broader topics (without the root)."""
-    slugs = lib.topics.select(F.replace("slug", F.lit("nat-"), F.lit("part-")).alias("slug"))
-    clash = slugs.join(lib.broad.select("slug"), "slug", "left_semi").select(F.lit("clash").alias("rule"), "slug")
-    known = lib.topics.where("slug <> 'world'").select(F.col("slug").alias("broader"))
-    lost = lib.topics.where("broader is not null").join(known, "broader", "left_anti").select(F.lit("broader").alias("rule"), "slug")
-    return clash.unionAll(lost)
-
-
-@operator("C19_narrative_refs", """
-select ck, ref, case form when 'local' then 'ambiguous' else 'dangling' end as rule from tb_links l
-where field = 'grounded_in' and (form = 'local' or (form = 'sharpened' and not exists (select 1 from tb_slices s where concat(s.ck, ':', s.id) = l.dst and s.ln < 5))
-  or (form = 'container' and not exists (select 1 from tb_papers p where p.ck = l.key)))""")
-def narrative_refs(lib: Library) -> DataFrame:
-    """A narrative's references: local ones are ambiguous, sharpened ones must name a slice (slices up to the fourth here)."""
-    g = lib.links.where("field = 'grounded_in'")
-    local = g.where("form = 'local'").select("ck", "ref", F.lit("ambiguous").alias("rule"))
-    sharp = g.where("form = 'sharpened'").join(kinds(lib.slices.where("ln < 5")), "dst", "left_anti")
-    far = g.where("form = 'container'").join(lib.papers.select(F.col("ck").alias("key")), "key", "left_anti")
-    return local.unionAll(sharp.select("ck", "ref", F.lit("dangling"))).unionAll(far.select("ck", "ref", F.lit("dangling")))
-
-
-@operator("C20_spec_rules", "select ck, id from tb_slices where kind not in ('claim', 'question')")
-def spec_rules(lib: Library, allowed: tuple[str, ...] = ("claim", "question")) -> DataFrame:
-    """Optional: kinds beyond an enumeration."""
-    return lib.slices.where(~F.col("kind").isin(*allowed)).select("ck", "id")
-
-
-@operator("C_all_violations", f"select 'C4' as rule, count(*) as n from ({DANGLING}) d union all select 'C13', count(*) from (select ck, src from tb_aim_links where field = 'discriminates' group by ck, src having count(*) = 1) t")
-def all_violations(lib: Library) -> DataFrame:
-    rows = violations(dangling(lib), "C4", F.concat(F.lit("dangling reference "), "ref")).unionAll(violations(lonely_tests(lib), "C13", "a test discriminates two targets or more"))
-    return rows.groupBy("rule").agg(F.count("*").alias("n"))
+    x = to_kind(lib, of_kind(lib, ["enabled_by"]).where("kind = 'test'"), "left")
+    return of_links(x.where("form not in ('local', 'sharpened') or dst_kind is null or dst_kind <> 'capability'"))
+
+
+@rule("C16_broad_ladder", "select b.slug as ck, cast(null as string) as id, 'leads_to' as field, b.leads_to as ref from tb_draft_broad b left join tb_draft_broad p on p.slug = b.leads_to where b.leads_to is not null and (p.slug is null or p.kind <> b.kind)", "a step to an unknown slug or another kind")
+def broad_ladder(lib: Container) -> DataFrame:
+    known = lib.broad.select(F.col("slug").alias("leads_to"), F.col("kind").alias("up"))
+    x = lib.broad.where("leads_to is not null").join(known, "leads_to", "left").where("up is null or up <> kind")
+    return x.select(F.col("slug").alias("ck"), F.lit("leads_to").alias("field"), F.col("leads_to").alias("ref"))
+
+
+def cycle_sql(steps: str) -> str:
+    return f"""with recursive s as ({steps}),
+p(first, last, path) as (select a, b, concat(a, ' -> ', b) from s union all select first, s.b, concat(path, ' -> ', s.b) from p join s on s.a = p.last where p.first <> p.last and (s.b = p.first or strpos(concat(' ', path, ' '), concat(' ', s.b, ' ')) = 0))
+select distinct first as ck, cast(null as string) as id, '__field' as field, path as ref from p where first = last"""
 
 
-def assert_valid(rows: DataFrame) -> None:
-    """Raise with the first ten of violations, if there are any."""
-    if bad := rows.limit(10).collect():
-        raise ValueError("; ".join(f"{r['rule']} {r['ck']}:{r['id']} {r['ref']}: {r['message']}" for r in bad))
+def cycle_rows(steps: DataFrame, field: str) -> DataFrame:
+    return cycles(steps).select(F.split("path", " -> ")[0].alias("ck"), F.lit(field).alias("field"), F.col("path").alias("ref")).distinct()
+
+
+@rule("C17_broad_cycles", cycle_sql("select slug as a, leads_to as b from tb_draft_broad where leads_to is not null and slug not like 'part-%'").replace("__field", "leads_to"), "a cycle of the ladder")
+def broad_cycles(lib: Container) -> DataFrame:
+    """Cycles of the ladder from each of their nodes, with their paths; a step to itself is one."""
+    return cycle_rows(lib.broad.where("leads_to is not null").select(F.col("slug").alias("src"), F.col("leads_to").alias("dst")), "leads_to")
+
+
+@rule("C18_topics", "select slug as ck, cast(null as string) as id, 'slug' as field, slug as ref from tb_draft_topics t where exists (select 1 from tb_draft_broad b where b.slug = t.slug) union all select t.slug, null, 'broader', t.broader from tb_draft_topics t where broader is not null and not exists (select 1 from tb_draft_topics u where u.slug = t.broader)", "a topic's slug names a broad node, or its broader topic is unknown")
+def topic_rules(lib: Container) -> DataFrame:
+    clash = lib.topics.join(lib.broad.select("slug"), "slug", "left_semi").select(F.col("slug").alias("ck"), F.lit("slug").alias("field"), F.col("slug").alias("ref"))
+    lost = lib.topics.where("broader is not null").join(lib.topics.select(F.col("slug").alias("broader")), "broader", "left_anti").select(F.col("slug").alias("ck"), F.lit("broader").alias("field"), F.col("broader").alias("ref"))
+    return clash.unionByName(lost)
+
+
+@rule("C18_topic_cycles", cycle_sql("select slug as a, broader as b from tb_draft_topics where broader is not null").replace("__field", "broader"), "a cycle of broader topics")
+def topic_cycles(lib: Container) -> DataFrame:
+    return cycle_rows(lib.topics.where("broader is not null").select(F.col("slug").alias("src"), F.col("broader").alias("dst")), "broader")
+
+
+NARRATIVE = """(select bullet as ck, ref, case when strpos(ref, ':') > 0 then 'sharpened' when ref[1] = '@' then 'container' when regexp_matches(ref, '^(oq|[bcqmtk])[0-9]+$') then 'local'
+  when regexp_matches(ref, '^[A-Z][A-Za-z]*[0-9]{4}') then 'container' else 'broad' end as form from tb_draft_refs)"""
+
+
+@rule("C19_narrative_refs", f"""
+select ck, cast(null as string) as id, case form when 'local' then 'ambiguous' else 'dangling' end as field, ref from {NARRATIVE} l
+where form = 'local' or (form = 'sharpened' and not exists (select 1 from tb_draft_slices s where concat(s.ck, ':', s.id) = l.ref)) or (form = 'broad' and not exists (select 1 from tb_draft_broad b where b.slug = l.ref))
+  or (form = 'container' and not exists (select 1 from tb_draft_papers p where p.ck = l.ref) and not exists (select 1 from tb_draft_aims a where a.ck = l.ref))""", "a narrative's reference is local, or resolves to nothing")
+def narrative_refs(lib: Container) -> DataFrame:
+    """A narrative is no container, so a local reference is ambiguous; a sharpened one must name a slice that exists."""
+    x = lib.refs.select(F.col("bullet").alias("ck"), "ref", ref_form(F.col("ref")).alias("form"))
+    out = lambda df, why: df.select("ck", F.lit(why).alias("field"), "ref")
+    slices, keys = lib.slices.select(F.concat_ws(":", "ck", "id").alias("ref")), lib.papers.select(F.col("ck").alias("ref")).union(lib.aims.select("ck"))
+    known = {"sharpened": slices, "broad": lib.broad.select(F.col("slug").alias("ref")), "container": keys}
+    lost = [out(x.where(F.col("form") == form).join(df.distinct(), "ref", "left_anti"), "dangling") for form, df in known.items()]
+    return reduce(DataFrame.unionByName, lost, out(x.where("form = 'local'"), "ambiguous"))
+
+
+# The types a paper may have, and the keys that are derived and never authored.
+TYPES = ["original", "review", "methods", "perspective", "commentary"]
+DERIVED = ["status", "evidence", "role", "polarity"]
+
+
+@rule("C20_enums_and_keys", """
+select ck, cast(null as string) as id, 'type' as field, type as ref from tb_draft_papers where type not in ('original', 'review', 'methods', 'perspective', 'commentary')
+union all select ck, null, 'key', k from (select ck, unnest(string_split(given_keys, ',')) as k from tb_draft_papers) x where k in ('status', 'evidence', 'role', 'polarity')""", "a value beyond its enumeration, or a derived key that is authored")
+def enums_and_keys(lib: Container) -> DataFrame:
+    """Optional: what the schema says of values and keys."""
+    types = lib.papers.where(~F.col("type").isin(TYPES)).select("ck", F.lit("type").alias("field"), F.col("type").alias("ref"))
+    keys = lib.papers.select("ck", F.lit("key").alias("field"), F.explode(F.split("given_keys", ",")).alias("ref")).where(F.col("ref").isin(DERIVED))
+    return types.unionByName(keys)
+
+
+@rule("C20_leads_to_cycles", cycle_sql("select distinct gid as a, dst as b from tb_draft_links where field = 'leads_to' and form = 'local'").replace("__field", "leads_to"), "a cycle of leads_to")
+def leads_to_cycles(lib: Container) -> DataFrame:
+    """Optional: slices that lead to each other within a container."""
+    return cycle_rows(lib.links.where("field = 'leads_to' and form = 'local'").select(F.col("gid").alias("src"), "dst"), "leads_to")
+
+
+def violations(lib: Container) -> DataFrame:
+    """(rule, ck, id, field, ref, message): what every rule finds; the first error hides none of the others."""
+    return reduce(DataFrame.unionByName, [find(lib).select(F.lit(name.split("_")[0]).alias("rule"), "*", F.lit(message).alias("message")) for name, (find, message) in RULES.items()])
+
+
+@operator("C_all_violations", lambda: "select rule, cast(sum(n) as bigint) as n from (" + " union all ".join(f"select '{name.split('_')[0]}' as rule, count(*) as n from ({text}) q" for name, text in TEXTS.items()) + ") v group by rule having sum(n) > 0")
+def all_violations(lib: Library) -> DataFrame:
+    return violations(lib.draft).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-def closed_forms(refs: DataFrame) -> DataFrame:
-    return refs.select("ref", ref_form(F.col("ref")).alias("form"))
+def assert_valid(lib: Container, most: int = 10) -> None:
+    """Raise with the first violations, if there are any."""
+    if bad := violations(lib).limit(most).collect():
+        raise ValueError("; ".join(f"{r['rule']} {r['ck']}:{r['id']} {r['field']} {r['ref']}: {r['message']}" for r in bad))

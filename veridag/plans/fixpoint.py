@@ -6,21 +6,48 @@ folder, so that a lost executor costs one round. A loop that doesn't end within
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import dropped, staged
+
+
+class Known:
+    """All rows found so far, in tables of which none is less than twice as long as the one behind it: a row is written again
+    a few times at most, and a round's anti join reads few tables however many rounds there were."""
+
+    def __init__(self, first: DataFrame):
+        self.parts = [(first.count(), first)]
+
+    def add(self, n: int, part: DataFrame) -> None:
+        self.parts.append((n, part))
+        while len(self.parts) > 1 and self.parts[-2][0] < 2 * self.parts[-1][0]:
+            (m, x), (k, y) = self.parts[-2:]
+            self.parts[-2:] = [(m + k, staged(x.unionByName(y)))]
+            dropped(x)
+            if y is not part:  # the newest rows are the next round's start
+                dropped(y)
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [x for _, x in self.parts])
 
 
 def grow(start: DataFrame, edges: DataFrame, keys: list[str], step, rounds: int = 1000) -> DataFrame:
-    """start with all that step(newest rows joined with edges on node = src, round) adds, a row for each value of keys."""
-    new = staged(start)
-    known = new
+    """start with all that step(newest rows joined with edges on node = src, round) adds, a row for each value of keys.
+
+    Edges are written once, whatever they are derived from."""
+    new, own = staged(start), not hasattr(edges, "_staged_at")
+    edges = staged(edges) if own else edges
+    known = Known(new)
     for k in range(1, rounds + 1):
-        new = staged(step(new.join(edges, new["node"] == edges["src"]), k).distinct().join(known.select(*keys), keys, "left_anti"))
-        if new.isEmpty():
-            return known
-        known = known.unionByName(new)
+        found = step(new.join(edges, new["node"] == edges["src"]), k).distinct()
+        new = staged(found.join(known.all().select(*keys), keys, "left_anti"))
+        if not (n := new.count()):
+            dropped(new, *[edges] * own)
+            return known.all()
+        known.add(n, new)
     raise RuntimeError(f"no fixpoint after {rounds} rounds")
 
 
@@ -36,7 +63,7 @@ def bfs(seeds: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
 
 def closure(roots: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
     """(root, node): what each of roots(node) reaches by one edge or more; itself only on a cycle."""
-    edges = edges.select("src", "dst").distinct()
+    edges = staged(edges.select("src", "dst").distinct())
     start = roots.select(F.col("node").alias("root")).distinct().join(edges, F.col("root") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
     return grow(start, edges, ["root", "node"], lambda j, k: j.select("root", F.col("dst").alias("node")), rounds)
 
@@ -46,12 +73,14 @@ def longest(nodes: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame
 
     Level k + 1 is what level k leads to; a cycle never empties, and raises.
     """
-    edges = edges.select("src", "dst").distinct()
     new = staged(nodes.select("node").distinct())
+    within = new.select(F.col("node").alias("dst"))
+    edges = staged(edges.select("src", "dst").distinct().join(within, "dst", "left_semi"))
     levels = new.withColumn("level", F.lit(0))
     for k in range(1, rounds + 1):
-        new = staged(new.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(nodes.select("node").distinct(), "node", "left_semi"))
+        new = staged(new.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct())
         if new.isEmpty():
+            dropped(edges, new)
             return levels.groupBy("node").agg(F.max("level").alias("level"))
         levels = levels.unionByName(new.withColumn("level", F.lit(k)))
     raise RuntimeError(f"a cycle, or a path of more than {rounds} edges")

@@ -13,12 +13,12 @@ SQL: dict[str, str] = {}
 _libraries: dict[tuple[str, str], Library] = {}
 
 
-def operator(name: str, sql: str | None = None):
+def operator(name: str, sql: str | Callable[[], str] | None = None):
     def register(f: Callable[[Library], DataFrame]) -> Callable[[Library], DataFrame]:
         assert name not in OPERATORS, name
         OPERATORS[name] = f
         if sql:
-            SQL[name] = oracle(sql)
+            SQL[name] = oracle(sql() if callable(sql) else sql)
         return f
 
     return register

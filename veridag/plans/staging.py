@@ -4,17 +4,47 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_local: dict[str, str] = {}
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write df to the folder of spark.checkpoint.dir and read it back; a folder of our own only where that is unset."""
-    spark = df.sparkSession
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only a local session without that setting, as in tests, gets one of its
+    own; on a cluster a machine's own folder would not do."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="veridag-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        folder = _local.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="veridag-")
+        _local[app] = folder
+    return folder.rstrip("/")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete tables made by staged() that no later step reads."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def shared(owner: object, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several operators of one library walk or read: staged once."""
+    kept = owner.__dict__.setdefault("_shared", {})
+    if name not in kept:
+        kept[name] = staged(make())
+    return kept[name]

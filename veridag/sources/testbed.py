@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.refs import global_id, ref_form, ref_key, ref_tid
+from ..plans.staging import shared, staged
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
@@ -25,7 +26,7 @@ select concat('Ord', lpad(cast(o_orderkey as string), 8, '0'), substr(c_mktsegme
   c_mktsegment as segment, c_nationkey as nkey, c_name as author
 from orders join customer on o_custkey = c_custkey""",
     "tb_slices": """
-select ck, ln, pk, sk, qty, disc, rf, sd, case when ln % 7 = 6 then 'question' when ln % 4 = 1 then 'method' else 'claim' end as kind,
+select ck, ln, pk, sk, qty, disc, rf, sd, qty = 49 and ln % 7 <> 6 and ln % 4 <> 1 as axiom, case when ln % 7 = 6 then 'question' when ln % 4 = 1 then 'method' else 'claim' end as kind,
   concat(case when ln % 7 = 6 then 'q' when ln % 4 = 1 then 'm' else 'c' end, cast(ln as string)) as id
 from (select l_orderkey, l_linenumber as ln, min(l_partkey) as pk, min(l_suppkey) as sk, max(l_quantity) as qty, max(l_discount) as disc,
         min(l_returnflag) as rf, min(l_shipdate) as sd from lineitem group by l_orderkey, l_linenumber) li
@@ -35,7 +36,9 @@ select concat('part-', cast(p_partkey as string)) as slug, 'broad claim' as kind
 union all
 select distinct concat('brand-', substr(p_brand, 7)), 'broad claim', concat('fam-', cast(cast(substr(p_brand, 7) as int) % 4 as string)) from part
 union all
-select distinct concat('fam-', cast(cast(substr(p_brand, 7) as int) % 4 as string)), 'broad claim', cast(null as string) from part""",
+select distinct concat('fam-', cast(cast(substr(p_brand, 7) as int) % 4 as string)), 'broad claim', cast(null as string) from part
+union all
+select concat('open-', cast(s_suppkey as string)), 'broad question', cast(null as string) from supplier""",
     "tb_edges": """
 select a.ck, a.id as src, 'grounded_in' as field, b.id as ref
 from tb_slices a join tb_slices b on a.ck = b.ck and b.ln < a.ln and a.ln - b.ln <= 2 and b.kind <> 'question'
@@ -58,18 +61,25 @@ select ck, id, 'contradicts', concat('part-', cast(pk as string)) from tb_slices
 union all
 select a.ck, a.id, 'answers', b.id from tb_slices a join tb_slices b on a.ck = b.ck and b.kind = 'question' where a.kind = 'claim' and a.rf = 'N'
 union all
-select ck, id, 'grounded_in', 'm99' from tb_slices where kind = 'claim' and qty = 50""",
+select ck, id, 'grounded_in', 'm99' from tb_slices where kind = 'claim' and qty = 50
+union all
+select ck, id, 'answers', concat('open-', cast(sk as string)) from tb_slices where kind = 'claim' and disc = 0.01
+union all
+select ck, id, 'answers', concat(pck, ':', pid) from
+  (select *, lag(ck) over (partition by sk order by ck, ln) as pck, lag(id) over (partition by sk order by ck, ln) as pid from tb_slices where kind = 'question' or (kind = 'claim' and rf = 'R')) x
+where pck is not null and pck <> ck and kind = 'claim' and pid like 'q%'""",
     "tb_topics": """
-select concat('nat-', cast(n_nationkey as string)) as slug, concat('reg-', cast(n_regionkey as string)) as broader, concat('n', cast(n_nationkey as string)) as keyword from nation
+select concat('nat-', cast(n_nationkey as string)) as slug, concat('reg-', cast(n_regionkey as string)) as broader, concat('n', cast(case when n_nationkey % 10 = 3 then 100 + n_nationkey else n_nationkey end as string)) as keyword from nation
 union all
 select concat('reg-', cast(r_regionkey as string)), 'world', cast(null as string) from region
 union all
 select 'world', cast(null as string), cast(null as string)""",
     "tb_aim_slices": """
 select concat('@cust-', cast(o_custkey as string)) as ck, n, o_totalprice as price,
-  case p when 1 then 'test' when 2 then 'capability' when 3 then 'method' else 'claim' end as kind,
-  concat(case p when 1 then 't' when 2 then 'k' when 3 then 'm' else 'c' end, cast(n as string)) as id
-from (select o_custkey, o_totalprice, row_number() over (partition by o_custkey order by o_orderkey) as n, cast(substr(o_orderpriority, 1, 1) as int) as p from orders) o""",
+  case p when 1 then 'test' when 2 then 'capability' when 3 then 'method' when 0 then 'question' else 'claim' end as kind,
+  concat(case p when 1 then 't' when 2 then 'k' when 3 then 'm' when 0 then 'q' else 'c' end, cast(n as string)) as id, p = 4 and okey % 29 = 0 as axiom
+from (select o_custkey, o_totalprice, o_orderkey as okey, row_number() over (partition by o_custkey order by o_orderkey) as n,
+        case when o_orderkey % 7 = 5 then 0 else cast(substr(o_orderpriority, 1, 1) as int) end as p from orders) o""",
     "tb_aim_edges": """
 select a.ck, a.id as src, 'grounded_in' as field, b.id as ref
 from tb_aim_slices a join tb_aim_slices b on a.ck = b.ck and b.n < a.n and a.n - b.n <= 2
@@ -79,7 +89,80 @@ select a.ck, a.id, 'discriminates', b.id from tb_aim_slices a join tb_aim_slices
 union all
 select a.ck, a.id, 'enabled_by', b.id from tb_aim_slices a join tb_aim_slices b on a.ck = b.ck and abs(a.n - b.n) <= 4 where a.kind = 'test' and b.kind = 'capability'
 union all
-select ck, id, 'grounded_in', (select min(ck) from tb_papers) from tb_aim_slices where kind = 'capability' and n % 2 = 0""",
+select ck, id, 'grounded_in', (select min(ck) from tb_papers) from tb_aim_slices where kind = 'capability' and n % 2 = 0
+union all
+select a.ck, a.id, 'answers', b.id from tb_aim_slices a join tb_aim_slices b on a.ck = b.ck and abs(a.n - b.n) <= 2 where a.kind = 'claim' and b.kind = 'question' and a.n % 2 = 0
+union all
+select a.ck, a.id, 'leads_to', b.id from tb_aim_slices a join tb_aim_slices b on a.ck = b.ck and b.n = a.n + 1 where a.kind = 'claim' and b.kind = 'claim' and a.n % 3 = 0
+union all
+select ck, id, 'enabled_by', concat(pck, ':', pid) from
+  (select *, lag(ck) over (partition by n, cast(floor(price) as bigint) % 100 order by ck) as pck, lag(id) over (partition by n, cast(floor(price) as bigint) % 100 order by ck) as pid from tb_aim_slices where kind in ('test', 'capability')) x
+where pck is not null and pck <> ck and kind = 'test' and pid like 'k%'""",
+    "tb_draft_papers": """
+select ck, curated, case when okey % 13 = 0 then 'letter' when okey % 5 = 0 then 'review' else 'original' end as type,
+  case when okey % 17 = 0 then 'citekey,title,status' when okey % 19 = 0 then 'citekey,role,title,tags' else 'citekey,title,tags' end as given_keys from tb_papers
+union all
+select ck, false, 'original', 'citekey,title' from tb_papers where curated and okey % 97 = 0""",
+    "tb_draft_slices": """
+select ck, id, kind, axiom from tb_slices
+union all
+select ck, id, kind, axiom from tb_slices where pk % 97 = 0
+union all
+select ck, concat('m', cast(900 + ln as string)), 'method', true from tb_slices where kind = 'question' and qty = 49
+union all
+select ck, concat('t', cast(900 + ln as string)), 'test', pk % 2 = 0 from tb_slices where pk % 89 = 0
+union all
+select ck, id, kind, axiom from tb_aim_slices
+union all
+select ck, 'c1', 'claim', false from tb_papers where okey % 211 = 0""",
+    "tb_draft_aims": """
+select distinct ck from tb_aim_slices
+union
+select ck from tb_papers where okey % 211 = 0""",
+    "tb_draft_edges": """
+select ck, src, field, ref from tb_edges
+union all
+select ck, src, field, ref from tb_aim_edges
+union all
+select ck, id, 'leads_to', (select min(ck) from tb_papers) from tb_slices where kind = 'claim' and pk % 83 = 0
+union all
+select a.ck, a.id, case when a.pk % 79 = 0 then 'leads_to' when a.pk % 71 = 0 then 'answers' when a.pk % 61 = 0 then 'corroborates' else 'discriminates' end, b.id
+from tb_slices a join tb_slices b on a.ck = b.ck and b.ln = a.ln + 1 where a.pk % 79 = 0 or a.pk % 71 = 0 or a.pk % 61 = 0 or a.pk % 53 = 0
+union all
+select b.ck, b.id, 'leads_to', a.id from tb_slices a join tb_slices b on a.ck = b.ck and b.ln = a.ln + 1 where a.pk % 79 = 0 and a.pk % 2 = 0
+union all
+select ck, id, case pk % 3 when 0 then 'leads_to' when 1 then 'contradicts' else 'answers' end, case pk % 3 when 2 then 'fam-0' else concat('open-', cast(sk as string)) end from tb_slices where kind = 'claim' and pk % 73 = 0
+union all
+select ck, id, case n % 4 when 1 then 'leads_to' when 2 then 'answers' else 'corroborates' end, 'fam-1' from tb_aim_slices where kind in ('test', 'capability') and n % 4 > 0
+union all
+select a.ck, a.id, case when b.kind = 'capability' then 'discriminates' else 'enabled_by' end, b.id
+from tb_aim_slices a join tb_aim_slices b on a.ck = b.ck and b.n = a.n + 1 where a.kind = 'test' and b.kind in ('capability', 'method')
+union all
+select ck, id, 'enabled_by', (select min(ck) from tb_papers) from tb_aim_slices where kind = 'test' and n % 5 = 0
+union all
+select ck, id, 'enabled_by', 'k999' from tb_aim_slices where kind = 'test' and n % 7 = 0""",
+    "tb_draft_broad": """
+select slug, kind, leads_to from tb_broad
+union all
+select concat('step-', cast(n_nationkey as string)), 'broad question', case n_nationkey % 3 when 0 then 'fam-0' when 1 then concat('gone-', cast(n_regionkey as string)) else 'open-1' end from nation
+union all
+select concat('loop-', cast(n_nationkey as string)), 'broad claim', concat('loop-', cast(case when n_nationkey = 24 then 24 when n_nationkey % 2 = 0 then n_nationkey + 1 else n_nationkey - 1 end as string)) from nation""",
+    "tb_draft_topics": """
+select slug, broader from tb_topics
+union all
+select concat('part-', cast(p_partkey as string)), 'world' from part where p_partkey % 50 = 0
+union all
+select concat('lost-', cast(n_nationkey as string)), concat('gone-', cast(n_regionkey as string)) from nation where n_nationkey % 5 = 0
+union all
+select concat('ring-', cast(r_regionkey as string)), concat('ring-', cast((r_regionkey + 1) % 5 as string)) from region""",
+    "tb_draft_refs": """
+select ck as bullet, ref from tb_edges where field = 'grounded_in'
+union all
+select ck, concat(ck, ':c99') from tb_slices where pk % 47 = 0
+union all
+select ck, concat('@cust-', cast(pk as string)) from tb_slices where pk % 43 = 0
+union all
+select ck, case when pk % 2 = 0 then 'fam-0' else 'fam-9' end from tb_slices where pk % 41 = 0""",
     "tb_fulltext": """
 select concat('Doc', lpad(cast(doc_id as string), 8, '0')) as ck, doc_id,
   concat('# ', source, chr(10), chr(10), '**Keywords:** ', lang, ', ', source, '; ', upper(lang), chr(10), chr(10), '## Abstract', chr(10), chr(10),
@@ -110,8 +193,9 @@ FOR_SQL = {
     "tb_links": _LINKS.replace("{}", "tb_edges"),
     "tb_aim_links": _LINKS.replace("{}", "tb_aim_edges"),
     "tb_floor": """
-select s.ck, s.id from tb_slices s where kind = 'method'
+select s.ck, s.id from tb_slices s where axiom or kind = 'method'
   and not exists (select 1 from tb_links l where l.ck = s.ck and l.src = s.id and field = 'grounded_in' and form = 'local')""",
+    "tb_draft_links": _LINKS.replace("{}", "tb_draft_edges"),
     "tb_reach": """
 select ck, id from tb_floor
 union
@@ -162,31 +246,35 @@ class Library:
 
     @cached_property
     def papers(self) -> DataFrame:
-        return self.derived("tb_papers").persist()
+        return staged(self.derived("tb_papers"))
 
     @cached_property
     def slices(self) -> DataFrame:
-        return self.derived("tb_slices").persist()
+        return staged(self.derived("tb_slices"))
 
     @cached_property
     def broad(self) -> DataFrame:
-        return self.derived("tb_broad").persist()
+        return staged(self.derived("tb_broad"))
 
     @cached_property
     def edges(self) -> DataFrame:
-        return self.derived("tb_edges").persist()
+        return staged(self.derived("tb_edges"))
 
     @cached_property
     def topics(self) -> DataFrame:
-        return self.derived("tb_topics").persist()
+        return staged(self.derived("tb_topics"))
 
     @cached_property
     def aim_slices(self) -> DataFrame:
-        return self.derived("tb_aim_slices").persist()
+        return staged(self.derived("tb_aim_slices"))
 
     @cached_property
     def aim_edges(self) -> DataFrame:
-        return self.derived("tb_aim_edges").persist()
+        return staged(self.derived("tb_aim_edges"))
+
+    @cached_property
+    def draft(self) -> Draft:
+        return Draft(self)
 
     @cached_property
     def fulltext(self) -> DataFrame:
@@ -212,11 +300,30 @@ class Library:
 
     @cached_property
     def links(self) -> DataFrame:
-        return long_edges(self.edges).persist()
+        return staged(long_edges(self.edges))
 
     @cached_property
     def aim_links(self) -> DataFrame:
-        return long_edges(self.aim_edges).persist()
+        return staged(long_edges(self.aim_edges))
+
+
+@dataclass
+class Draft:
+    """A library before validation: papers and aims as containers, with errors in every part of it."""
+
+    library: Library
+
+    def _table(self, name: str) -> DataFrame:
+        return shared(self, name, lambda: self.library.derived(f"tb_draft_{name}"))
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name in ("papers", "slices", "aims", "edges", "broad", "topics", "refs"):
+            return self._table(name)
+        raise AttributeError(name)
+
+    @property
+    def links(self) -> DataFrame:
+        return shared(self, "links", lambda: long_edges(self.edges))
 
 
 def long_edges(edges: DataFrame) -> DataFrame:
