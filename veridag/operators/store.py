@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..plans.registry import operator
 from ..plans.staging import staged
 from ..sources.testbed import Library
+from .text import IS_LEGACY_SQL, LEGACY_SQL, NORMAL_SQL, normal_text, repaired
 
 _REFS = [T.StructField(f, T.ArrayType(T.StringType())) for f in ("grounded_in", "leads_to", "corroborates", "contradicts", "answers", "discriminates", "enabled_by")]
 LOC = T.StructType([T.StructField("page", T.IntegerType()), T.StructField("rects", T.ArrayType(T.ArrayType(T.DoubleType())))])
@@ -191,12 +192,10 @@ def report_table(lib: Library) -> DataFrame:
     return lib.papers.groupBy(F.when(F.col("curated"), "curated").otherwise("stub").alias("section")).agg(F.count("*").alias("n"))
 
 
-@operator("A7_fulltext", "select ck, length(text) as n from tb_fulltext where not regexp_matches(text, '[A-Za-z]-\\n|[ \\t]\\n|\\n{3,}') and not regexp_matches(text, '[\\x{ad}\\x{200b}-\\x{200d}\\x{2010}\\x{2011}\\x{2060}\\x{feff}]')")
+@operator("A7_fulltext", f"select ck, length({NORMAL_SQL.replace('__text', f'(case when {IS_LEGACY_SQL} then {LEGACY_SQL} else text end)')}) as n from tb_raw")
 def full_texts(lib: Library) -> DataFrame:
-    """Full texts, normalised, by length."""
-    from .text import normal_text
-
-    return lib.fulltext.select("ck", F.length(normal_text(F.col("text"))).cast("long").alias("n"))
+    """Full texts, repaired and normalised, by length."""
+    return lib.raw.select("ck", F.length(normal_text(repaired(F.col("text")))).cast("long").alias("n"))
 
 
 def openalex_columns(raw: DataFrame) -> DataFrame:

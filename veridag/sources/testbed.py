@@ -169,12 +169,29 @@ select concat('Doc', lpad(cast(doc_id as string), 8, '0')) as ck, doc_id,
     substr(replace(text, chr(10), ' '), 1, 600), '.', chr(10), chr(10), '## Introduction', chr(10), chr(10), text, chr(10), chr(10), '## References', chr(10), chr(10),
     '- A. 2020. T. doi:10.1000/ref', cast(doc_id % 37 as string), '.', chr(10), chr(10), '- B. 2021. T. doi:10.1000/REF', cast(doc_id % 11 as string), ')', chr(10)) as text
 from documents""",
+    "tb_raw": """
+select ck, doc_id, case doc_id % 5
+  when 1 then concat(replace(replace(text, 'fi', '®'), 'fl', '¯'), chr(10), 'B \x88 0 ®nds pp. 139±141 Ð 0:053 and 1 3 2', chr(10))
+  when 2 then concat(text, 'mechano-', chr(10), 'structural T2-  ', chr(10), 'B mRNA-', chr(10), 'Seq so\u00adft zero\u200bwidth non\u2010break', chr(10), chr(10), chr(10), chr(10), 'end  ')
+  else text end as text
+from tb_fulltext""",
+    "tb_pages": """
+select ck, page, layer, case when cast(substr(ck, 4) as int) % 3 = 0 and page % 4 <> 3 then concat('**==> picture [', cast(page as string), '] omitted <==**', chr(10), chr(10), '##  ', chr(10)) else layer end as md
+from tb_layers""",
+    "tb_bylines": """
+select concat('Ord', cast(o_orderkey as string)) as ck, concat('A', translate(cast(o_custkey as string), '0123456789', 'abcdefghij')) as fam1, concat('B', translate(cast(o_orderkey as string), '0123456789', 'abcdefghij')) as fam2, 'Cÿ' as fam3,
+  concat('Ana A', translate(cast(o_custkey as string), '0123456789', 'abcdefghij'), case o_orderkey % 4 when 0 then '1,2*' when 1 then '1†' when 2 then '1' else '3#' end,
+    ', Bob B', translate(cast(o_orderkey as string), '0123456789', 'abcdefghij'), case o_orderkey % 3 when 0 then '2†*' when 1 then '2,3†' else '2' end, ', Cy Cÿ3', chr(10), case o_orderkey % 5 when 4 then '' when 3 then 'For correspondence: x' else '*For correspondence: x' end,
+    chr(10), case o_orderkey % 7 when 6 then '' when 5 then '# contributed equally' else '† These authors contributed equally' end) as text
+from orders""",
     "tb_quotes": """
 select concat('Doc', lpad(cast(doc_id as string), 8, '0')) as ck, 'c1' as id, substr(text, 30, 40) as quote from documents
 union all
 select concat('Doc', lpad(cast(doc_id as string), 8, '0')), 'c2', concat(substr(text, 10, 30), ' [...] ', substr(text, 100, 30)) from documents
 union all
-select concat('Doc', lpad(cast(doc_id as string), 8, '0')), 'c3', concat('zzz not there ', cast(doc_id as string)) from documents""",
+select concat('Doc', lpad(cast(doc_id as string), 8, '0')), 'c3', concat('zzz not there ', cast(doc_id as string)) from documents
+union all
+select concat('Doc', lpad(cast(doc_id as string), 8, '0')), 'c4', concat(substr(text, 20, 30), ' **[3-5]** (Smith et al., 2019; Roe 2020a) (N = 16), ( Table 1 ) (in 2019) long- ranged') from documents""",
     "tb_works": """
 select concat('10.1000/w', cast(o_orderkey as string)) as doi, concat('Order of ', c_name) as title, year(o_orderdate) as year, c_mktsegment as venue, c_name as author, o_orderkey as seq
 from orders join customer on o_custkey = c_custkey""",
@@ -190,6 +207,10 @@ from (select *, case when strpos(ref, ':') > 0 then 'sharpened' when ref[1] = '@
   when regexp_matches(ref, '^[A-Z][A-Za-z]*[0-9]{4}') then 'container' else 'broad' end as form from {}) f"""
 #: For SQL alone: what long_edges() and the slices' flags are there.
 FOR_SQL = {
+    "tb_words": """
+select concat('Doc', lpad(cast(doc_id as string), 8, '0')) as ck, unnest(string_split_regex(text, '[ \\n]+')) as t, generate_subscripts(string_split_regex(text, '[ \\n]+'), 1) - 1 as pos,
+  (generate_subscripts(string_split_regex(text, '[ \\n]+'), 1) - 1) // 200 as page from documents""",
+    "tb_layers": "select ck, page, string_agg(t, ' ' order by pos) as layer from tb_words group by ck, page",
     "tb_links": _LINKS.replace("{}", "tb_edges"),
     "tb_aim_links": _LINKS.replace("{}", "tb_aim_edges"),
     "tb_floor": """
@@ -202,7 +223,7 @@ union
 select l.ck, l.src from tb_links l join tb_reach r on l.ck = r.ck and l.ref = r.id where l.field = 'grounded_in' and l.form = 'local'""",
     "tb_borrowed": "select distinct ck, src as id from tb_links where field = 'grounded_in' and form in ('container', 'sharpened')",
 }
-ALL = TESTBED | FOR_SQL
+ALL = {n: FOR_SQL[n] for n in ("tb_words", "tb_layers")} | TESTBED | FOR_SQL
 
 
 def needed(text: str) -> list[str]:
@@ -239,7 +260,7 @@ class Library:
     def derived(self, name: str) -> DataFrame:
         text = TESTBED[name]
         frames = {n: self.given(n) for n in TABLES if re.search(rf"\b{n}\b", text)}
-        frames |= {n: getattr(self, n[3:]) for n in TESTBED if re.search(rf"\b{n}\b", text)}
+        frames |= {n: getattr(self, n[3:]) for n in [*TESTBED, "tb_layers"] if re.search(rf"\b{n}\b", text)}
         for n in frames:
             text = re.sub(rf"(?<=from )\b{n}\b|(?<=join )\b{n}\b", "{" + n + "}", text)
         return self.spark.sql(text, **frames)
@@ -292,6 +313,25 @@ class Library:
     def list_events(self) -> DataFrame:
         return self.derived("tb_list_events")
 
+    @cached_property
+    def raw(self) -> DataFrame:
+        return self.derived("tb_raw")
+
+    @cached_property
+    def pages(self) -> DataFrame:
+        """(ck, page, layer, md): each page's text layer, and the markdown made of it."""
+        return self.derived("tb_pages")
+
+    @cached_property
+    def bylines(self) -> DataFrame:
+        return self.derived("tb_bylines")
+
+    @property
+    def layers(self) -> DataFrame:
+        """(ck, page, layer): each page's words in reading order."""
+        words = self.page_words.groupBy("ck", "page").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("w"))
+        return words.select("ck", "page", F.array_join("w.t", " ").alias("layer"))
+
     @cached_property
     def page_words(self) -> DataFrame:
         """(ck, pos, t, page, ln): the words of each document, 200 to a page and 12 to a line."""
