@@ -18,6 +18,7 @@ ORDERS = 3  # token orders; the first one's prefixes are indexed, the others' mu
 HEAVY = 1 << 20  # tokens of the table that ranks frequent ones; more of them only make longer candidate lists
 LOCAL = 4  # documents of one task from which a token is counted
 CHUNK = 2 << 20  # tokens that a task counts at once
+BLOCK_ROWS, BLOCK_TOKENS = 512, 1 << 20  # rows of a block's side, and tokens of their sets
 
 
 def mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -76,12 +77,54 @@ class Order:
         return np.where(self.tokens[at] == tokens, self.ranks[at], 0).astype(np.uint64)
 
     def prefix(self, tokens: np.ndarray, ranks: np.ndarray, size: int, order: int) -> np.ndarray:
-        """The first tokens of a set in an order, as sorted 32-bit keys."""
-        first = tokens
-        if size < len(tokens):
-            key = (ranks << np.uint64(58)) | (mix(tokens, 1000 + order) >> np.uint64(6))
-            first = tokens[np.argpartition(key, size - 1)[:size]]
-        return np.unique((first ^ (first >> np.uint64(32))).astype(np.uint32))
+        """The first tokens of a set in an order, as 32-bit keys in that order."""
+        key = (ranks << np.uint64(58)) | (mix(tokens, 1000 + order) >> np.uint64(6))
+        at = np.argpartition(key, size - 1)[:size] if size < len(tokens) else np.arange(len(tokens))
+        first = tokens[at[np.argsort(key[at])]]
+        return (first ^ (first >> np.uint64(32))).astype(np.uint32)
+
+
+def filtered(table: pa.Table, percent: int) -> pa.Table:
+    """Pairs (doc_id, other) of a block that every order's filter lets through; `own` rows meet the others.
+
+    With s tokens in both prefixes of an order, an intersection has at most s tokens more than the longer of the two rests:
+    what is in both sets is in both prefixes, or behind the prefix that ends first."""
+    own = table.column("own").to_numpy(zero_copy_only=False)
+    one, two = np.flatnonzero(own), np.flatnonzero(~own)
+    doc, n, c = (table.column(x).to_numpy() for x in ("doc_id", "n", "c"))
+    a, b = n[one][:, None], n[two][None, :]
+    fine = (c[one][:, None] != c[two][None, :]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+    size = np.array([prefix_size(k, percent) for k in n.tolist()], np.int64)
+    others = table.column("others").to_pylist()
+    for order in range(ORDERS):
+        if not fine.any():
+            break
+        raw = table.column("keys").to_pylist() if order == 0 else [x[order - 1] for x in others]
+        keys = [np.unique(np.frombuffer(r, np.uint32)) for r in raw]
+        token, code = np.unique(np.concatenate(keys), return_inverse=True)
+        row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        in_one, in_two = (np.bincount(code[own[row] == side], minlength=len(token)) > 0 for side in (True, False))
+        both = np.cumsum(in_one & in_two) - 1
+        hit = (in_one & in_two)[code]
+        code, row = both[code[hit]], row[hit]
+        place = np.zeros(len(keys), np.int64)
+        place[one], place[two] = np.arange(len(one)), np.arange(len(two))
+        shared = np.zeros((len(one), len(two)), np.float32)
+        for low in range(0, int(both[-1]) + 1 if len(both) else 0, 2048):
+            some = (code >= low) & (code < low + 2048)
+            sides = []
+            for side, k in ((True, len(one)), (False, len(two))):
+                x = np.zeros((k, 2048), np.float32)
+                mine = some & (own[row] == side)
+                x[place[row[mine]], code[mine] - low] = 1
+                sides.append(x)
+            shared += sides[0] @ sides[1].T
+        lost = size - [len(k) for k in keys]  # tokens that fell on one key
+        rest = n - size
+        most = shared.astype(np.int64) + np.maximum(rest[one][:, None], rest[two][None, :]) + lost[one][:, None] + lost[two][None, :]
+        fine &= (shared > 0) & (100 * most >= percent * (a + b - most))
+    x, y = np.nonzero(fine)
+    return pa.table({"doc_id": pa.array(doc[one][x], pa.int64()), "other": pa.array(doc[two][y], pa.int64())})
 
 
 def _sets(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -108,9 +151,11 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, bits:
 
     Equal sets are one class, led by its smallest doc_id. Candidates share a token of their prefixes in the first order
     (found by an index of the prefix tokens that a twice-seen filter leaves) and in every other order (checked before
-    the sets are compared). Each indexed token's list is led by its most central document; documents meet leaders first,
-    then leaders of what is still apart, then all that is still in different components, so that a large group of near
-    copies costs links to leaders instead of all its pairs, while no two components with a link stay apart.
+    the sets are compared), where what stands before the first shared token leaves enough of both sets. Each indexed
+    token's list is led by its most central document; documents meet leaders first, then leaders of what is still apart, so
+    that a large group of near copies costs links to leaders instead of all its pairs. Then what is still outside the
+    component of its token's leader meets the rest of that leader's lists in blocks of bounded size, which write only the
+    pairs that the filters of all orders let through. No two components with a link stay apart.
     Null or wordless texts have no shingles and link with nothing; rows with a null doc_id get a null component and link
     with nothing; repeated rows count as one document of each text. Other columns are ignored.
     """
@@ -162,9 +207,8 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, bits:
             keys, others = [], []
             for _, s in best.values():
                 ranks, size = rule.rank(s), prefix_size(len(s), percent)
-                first, *rest = (rule.prefix(s, ranks, size, k).tobytes() for k in range(ORDERS))
-                keys.append(first)
-                others.append(rest)
+                keys.append(rule.prefix(s, ranks, size, 0).tobytes())
+                others.append([np.unique(rule.prefix(s, ranks, size, k)).tobytes() for k in range(1, ORDERS)])
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in best.values()], pa.int64()), pa.array(list(best), pa.binary()), pa.array([len(s) for _, s in best.values()], pa.int64()), pa.array(keys, pa.binary()), pa.array(others, pa.list_(pa.binary()))], schema=prefix_row)
 
     leads = classes.select("sig", F.col("rep").alias("doc_id"))
@@ -182,23 +226,25 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, bits:
         yield from (pa.RecordBatch.from_pylist([r], SEEN_ARROW) for r in held.rows())
 
     twice = spark.sparkContext.broadcast(merged(prefix.select("keys").mapInArrow(seen, SEEN_SCHEMA), bits))
-    index_row = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("key", pa.int64())])
+    index_row = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("pos", pa.int32()), ("key", pa.int32())])
 
     def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column("keys").to_pylist()
-            keys = np.frombuffer(b"".join(raw), np.uint32)
-            row = np.repeat(np.arange(batch.num_rows), [len(r) // 4 for r in raw])
-            hit = in_filter(mix(keys.astype(np.uint64), 3), twice.value, bits)
-            keys, row = keys[hit], row[hit]
-            shared = np.bincount(row, minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column("doc_id").to_numpy()[row]), pa.array(batch.column("n").to_numpy()[row]), pa.array(shared[row]), pa.array(keys.astype(np.int64))], schema=index_row)
-
-    loose = stored(prefix.select("doc_id", "n", "keys").mapInArrow(rows_of, "doc_id long, n long, shared long, key long"))
+            size = pc.binary_length(batch.column("keys")).to_numpy().astype(np.int64) // 4
+            keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.uint32)
+            row = np.repeat(np.arange(batch.num_rows), size)
+            pos = np.arange(len(keys)) - np.repeat(np.cumsum(size) - size, size)
+            hit = np.flatnonzero(in_filter(mix(keys.astype(np.uint64), 3), twice.value, bits))
+            n, row = batch.column("n").to_numpy(), row[hit]
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("doc_id").to_numpy()[row]), pa.array(n[row]), pa.array(pos[hit].astype(np.int32)), pa.array(keys[hit].view(np.int32))], schema=index_row)
+
+    loose = stored(prefix.select("doc_id", "n", "keys").mapInArrow(rows_of, "doc_id long, n long, pos int, key int"))
     twice.destroy()
-    common = loose.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    index = stored(loose.join(stored(common).hint("shuffle_merge"), "key"))
+    common = stored(loose.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"))
+    # An intersection whose first token in the order is this one has no more than `most` tokens.
+    index = stored(loose.join(common.hint("shuffle_merge"), "key").select("doc_id", "n", "key", (F.col("n") - F.col("pos")).alias("most")))
     forget(loose)
+    forget(common)
     token_row = pa.schema([("doc_id", pa.int64()), ("sig", pa.binary()), ("tokens", pa.binary())])
     verified = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
 
@@ -251,37 +297,55 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, bits:
         forget(met)
         return out
 
-    near = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    both = F.least("most", "m")
+    near = 100 * both >= percent * (F.col("n") + F.col("n2") - both)
     pair = [F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")]
+    first = F.min(F.struct((-F.col("most")).alias("s"), "doc_id", "n", "most", "c")).alias("lead")
+    led = ["key", F.col("lead.doc_id").alias("other"), F.col("lead.n").alias("n2"), F.col("lead.most").alias("m"), F.col("lead.c").alias("c2")]
     tested = links = None
     for turn in range(3):
         if tested is None:
             live = index.withColumn("c", F.col("doc_id"))
         else:
             lead = stored(components(links))
-            live = stored(index.join(lead.select(F.col("id").alias("doc_id"), "component").hint("shuffle_merge"), "doc_id", "left").select("doc_id", "n", "shared", "key", F.coalesce("component", "doc_id").alias("c")))
-        ends = live.groupBy("key").agg(F.max("c").alias("high"), F.min("c").alias("low"), F.min(F.struct((-F.col("shared")).alias("s"), "doc_id", "n", "c")).alias("lead")).where("high > low")
+            live = stored(index.join(lead.select(F.col("id").alias("doc_id"), "component").hint("shuffle_merge"), "doc_id", "left").select("doc_id", "n", "most", "key", F.coalesce("component", "doc_id").alias("c")))
+        ends = live.groupBy("key").agg(F.max("c").alias("high"), F.min("c").alias("low"), first).where("high > low")
         if turn == 0:
-            met = live.join(ends.select("key", F.col("lead.doc_id").alias("other"), F.col("lead.n").alias("m")).hint("shuffle_merge"), "key").where(near & (F.col("doc_id") != F.col("other")))
+            met = live.join(ends.select(*led).hint("shuffle_merge"), "key").where(near & (F.col("doc_id") != F.col("other")))
             votes = met.groupBy("doc_id", "other").agg(F.count("*").alias("k")).groupBy("doc_id").agg(F.max(F.struct("k", (-F.col("other")).alias("o"))).alias("best"))
             pairs = votes.select("doc_id", (-F.col("best.o")).alias("other"))
         elif turn == 1:
-            apart = live.join(ends.select("key", F.col("lead.c").alias("c1"), F.col("lead.doc_id").alias("first"), F.col("lead.n").alias("n1")).hint("shuffle_merge"), "key").where("c <> c1")
-            second = apart.groupBy("key").agg(F.min(F.struct((-F.col("shared")).alias("s"), "doc_id", "n", "c")).alias("lead"))
-            to_first = apart.select("doc_id", "n", F.col("first").alias("other"), F.col("n1").alias("m"))
-            to_second = live.join(second.select("key", F.col("lead.doc_id").alias("other"), F.col("lead.n").alias("m"), F.col("lead.c").alias("c2")).hint("shuffle_merge"), "key").where("c <> c2").select("doc_id", "n", "other", "m")
-            pairs = to_first.unionByName(to_second).where(near).select("doc_id", "other")
+            apart = live.join(ends.select(*led).hint("shuffle_merge"), "key").where("c <> c2")
+            second = apart.groupBy("key").agg(first)
+            to_first = apart.where(near).select("doc_id", "other")
+            to_second = live.join(second.select(*led).hint("shuffle_merge"), "key").where("c <> c2").where(near).select("doc_id", "other")
+            pairs = to_first.unionByName(to_second)
         else:
-            rest = stored(live.join(ends.select("key").hint("shuffle_merge"), "key"))
-            twin = rest.select("key", F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("c").alias("c2"))
-            pairs = rest.join(twin.hint("shuffle_merge"), "key").where((F.col("c") < F.col("c2")) & near).select("doc_id", "other")
+            # A leader's list: all that any of its tokens lists. Lists with members outside its component are compared in blocks.
+            lists = stored(live.join(ends.select("key", F.col("lead.doc_id").alias("leader"), F.col("lead.c").alias("c1")).hint("shuffle_merge"), "key").select("leader", "doc_id", "n", "c", (F.col("c") != F.col("c1")).alias("apart")).distinct())
+            cut = lambda rows, size: F.ceil(F.greatest(rows / BLOCK_ROWS, size / BLOCK_TOKENS)).cast("int")
+            sizes = lists.groupBy("leader").agg(cut(F.count_if("apart"), F.sum(F.when(F.col("apart"), F.col("n")))).alias("down"), cut(F.count("*"), F.sum("n")).alias("across")).where(F.bool_or("apart"))
+            split = lists.join(sizes.hint("shuffle_merge"), "leader").withColumn("at", F.xxhash64("doc_id"))
+            block = lambda df, own: df.select("leader", "doc_id", "c", F.lit(own).alias("own"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
+            down = split.where("apart").withColumns({"x": F.pmod("at", "down"), "y": F.explode(F.sequence(F.lit(0), F.col("across") - 1))})
+            across = split.withColumns({"x": F.explode(F.sequence(F.lit(0), F.col("down") - 1)), "y": F.pmod("at", "across")})
+            both = block(down, True).unionByName(block(across, False))
+            filled = both.join(prefix.hint("shuffle_merge"), "doc_id")
+            pairs = filled.groupBy("leader", "x", "y").applyInArrow(lambda t: filtered(t, percent), "doc_id long, other long")
         pairs = pairs.select(*pair).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b").hint("shuffle_merge"), ["a", "b"], "left_anti")
         pairs = stored(pairs)
+        if turn == 2:
+            forget(lists)
+        if tested is not None:
+            forget(live)
+            forget(lead)
         new = verify(pairs)
         links = new if links is None else links.unionByName(new)
         tested = pairs if tested is None else tested.unionByName(pairs)
+    forget(index)
+    forget(prefix)
     lead = stored(components(links))
     of_class = classes.join(lead.select(F.col("id").alias("rep"), "component").hint("shuffle_merge"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
     by_row = rows.select("doc_id", "n", "sig").join(stored(of_class).hint("shuffle_merge"), "sig", "left")
