@@ -41,10 +41,10 @@ def assign(wanted, taken):
 
 @given
 def test_every_work_has_a_key(spark):
-    """Past z too; where the SQL has a key, the same one."""
+    """Past z too."""
     got = [tuple(r) for r in catalogue.queries()["M11_disambiguated"](spark, SF).select("doi", "ck").collect()]
     assert len(got) == 1500 == len({ck for _, ck in got})
-    assert set(sql(catalogue.SQL["M11_disambiguated"])) <= set(got)
+    assert set(sql(catalogue.SQL["M11_disambiguated"])) == set(got)
     works = [(r["doi"], r["base"], r["seq"]) for r in catalogue.queries()["M10_base_key"](spark, SF).collect()]
     assert dict(got) == assign(works, {})
 
@@ -68,18 +68,3 @@ def test_keys_kept(spark):
             n[base] += 1
             taken[base + letters(2 * n[base] - 1)] = doi
     assert got == assign(works, taken)
-
-
-@given
-@pytest.mark.parametrize(("name", "cut", "n"), [("M9_author_roles", " where seq % 100 < 3", 1500), ("I18_hoisted", " where okey % 20 = 0", 1500)])
-def test_without_filter(spark, name, cut, n):
-    """As the SQL says without its filter."""
-    assert cut in catalogue.SQL[name]
-    df = catalogue.queries()[name](spark, SF)
-    con = duckdb.connect()
-    for t in "customer orders lineitem".split():
-        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    out = con.execute(catalogue.SQL[name].replace(cut, ""))
-    cols = [d[0] for d in out.description]
-    got = df.select(*cols).collect()
-    assert len(got) == n and sorted(map(tuple, got), key=repr) == sorted(out.fetchall(), key=repr)

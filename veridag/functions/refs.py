@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,22 @@ LOCAL = r"^(?:oq|[bcqmtk])\d+$"
 CONTAINER = r"^[A-Z][A-Za-z]*\d{4}"
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Letters with accents, and the letter or digit of ASCII that each decomposes to."""
+    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))) for c in range(0xA0, 0x2100)]
+    kept = [(c, "".join(d for d in parts if not unicodedata.combining(d))) for c, parts in pairs]
+    kept = [(c, p) for c, p in kept if len(p) == 1 and p != c and p.isascii()]
+    return "".join(c for c, _ in kept), "".join(p for _, p in kept)
+
+
+ACCENTED, PLAIN = _plain_letters()
+
+
+def fold_ascii(c: Column) -> Column:
+    """Letters without their accents."""
+    return F.translate(F.regexp_replace(c, r"\p{M}", ""), ACCENTED, PLAIN)
+
+
 def ref_form(ref: Column) -> Column:
     """local, sharpened, container or broad."""
     sharpened = F.contains(ref, F.lit(":"))

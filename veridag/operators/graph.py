@@ -225,12 +225,6 @@ def assembled(lib: Library) -> DataFrame:
     return lib.papers.where("curated").select("ck").join(per, "ck", "left").na.fill(0)
 
 
-@operator("D10_authors", "select author, count(distinct ck) as papers, count(*) filter (where year is null) as undated from tb_papers group by author")
-def authors(lib: Library) -> DataFrame:
-    one = lib.papers.select("ck", "year", F.explode(F.array(F.struct(F.col("author").alias("name"), F.lit("first").alias("position")))).alias("a"))
-    return one.groupBy(F.col("a.name").alias("author")).agg(F.count_distinct("ck").alias("papers"), F.count_if(F.col("year").isNull()).alias("undated"))
-
-
 @operator("D11_claim_balance", "select dst, count(*) filter (where field = 'corroborates') as corr, count(*) filter (where field = 'contradicts') as contra from tb_links where field in ('corroborates', 'contradicts') group by dst")
 def claim_balance(lib: Library) -> DataFrame:
     votes = lib.links.where("field in ('corroborates', 'contradicts')")

@@ -9,6 +9,7 @@ from ..plans.fixpoint import closure
 from ..plans.registry import operator
 from ..plans.staging import staged
 from ..sources.testbed import Library
+from .programme import FACTS, bearing
 
 DOWN = "down(root, node) as (select slug, slug from tb_topics union select d.root, t.slug from down d join tb_topics t on t.broader = d.node)"
 
@@ -50,12 +51,12 @@ def papers_in(lib: Library) -> DataFrame:
 
 
 @operator("F5_coverage", """
-with own as (select lower(keyword) as k from tb_topics where keyword is not null and slug <> 'nat-3'), tag as (select ck, concat('n', cast(nkey as string)) as k from tb_papers where curated)
+with own as (select lower(keyword) as k from tb_topics where keyword is not null), tag as (select ck, concat('n', cast(nkey as string)) as k from tb_papers where curated)
 select 'unfiled' as what, k as item from (select distinct k from tag except select k from own) x union all select 'dead', k from (select k from own except select k from tag) y
 union all select 'stranded', ck from tag where k not in (select k from own)""")
 def coverage(lib: Library) -> DataFrame:
-    """Tags of no topic, keywords of no paper, and papers no topic holds, by topics' own keywords (one nation's topic is left out)."""
-    own = lib.topics.where("keyword is not null and slug <> 'nat-3'").select(F.lower("keyword").alias("k"))
+    """Tags of no topic, keywords of no paper, and papers no topic holds, by topics' own keywords."""
+    own = lib.topics.where("keyword is not null").select(F.lower("keyword").alias("k"))
     tag = tagged(lib).select("ck", F.lower("tag").alias("k"))
     row = lambda df, what, c: df.select(F.lit(what).alias("what"), F.col(c).alias("item"))
     return row(tag.select("k").distinct().exceptAll(own), "unfiled", "k").unionAll(row(own.select("k").subtract(tag.select("k")), "dead", "k")).unionAll(row(tag.join(own, "k", "left_anti"), "stranded", "ck"))
@@ -130,10 +131,7 @@ def first_cited(lib: Library) -> DataFrame:
     return cited.select("grant_", "key", F.row_number().over(Window.partitionBy("grant_").orderBy("at", "key")).cast("long").alias("pos"))
 
 
-@operator("G4_uncovered_bearing", f"with {BULLETS} select concat(ck, ':', id) as node from tb_slices sl where kind = 'claim' and concat(ck, ':', id) in (select dst from tb_links where field = 'corroborates') and concat(ck, ':', id) not in (select ref from refs)")
+@operator("G4_uncovered_bearing", f"with recursive {FACTS} select ck, id from bearing b where not exists (select 1 from tb_named n where n.ref = b.node)")
 def uncovered(lib: Library) -> DataFrame:
-    """Slices that others rely on and no bullet names; corroborated claims are the ones relied on here."""
-    relied = lib.links.where("field = 'corroborates'").select(F.col("dst").alias("node"))
-    claims = lib.slices.where("kind = 'claim'").select(F.concat_ws(":", "ck", "id").alias("node"))
-    named = bullets(lib).select(F.explode("refs").alias("node"))
-    return claims.join(relied, "node", "left_semi").join(named, "node", "left_anti")
+    """Load-bearing assumptions that no bullet names."""
+    return bearing(lib).join(lib.named.select(F.col("ref").alias("node")).hint("shuffle_merge"), "node", "left_anti").select("ck", "id")

@@ -36,10 +36,10 @@ def contributions(lib: Library) -> DataFrame:
     return links_of(lib, "leads_to").where("form = 'broad'").select("ck", F.col("src").alias("via"), F.col("ref").alias("slug"))
 
 
-@operator("H4_answers", "select ck, src as via, key, tid from tb_links where field in ('answers', 'corroborates') and key <> ck")
+@operator("H4_answers", "select ck, src as via, key, tid from tb_links where field = 'answers' and key <> ck")
 def far_answers(lib: Library) -> DataFrame:
-    """Answers to another paper's questions; corroborations stand in as answers too, as answers stay within papers here."""
-    return links_of(lib, "answers", "corroborates").where("key <> ck").select("ck", F.col("src").alias("via"), "key", "tid")
+    """Answers to another paper's questions."""
+    return links_of(lib, "answers").where("key <> ck").select("ck", F.col("src").alias("via"), "key", "tid")
 
 
 @operator("H5_builds", f"select g.key as ck, string_agg(concat(g.ck, ':', via), ',' order by g.ck, via) as builders from ({GROUNDS}) g join tb_papers p on p.ck = g.key and p.curated group by g.key")
@@ -65,11 +65,10 @@ def paper_records(lib: Library) -> DataFrame:
 METER = "select ref, count(distinct gid) filter (where field in ('leads_to', 'corroborates')) as support, count(distinct gid) filter (where field = 'contradicts') as contradict from tb_links where form = 'broad' and field <> 'grounded_in' group by ref"
 
 
-@operator("H8_broad_record", f"select slug, kind, case when kind = 'broad claim' then coalesce(support, 0) end as support, case when kind = 'broad claim' then coalesce(contradict, 0) end as contradict from (select slug, case when slug like 'fam-%' then 'broad question' else kind end as kind from tb_broad) b left join ({METER}) m on m.ref = b.slug")
+@operator("H8_broad_record", f"select slug, kind, case when kind = 'broad claim' then coalesce(support, 0) end as support, case when kind = 'broad claim' then coalesce(contradict, 0) end as contradict from tb_broad b left join ({METER}) m on m.ref = b.slug")
 def broad_records(lib: Library) -> DataFrame:
-    """Broad nodes with their meters, which only claims have; the families stand in as questions, to give cases."""
-    kind = F.when(F.startswith("slug", F.lit("fam-")), "broad question").otherwise(F.col("kind"))
-    b = lib.broad.select("slug", kind.alias("kind")).join(broad_meter(lib), "slug", "left")
+    """Broad nodes with their meters, which only claims have."""
+    b = lib.broad.select("slug", "kind").join(broad_meter(lib), "slug", "left")
     return b.select("slug", "kind", *[F.when(F.col("kind") == "broad claim", F.coalesce(c, F.lit(0))).alias(c) for c in ("support", "contradict")])
 
 

@@ -77,10 +77,10 @@ def pin_neighbours(lib: Library) -> DataFrame:
     return both.join(lib.papers.where("okey % 50 = 0").select(F.col("ck").alias("pin")), "pin", "left_semi").distinct()
 
 
-@operator("K8_next_to_curate", f"select target, count(*) as n from ({PAIRS.replace('ck, key as target', 'segment as ck, key as target').replace('from tb_links', 'from tb_links join tb_papers using (ck)')}) p group by target order by n desc, target limit 20")
+@operator("K8_next_to_curate", f"select target, count(*) as n from ({PAIRS}) p where target not in (select ck from tb_papers where curated) group by target order by n desc, target limit 20")
 def next_to_curate(lib: Library, most: int = 20) -> DataFrame:
-    """The papers cited by the most segments: a report of the first `most`."""
-    p = lib.links.where("field = 'grounded_in' and form in ('container', 'sharpened')").join(lib.papers.select("ck", "segment"), "ck").select("segment", F.col("key").alias("target")).distinct()
+    """A report: the first `most` of what isn't curated, by how many papers cite it."""
+    p = citation_pairs(lib).join(lib.papers.where("curated").select(F.col("ck").alias("target")), "target", "left_anti")
     return p.groupBy("target").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "target").limit(most)
 
 

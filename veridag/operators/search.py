@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.refs import fold_ascii
 from ..plans.registry import operator
 from ..sources.testbed import Library
-from .graph import landing_order
+from .graph import landing_order, ranks
 
 BLOB = "select p.*, lower(concat_ws(' ', ck, title, author, journal, cast(year as string))) as blob, substr(ck, 12) as token from tb_papers p where okey % 7 <> 0"
 
@@ -80,24 +81,29 @@ def ranked_facet(lib: Library, most: int = 3, pinned: str = "9") -> DataFrame:
 
 
 # Particles that belong to a family name.
-PARTICLES = ["da", "de", "del", "della", "der", "di", "du", "la", "le", "ten", "ter", "van", "von"]
+PARTICLES = ["van", "von", "de", "der", "den", "du", "del", "della", "di", "da", "dos", "la", "le", "ter", "ten"]
 
 
 def author_id(name: Column) -> Column:
-    """family|initial, accents and case folded: "Family, Given", or the last word with the particles before it."""
-    fold = lambda c: F.regexp_replace(F.lower(F.translate(c, "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖØòóôõöøÙÚÛÜùúûüÝýÿ", "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOOooooooUUUUuuuuYyy")), r"[^\p{L}\p{N} ]", "")
-    words = F.split(F.trim(name), r"\s+")
-    comma = F.contains(name, F.lit(","))
-    pattern = r"^(.*?)\s*((?:(?:" + "|".join(PARTICLES) + r")\s+)*\S+)$"
-    family = F.when(comma, F.split(name, r"\s*,\s*", 2)[0]).otherwise(F.regexp_extract(F.trim(name), "(?i)" + pattern, 2))
-    given = F.when(comma, F.split(name, r"\s*,\s*", 2)[1]).otherwise(F.when(F.size(words) > 1, words[0]).otherwise(""))
-    return F.concat_ws("|", F.trim(fold(family)), F.substring(F.trim(fold(given)), 1, 1))
-
-
-@operator("J7_author_id", "select c_name, concat(lower(regexp_replace(c_mktsegment, '[^A-Za-z]', '')), '|', lower(substr(c_name, 1, 1))) as id from customer")
+    """family|initial, accents and case folded: "Family, Given", or the last word with the particles before it, of which the
+    first word is none. Null for an empty name."""
+    flat = F.trim(F.regexp_replace(F.regexp_replace(name, "[\u2010-\u2015]", "-"), r"\s+", " "))
+    comma = F.contains(flat, F.lit(","))
+    pattern = rf"(?i)^(\S+(?: \S+)*?) ((?:(?:{'|'.join(PARTICLES)})\.? )*\S+)$"
+    several = flat.rlike(pattern)
+    family = F.when(comma, F.trim(F.split(flat, ",", 2)[0])).when(several, F.regexp_extract(flat, pattern, 2)).otherwise(flat)
+    given = F.when(comma, F.trim(F.split(flat, ",", 2)[1])).when(several, F.regexp_extract(flat, pattern, 1)).otherwise("")
+    fold = lambda c: F.lower(fold_ascii(c))
+    return F.when(family != "", F.concat_ws("|", fold(family), fold(F.regexp_extract(given, "[A-Za-z\u00c0-\u024f]", 0))))
+
+
+@operator("J7_author_id", """
+select c_custkey, case c_custkey % 5 when 0 then concat('den b', w, '|j') when 1 then concat('dos s', w, '|a') when 2 then concat('o''simek', w, '|k') when 3 then concat('beethoven-', w, '|') else concat('der b', w, '|v') end as id
+from (select c_custkey, translate(cast(c_custkey as string), '0123456789', 'abcdefghij') as w from customer) c""")
 def author_ids(lib: Library) -> DataFrame:
-    name = F.concat(F.regexp_replace("c_mktsegment", "[^A-Za-z]", ""), F.lit(", "), "c_name")
-    return lib.given("customer").select("c_name", author_id(name).alias("id"))
+    c = lib.given("customer").select("c_custkey", F.translate(F.col("c_custkey").cast("string"), "0123456789", "abcdefghij").alias("w"))
+    forms = [F.concat(F.lit(a), "w", F.lit(b)) for a, b in (("Jan den  B", ""), ("Anna Maria dos S", ""), ("O'Šimek", ", Karel"), ("Beethoven\u2011", ""), ("van der B", ""))]
+    return c.select("c_custkey", author_id(F.element_at(F.array(*forms), (F.col("c_custkey") % 5 + 1).cast("int"))).alias("id"))
 
 
 @operator("J8_distinct_authors", "select distinct segment as ck, author as id from tb_papers")
@@ -118,9 +124,14 @@ def venue_names(lib: Library) -> DataFrame:
     return n.withColumn("r", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("n"), F.length("journal"), "journal"))).where("r = 1").select("token", "journal")
 
 
-@operator("J11_sorts", "select ck, row_number() over (partition by segment order by coalesce(year, 0) desc, title, ck) as pos from tb_papers")
+@operator("J11_sorts", """
+select a.ck, a.pos as by_pass, b.pos as by_year, c.pos as by_title from (select ck, row_number() over (order by curated desc, case when curated then coalesce(pass, -1) else 0 end desc, coalesce(year, 0) desc, ck) as pos from tb_papers) a
+join (select ck, row_number() over (order by coalesce(year, 0) desc, title, ck) as pos from tb_papers) b on b.ck = a.ck join (select ck, row_number() over (order by title, ck) as pos from tb_papers) c on c.ck = a.ck""")
 def sorts(lib: Library) -> DataFrame:
-    return lib.papers.select("ck", F.row_number().over(Window.partitionBy("segment").orderBy(F.coalesce("year", F.lit(0)).desc(), "title", "ck")).cast("long").alias("pos"))
+    """The three orders of a list: as it lands, by falling year, by title."""
+    p = lib.papers
+    place = lambda order, name: ranks(p, order, name).select("ck", name)
+    return place(landing_order(p), "by_pass").join(place([F.coalesce("year", F.lit(0)).desc(), F.col("title"), F.col("ck")], "by_year"), "ck").join(place([F.col("title"), F.col("ck")], "by_title"), "ck")
 
 
 @operator("J12_n_of_m", f"select count(*) filter (where p_scope and p_token) as n, count(*) as m from ({PASS}) x")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.registry import operator
-from ..plans.staging import staged
+from ..plans.staging import shared_folder, staged
 from ..sources.testbed import Library
+from .bibliography import first_year, normal_doi, plain_abstract
+from .programme import FACTS, REPORT, report
 from .text import IS_LEGACY_SQL, LEGACY_SQL, NORMAL_SQL, normal_text, repaired
 
 _REFS = [T.StructField(f, T.ArrayType(T.StringType())) for f in ("grounded_in", "leads_to", "corroborates", "contradicts", "answers", "discriminates", "enabled_by")]
@@ -19,7 +23,7 @@ GROUPS = {"claims": "claim", "questions": "question", "methods": "method", "test
 PAPER = T.StructType([*[T.StructField(c, T.StringType()) for c in ("title", "type", "doi", "note", "abstract", "journal")], T.StructField("year", T.IntegerType()), T.StructField("pass", T.IntegerType()), T.StructField("authors", T.ArrayType(AUTHOR)), T.StructField("tags", T.ArrayType(T.StringType())), *[T.StructField(g, T.ArrayType(SLICE)) for g in GROUPS]])
 BIB = T.StructType([T.StructField("title", T.StringType()), T.StructField("authors", T.ArrayType(T.StringType())), T.StructField("journal", T.StringType()), T.StructField("year", T.IntegerType()), T.StructField("doi", T.StringType()), T.StructField("type", T.StringType())])
 OPENALEX = "id string, doi string, title string, display_name string, publication_year int, type string, authorships array<struct<author:struct<display_name:string>,is_corresponding:boolean>>, primary_location struct<source:struct<display_name:string>>, referenced_works array<string>, abstract_inverted_index map<string,array<int>>"
-CROSSREF = "DOI string, title array<string>, `container-title` array<string>, type string, issued struct<`date-parts`:array<array<int>>>, author array<struct<family:string,given:string>>, reference array<struct<DOI:string>>, abstract string"
+CROSSREF = "DOI string, title array<string>, `container-title` array<string>, type string, issued struct<`date-parts`:array<array<int>>>, `published-print` struct<`date-parts`:array<array<int>>>, `published-online` struct<`date-parts`:array<array<int>>>, published struct<`date-parts`:array<array<int>>>, author array<struct<family:string,given:string>>, reference array<struct<DOI:string>>, abstract string"
 
 
 def with_defaults(papers: DataFrame) -> DataFrame:
@@ -31,33 +35,73 @@ def with_defaults(papers: DataFrame) -> DataFrame:
     return out.withColumn("authors", F.transform("authors", author))
 
 
-def load_papers(spark: SparkSession, path: str, form: str = "json") -> DataFrame:
-    """Curated papers of a folder, a record a file (its name is the key) or a row."""
-    raw = spark.read.schema(PAPER).option("multiLine", form == "json").format(form).load(path)
-    return with_defaults(raw.withColumn("ck", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.\w+$", 1)).withColumn("curated", F.lit(True)))
+def named(df: DataFrame, key: str, files: bool) -> DataFrame:
+    """df with its records' key: the file's name where each file is a record, else what the record says."""
+    return df.withColumn(key, F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.\w+$", 1)) if files else df
+
+
+def records(spark: SparkSession, path: str, schema: T.StructType, key: str, files: bool) -> DataFrame:
+    whole = T.StructType([T.StructField(key, T.StringType()), *schema.fields])
+    return named(spark.read.schema(schema if files else whole).option("multiLine", files).json(path), key, files)
+
 
+def load_papers(spark: SparkSession, path: str, files: bool = True) -> DataFrame:
+    """Curated papers in JSON, a record a file or a line. One that plans tests or capabilities raises: these are an aim's."""
+    raw = records(spark, path, PAPER, "ck", files).withColumn("curated", F.lit(True))
+    planned = (F.coalesce(F.size("tests"), F.lit(0)) > 0) | (F.coalesce(F.size("capabilities"), F.lit(0)) > 0)
+    error = F.raise_error(F.concat("ck", F.lit(": tests and capabilities belong to an aim, not a paper"))).cast("string")
+    return with_defaults(raw.withColumn("ck", F.when(planned, error).otherwise(F.col("ck"))))
 
-def load_stubs(spark: SparkSession, path: str) -> DataFrame:
-    """A map of keys to bibliographic records in JSON."""
-    text = spark.read.text(path, wholetext=True)
+
+def load_aims(spark: SparkSession, path: str, files: bool = True) -> DataFrame:
+    """Aims in JSON, like papers; their keys get the sign of aims where it is missing."""
+    raw = with_defaults(records(spark, path, PAPER, "ck", files))
+    return raw.withColumn("ck", F.when(F.startswith("ck", F.lit("@")), F.col("ck")).otherwise(F.concat(F.lit("@"), "ck")))
+
+
+def load_stubs(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+    """Maps of keys to bibliographic records in JSON, a map a file or a line."""
+    text = spark.read.text(path, wholetext=whole)
     pairs = text.select(F.explode(F.from_json("value", T.MapType(T.StringType(), BIB))).alias("ck", "bib"))
     return pairs.select("ck", F.lit(False).alias("curated"), F.coalesce("bib.title", F.lit("")).alias("title"), F.coalesce("bib.type", F.lit("original")).alias("type"), "bib.year", "bib.doi", "bib.journal", F.transform(F.coalesce("bib.authors", F.array().cast("array<string>")), lambda n: F.struct(n.alias("name"), F.lit("").alias("position"), F.lit(False).alias("corresponding"))).alias("authors"))
 
 
-def load_broad(spark: SparkSession, path: str) -> DataFrame:
-    """Broad nodes of the folders claims, questions and methods below path."""
-    one = lambda folder, kind: spark.read.schema("title string, text string, leads_to array<string>").option("multiLine", True).json(f"{path}/{folder}").select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.\w+$", 1).alias("slug"), F.lit(f"broad {kind}").alias("kind"), F.coalesce("title", F.lit("")).alias("title"), "text", F.coalesce("leads_to", F.array().cast("array<string>")).alias("leads_to"))
+NODE = T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType()), T.StructField("leads_to", T.ArrayType(T.StringType()))])
+
+
+def load_broad(spark: SparkSession, path: str, files: bool = True) -> DataFrame:
+    """Broad nodes of the folders claims, questions and methods below path; the folder is the kind."""
+    one = lambda folder, kind: records(spark, f"{path}/{folder}", NODE, "slug", files).select("slug", F.lit(f"broad {kind}").alias("kind"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("leads_to", F.array().cast("array<string>")).alias("leads_to"))
     return one("claims", "claim").unionByName(one("questions", "question")).unionByName(one("methods", "method"))
 
 
+def load_topics(spark: SparkSession, path: str) -> DataFrame:
+    """Topics in JSON lines; an empty table where there are none."""
+    schema = "slug string, title string, note string, keywords array<string>, broader array<string>"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return spark.read.schema(schema).json(path) if there else spark.createDataFrame([], schema)
+
+
+def written(df: DataFrame, name: str = "") -> str:
+    """df as JSON lines in the shared folder; the path."""
+    path = f"{shared_folder(df.sparkSession)}/records-{uuid.uuid4().hex}{name}"
+    df.write.json(path)
+    return path
+
+
 def load_openalex(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema(OPENALEX).json(path)
     return raw.select(F.regexp_replace("id", "^.*/", "").alias("id"), F.lower(F.regexp_replace("doi", r"^https?://(?:dx\.)?doi\.org/", "")).alias("doi"), F.coalesce("title", "display_name", F.lit("")).alias("title"), F.col("publication_year").alias("year"), F.col("type").alias("type_raw"), F.col("primary_location.source.display_name").alias("venue"), F.transform("authorships", lambda a: F.struct(a["author"]["display_name"].alias("name"), a["is_corresponding"].alias("corresponding"))).alias("authors"), F.transform("referenced_works", lambda w: F.regexp_replace(w, "^.*/", "")).alias("referenced_works"), F.col("abstract_inverted_index").alias("index"))
 
 
 def load_crossref(spark: SparkSession, path: str) -> DataFrame:
+    """Works of Crossref messages: the first date that has a year, references that have a DOI, abstracts without markup."""
     raw = spark.read.schema(CROSSREF).json(path)
-    return raw.select(F.lower("DOI").alias("doi"), F.col("title")[0].alias("title"), F.col("container-title")[0].alias("venue"), F.col("type").alias("type_raw"), F.nullif(F.col("issued")["date-parts"][0][0], F.lit(0)).alias("year"), F.transform("author", lambda a: F.concat_ws(" ", a["given"], a["family"])).alias("authors"), F.transform(F.filter("reference", lambda r: r["DOI"].isNotNull()), lambda r: F.lower(r["DOI"])).alias("referenced_dois"), "abstract")
+    first = lambda c: F.get(c, F.lit(0))
+    year = first_year(*[first(first(F.col(f"`{c}`")["date-parts"])) for c in ("issued", "published-print", "published-online", "published")])
+    stated = F.filter("reference", lambda r: r["DOI"].isNotNull())
+    return raw.select(normal_doi(F.col("DOI")).alias("doi"), F.coalesce(first(F.col("title")), first(F.col("container-title")), F.lit("")).alias("title"), first(F.col("container-title")).alias("venue"), F.col("type").alias("type_raw"), year.alias("year"), F.transform("author", lambda a: F.trim(F.concat_ws(" ", a["given"], a["family"]))).alias("authors"), F.transform(stated, lambda r: normal_doi(r["DOI"])).alias("referenced_dois"), plain_abstract(F.col("abstract")).alias("abstract"))
 
 
 def flat_slices(papers: DataFrame) -> DataFrame:
@@ -66,45 +110,47 @@ def flat_slices(papers: DataFrame) -> DataFrame:
     return papers.select("ck", F.posexplode(F.concat(*lists)).alias("ord", "x")).select("ck", "ord", "x.kind", "x.s.*")
 
 
-@operator("A1_load_papers", "select s.ck, s.id, s.kind from tb_slices s where kind <> 'question'")
+def nested(slices: DataFrame, order: str) -> DataFrame:
+    """(ck, claims, questions, ...): slices as lists of records by group."""
+    of = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct(order, "id")))), lambda s: F.struct(s["id"].alias("id")))
+    return slices.groupBy("ck").agg(*[of(kind).alias(group) for group, kind in GROUPS.items()])
+
+
+@operator("A1_load_papers", "select ck, id, kind from tb_slices")
 def papers_from_records(lib: Library) -> DataFrame:
-    """Papers as nested JSON records, parsed with the schema, given defaults and flattened again."""
-    of = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("ln", "id")))), lambda s: F.struct(s["id"].alias("id")))
-    records = lib.slices.groupBy("ck").agg(F.to_json(F.struct(of("claim").alias("claims"), of("method").alias("methods"), F.lit(1).alias("unknown_key"))).alias("record"))
-    parsed = records.select("ck", F.from_json("record", PAPER).alias("p")).select("ck", "p.*")
-    return flat_slices(with_defaults(parsed)).select("ck", "id", "kind")
+    """Papers written as nested records with a key that no one knows, loaded and flattened."""
+    path = written(nested(lib.slices, "ln").withColumn("unknown_key", F.lit(1)))
+    return flat_slices(load_papers(lib.spark, path, files=False)).select("ck", "id", "kind")
 
 
 @operator("A2_load_stubs", "select ck, title, year from tb_papers where not curated")
 def stubs_from_map(lib: Library) -> DataFrame:
-    """Stubs as maps of keys to records, a map for each segment, exploded."""
-    maps = lib.papers.where("not curated").groupBy("segment").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("ck", F.struct("title", "year"))))).alias("m"))
-    return maps.select(F.explode(F.from_json("m", T.MapType(T.StringType(), BIB))).alias("ck", "b")).select("ck", "b.title", "b.year")
+    path = f"{shared_folder(lib.spark)}/stubs-{uuid.uuid4().hex}"
+    lib.papers.where("not curated").select(F.to_json(F.create_map("ck", F.struct("title", "year"))).alias("value")).write.text(path)
+    return load_stubs(lib.spark, path, whole=False).select("ck", "title", "year")
 
 
 @operator("A3_load_broad", "select slug, kind, leads_to from tb_broad")
 def broad_by_folder(lib: Library) -> DataFrame:
-    level = lambda prefix: lib.broad.where(F.startswith("slug", F.lit(prefix))).select("slug", F.lit("broad claim").alias("kind"), "leads_to")
-    return level("part-").unionByName(level("brand-")).unionByName(level("fam-"))
+    base = f"{shared_folder(lib.spark)}/broad-{uuid.uuid4().hex}"
+    up = F.when(F.col("leads_to").isNotNull(), F.array("leads_to")).alias("leads_to")
+    for folder in ("claims", "questions", "methods"):
+        lib.broad.where(F.col("kind") == f"broad {folder[:-1]}").select("slug", up).write.json(f"{base}/{folder}")
+    return load_broad(lib.spark, base, files=False).select("slug", "kind", F.explode_outer("leads_to").alias("leads_to"))
 
 
-@operator("A4_load_aims", "select distinct ck from tb_aim_slices")
+@operator("A4_load_aims", "select ck, id, kind from tb_aim_slices")
 def aims(lib: Library) -> DataFrame:
-    bare = lib.aim_slices.select(F.regexp_replace("ck", "^@", "").alias("ck")).distinct()
-    return bare.select(F.when(F.startswith("ck", F.lit("@")), F.col("ck")).otherwise(F.concat(F.lit("@"), "ck")).alias("ck"))
+    """Aims written without their sign, loaded and flattened."""
+    bare = nested(lib.aim_slices.withColumn("ck", F.regexp_replace("ck", "^@", "")), "n")
+    return flat_slices(load_aims(lib.spark, written(bare), files=False)).select("ck", "id", "kind")
 
 
 @operator("A5_load_topics", "select slug, broader, keyword from tb_topics")
 def topic_table(lib: Library) -> DataFrame:
-    return lib.topics
-
-
-def topics_or_none(spark: SparkSession, path: str) -> DataFrame:
-    """Topics of a JSON file; an empty table where there is none."""
-    schema = "slug string, title string, note string, keywords array<string>, broader array<string>"
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-    return spark.read.schema(schema).json(path) if there else spark.createDataFrame([], schema)
+    one = lambda c, name: F.when(F.col(c).isNotNull(), F.array(c)).alias(name)
+    path = written(lib.topics.select("slug", one("broader", "broader"), one("keyword", "keywords")))
+    return load_topics(lib.spark, path).select("slug", F.explode_outer("broader").alias("broader"), "keywords").select("slug", "broader", F.explode_outer("keywords").alias("keyword"))
 
 
 @operator("A6_load_narratives", "select author as grant_, coalesce(year, 0) as sec_title, ck as text, row_number() over (partition by author, coalesce(year, 0) order by ck) - 1 as bul_no from tb_papers")
@@ -187,9 +233,30 @@ def fill_abstracts(lib: Library) -> DataFrame:
     return p.select("ck", F.when(F.trim(F.coalesce("abstract", F.lit(""))) == "", "new").otherwise(F.col("abstract")).alias("abstract"))
 
 
-@operator("A20_report_table", "select section, count(*) as n from (select case when curated then 'curated' else 'stub' end as section from tb_papers) x group by section")
+# A report's sections in order, their headings and notes.
+SECTIONS = {
+    "assumptions": ("load-bearing assumptions", "ranked by blast radius — what you rely on with no test"),
+    "speculation": ("speculation", "no evidence, no test"),
+    "at_risk": ("tests at risk", "a capability is claimed but not evidenced"),
+    "aspirational": ("aspirational capabilities", ""),
+    "open_questions": ("open questions", ""),
+    "orphans": ("orphans", "nothing points at these"),
+}
+HEADS_SQL = " union all ".join(f"select '{s}' as section, '  {h} (' as head, ')' || '{' — ' + n if n else ''}' as note" for s, (h, n) in SECTIONS.items())
+
+
+@operator("A20_report_table", f"""
+with recursive {FACTS}, lines as (select section, row_number() over (partition by section order by weight desc, node) as rank, concat('    ', node, case when detail = '' then '' else concat('  [', detail, ']') end) as line from ({REPORT}) x)
+select section, rank, line from lines union all select h.section, 0, concat(head, cast(n as string), note) from ({HEADS_SQL}) h join (select section, count(*) as n from lines group by section) k on k.section = h.section""")
 def report_table(lib: Library) -> DataFrame:
-    return lib.papers.groupBy(F.when(F.col("curated"), "curated").otherwise("stub").alias("section")).agg(F.count("*").alias("n"))
+    """The programme's report as lines: a heading with its count, and a line for each finding; empty sections have none."""
+    r = report(lib)
+    tail = F.when(F.col("detail") == "", "").otherwise(F.concat(F.lit("  ["), "detail", F.lit("]")))
+    lines = r.select("section", "rank", F.concat(F.lit("    "), "node", tail).alias("line"))
+    n = r.groupBy("section").agg(F.count("*").cast("string").alias("n"))
+    head = lambda s, h, note: F.when(F.col("section") == s, F.concat(F.lit(f"  {h} ("), "n", F.lit(")" + (f" — {note}" if note else ""))))
+    heads = n.select("section", F.lit(0).cast("long").alias("rank"), F.coalesce(*[head(s, *x) for s, x in SECTIONS.items()]).alias("line"))
+    return heads.unionByName(lines)
 
 
 @operator("A7_fulltext", f"select ck, length({NORMAL_SQL.replace('__text', f'(case when {IS_LEGACY_SQL} then {LEGACY_SQL} else text end)')}) as n from tb_raw")
@@ -198,26 +265,21 @@ def full_texts(lib: Library) -> DataFrame:
     return lib.raw.select("ck", F.length(normal_text(repaired(F.col("text")))).cast("long").alias("n"))
 
 
-def openalex_columns(raw: DataFrame) -> DataFrame:
-    """Works of OpenAlex records, as load_openalex reads them."""
-    return raw.select(F.lower(F.regexp_replace("doi", r"^https?://(?:dx\.)?doi\.org/", "")).alias("doi"), F.coalesce("title", "display_name", F.lit("")).alias("title"), F.col("publication_year").alias("year"), F.col("primary_location.source.display_name").alias("venue"), F.transform("authorships", lambda a: a["author"]["display_name"]).alias("authors"))
-
-
 @operator("A8_openalex_works", "select doi, title, year, venue, author from tb_works")
 def openalex_works(lib: Library) -> DataFrame:
-    """Works written as OpenAlex records and read with their schema."""
+    """Works written as a dump of OpenAlex records, and loaded."""
     name = lambda c: F.struct(F.col(c).alias("display_name"))
-    record = F.to_json(F.struct(F.concat(F.lit("https://doi.org/"), F.upper("doi")).alias("doi"), F.col("title").alias("display_name"), F.col("year").alias("publication_year"), F.array(F.struct(name("author").alias("author"), F.lit(True).alias("is_corresponding"))).alias("authorships"), F.struct(name("venue").alias("source")).alias("primary_location")))
-    raw = lib.works.select(F.from_json(record, OPENALEX).alias("r")).select("r.*")
-    return openalex_columns(raw).withColumn("author", F.col("authors")[0]).drop("authors")
+    path = written(lib.works.select(F.concat(F.lit("https://doi.org/"), F.upper("doi")).alias("doi"), F.col("title").alias("display_name"), F.col("year").alias("publication_year"), F.array(F.struct(name("author").alias("author"), F.lit(True).alias("is_corresponding"))).alias("authorships"), F.struct(name("venue").alias("source")).alias("primary_location")))
+    return load_openalex(lib.spark, path).select("doi", "title", "year", "venue", F.col("authors")[0]["name"].alias("author"))
 
 
 @operator("A9_crossref_works", "select doi, title, year, venue, author from tb_works")
 def crossref_works(lib: Library) -> DataFrame:
-    """Works written as Crossref messages and read with their schema; references without a DOI are dropped."""
-    record = F.to_json(F.struct(F.upper("doi").alias("DOI"), F.array("title").alias("title"), F.array("venue").alias("container-title"), F.struct(F.array(F.array("year")).alias("date-parts")).alias("issued"), F.array(F.struct(F.col("author").alias("family"))).alias("author")))
-    raw = lib.works.select(F.from_json(record, CROSSREF).alias("r")).select("r.*")
-    return raw.select(F.lower("DOI").alias("doi"), F.col("title")[0].alias("title"), F.nullif(F.col("issued")["date-parts"][0][0], F.lit(0)).alias("year"), F.col("container-title")[0].alias("venue"), F.col("author")[0]["family"].alias("author"))
+    """Works written as a dump of Crossref messages, and loaded; the year stands in one of four dates."""
+    date = lambda k: F.struct(F.array(F.array(F.when(F.col("seq") % 4 == k, F.col("year")))).alias("date-parts"))
+    dates = [date(k).alias(c) for k, c in enumerate(("issued", "published-print", "published-online", "published"))]
+    path = written(lib.works.select(F.upper("doi").alias("DOI"), F.array("title").alias("title"), F.array("venue").alias("container-title"), *dates, F.array(F.struct(F.col("author").alias("family"))).alias("author")))
+    return load_crossref(lib.spark, path).select("doi", "title", "year", "venue", F.col("authors")[0].alias("author"))
 
 
 @operator("A10_page_words", "select ck, page, count(*) as n, max(t) as last from (select concat('Doc', lpad(cast(doc_id as string), 8, '0')) as ck, unnest(string_split_regex(text, '[ \\n]+')) as t, (generate_subscripts(string_split_regex(text, '[ \\n]+'), 1) - 1) // 200 as page from documents) w where t <> '' group by ck, page")

@@ -145,10 +145,10 @@ def fan_out(lib: Library) -> DataFrame:
     return adjacency(lib).groupBy(F.split("a", ":")[0].alias("ck")).agg(F.count_distinct(F.split("b", ":")[0]).alias("cards"), F.count("*").alias("edges"))
 
 
-@operator("I13_citation_wall", "select l.ck, count(distinct l.key) as wall from tb_links l where l.field = 'grounded_in' and l.form in ('container', 'sharpened') and l.key not in (select ck from tb_papers where curated and pass is not null) group by l.ck")
+@operator("I13_citation_wall", "select l.ck, count(distinct l.key) as wall from tb_links l where l.field = 'grounded_in' and l.form in ('container', 'sharpened') and l.key not in (select ck from tb_papers where curated) group by l.ck")
 def citation_wall(lib: Library) -> DataFrame:
-    """Sources a paper cites that nobody has worked through."""
-    done = lib.papers.where("curated and pass is not null").select(F.col("ck").alias("key"))
+    """Sources a paper cites that aren't curated."""
+    done = lib.papers.where("curated").select(F.col("ck").alias("key"))
     far = lib.links.where("field = 'grounded_in' and form in ('container', 'sharpened')").join(done, "key", "left_anti")
     return far.groupBy("ck").agg(F.count_distinct("key").alias("wall"))
 
@@ -195,7 +195,7 @@ def why_shown(lib: Library) -> DataFrame:
     return x.groupBy(F.col("key").alias("ck")).agg(F.array_join(F.array_sort(F.collect_set("tid")), ",").alias("named"))
 
 
-@operator("I18_hoisted", "select ck, row_number() over (order by first_, curated desc, case when curated then coalesce(pass, -1) else 0 end desc, coalesce(year, 0) desc, ck) as pos from (select p.*, coalesce(f.first_, 99) as first_ from tb_papers p left join (select ck, min(ln) as first_ from tb_slices where kind = 'claim' group by ck) f using (ck)) x where okey % 20 = 0")
+@operator("I18_hoisted", "select ck, row_number() over (order by first_, curated desc, case when curated then coalesce(pass, -1) else 0 end desc, coalesce(year, 0) desc, ck) as pos from (select p.*, coalesce(f.first_, 99) as first_ from tb_papers p left join (select ck, min(ln) as first_ from tb_slices where kind = 'claim' group by ck) f using (ck)) x")
 def hoisted(lib: Library) -> DataFrame:
     """Papers whose claims were clicked first (a claim's line here) come first."""
     clicks = lib.slices.where("kind = 'claim'").groupBy("ck").agg(F.min("ln").alias("first_"))

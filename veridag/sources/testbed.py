@@ -63,6 +63,8 @@ select a.ck, a.id, 'answers', b.id from tb_slices a join tb_slices b on a.ck = b
 union all
 select ck, id, 'grounded_in', 'm99' from tb_slices where kind = 'claim' and qty = 50
 union all
+select s.ck, s.id, 'grounded_in', p.ck from tb_slices s join tb_papers p on p.okey = s.pk and not p.curated where s.kind = 'claim' and s.qty between 5 and 12
+union all
 select ck, id, 'answers', concat('open-', cast(sk as string)) from tb_slices where kind = 'claim' and disc = 0.01
 union all
 select ck, id, 'answers', concat(pck, ':', pid) from
@@ -195,6 +197,15 @@ select concat('Doc', lpad(cast(doc_id as string), 8, '0')), 'c4', concat(substr(
     "tb_works": """
 select concat('10.1000/w', cast(o_orderkey as string)) as doi, concat('Order of ', c_name) as title, year(o_orderdate) as year, c_mktsegment as venue, c_name as author, o_orderkey as seq
 from orders join customer on o_custkey = c_custkey""",
+    "tb_venues": "select distinct concat(upper(substr(p_name, 1, 1)), substr(p_name, 2), ' ', lower(p_type)) as venue from part",
+    "tb_venue_overrides": """
+select lower(venue) as name, concat('Pin', cast(length(venue) as string)) as token from tb_venues where venue like 'Cold%'""",
+    "tb_venue_words": """
+select distinct word, concat(upper(substr(word, 1, 1)), substr(word, 2, 3)) as short from (select split_part(p_name, ' ', 2) as word from part union all select lower(p_type) from part) w where length(word) > 5""",
+    "tb_named": """
+select bullet, ref from tb_draft_refs
+union all
+select ck, concat(ck, ':', id) from tb_aim_slices where n % 3 = 0""",
     "tb_list_events": """
 select event_id as seq, ts, concat('u', cast(user_id as string)) as ck, event_type in ('signup', 'view', 'purchase') as active from events""",
 }
@@ -309,6 +320,27 @@ class Library:
     def works(self) -> DataFrame:
         return self.derived("tb_works")
 
+    @cached_property
+    def venues(self) -> DataFrame:
+        return self.derived("tb_venues")
+
+    @cached_property
+    def venue_overrides(self) -> DataFrame:
+        return self.derived("tb_venue_overrides")
+
+    @cached_property
+    def venue_words(self) -> DataFrame:
+        return self.derived("tb_venue_words")
+
+    @property
+    def draft_refs(self) -> DataFrame:
+        return self.draft.refs
+
+    @cached_property
+    def named(self) -> DataFrame:
+        """(bullet, ref): what the bullets of narratives name."""
+        return self.derived("tb_named")
+
     @cached_property
     def list_events(self) -> DataFrame:
         return self.derived("tb_list_events")

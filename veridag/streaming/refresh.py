@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.registry import operator
-from ..plans.staging import staged
+from ..plans.staging import shared_folder, staged
 from ..sources.testbed import Library, long_edges
 
 
-def shared(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+def own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
@@ -24,16 +23,16 @@ def fingerprint(spark: SparkSession, path: str) -> DataFrame:
     return files.agg(F.count("*").alias("files"), F.max("modificationTime").alias("newest"), F.sum("length").alias("bytes"))
 
 
-@operator("N1_fingerprint", "select count(*) > 0 as some from orders")
+@operator("N1_fingerprint")
 def source_fingerprint(lib: Library) -> DataFrame:
-    meta = lib.given("orders").select("_metadata.file_path", "_metadata.file_modification_time").distinct()
-    return meta.agg((F.count("*") > 0).alias("some"))
+    """Files, newest change and bytes of the orders' table; no content is read."""
+    return fingerprint(lib.spark, f"{lib.sf_dir}/orders.parquet")
 
 
 def drained(frame: DataFrame, key: str, order: str) -> DataFrame:
     """Run a stream over all that is there now; the newest row of each key, merged batch by batch."""
     spark = frame.sparkSession
-    base = shared(spark)
+    base = own_folder(spark)
 
     def merge(batch: DataFrame, n: int) -> None:
         newest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
@@ -47,7 +46,7 @@ def drained(frame: DataFrame, key: str, order: str) -> DataFrame:
 def as_stream(df: DataFrame, files: int = 3) -> DataFrame:
     """df written to a folder of its own and read as a stream of files."""
     spark = df.sparkSession
-    path = shared(spark) + "/in"
+    path = own_folder(spark) + "/in"
     df.repartition(files).write.parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
@@ -75,7 +74,7 @@ def worklist_batch(events: DataFrame) -> DataFrame:
 @operator("N4_running_meter", "select ref as slug, sum(case when field = 'contradicts' then -1 else 1 end) as meter from tb_links where form = 'broad' group by ref")
 def running_meter(lib: Library) -> DataFrame:
     """Evidence of each broad claim from a stream of edges, summed as they come."""
-    spark, base = lib.spark, shared(lib.spark)
+    spark, base = lib.spark, own_folder(lib.spark)
     edges = as_stream(staged(lib.edges))
     votes = long_edges(edges).where("form = 'broad'")
     meter = votes.groupBy(F.col("ref").alias("slug")).agg(F.sum(F.when(F.col("field") == "contradicts", -1).otherwise(1)).alias("meter"))
