@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -12,16 +11,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.staging import shared_folder
+
 FILTER_BITS = 1 << 27  # 16 MB; beyond its capacity a filter lets more rows through, never fewer
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where the setting is missing, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="veridag-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+def free(df: DataFrame, name: str) -> str:
+    """name, made longer until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, SEEN_ARROW, SEEN_SCHEMA, SeenTwice, forget, in_filter, merged, slices, stored, table
+from .common import FILTER_BITS, SEEN_ARROW, SEEN_SCHEMA, SeenTwice, forget, free, in_filter, merged, slices, stored, table
 
 BLANK = b" \t\n\v\f\r"
 
@@ -70,16 +70,18 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits: i
     suspects = stored(slim.mapInArrow(suspect, "key binary, doc_id long"))
     twice.destroy()
     common = stored(suspects.distinct().groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= min_docs).select("key", "keep"))
-    drops = stored(suspects.join(common.hint("shuffle_merge"), "key").where("doc_id <> keep").groupBy("doc_id").agg(F.collect_set("key").alias("__drop")))
+    drops = stored(suspects.join(common.hint("shuffle_merge"), "key").where("doc_id <> keep").groupBy("doc_id").agg(F.collect_set("key").alias("drop")))
     forget(suspects)
     forget(common)
     extra = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*extra, F.col("doc_id").cast("long").alias("__id")).join(drops.withColumnRenamed("doc_id", "__id").hint("shuffle_hash"), "__id", "left").select(*extra, "__drop")
+    id_, drop_ = free(docs, "__id"), free(docs, "__drop")
+    of_id = drops.select(F.col("doc_id").alias(id_), F.col("drop").alias(drop_))
+    joined = docs.select(*extra, F.col("doc_id").cast("long").alias(id_)).join(of_id.hint("shuffle_hash"), id_, "left").select(*extra, drop_)
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in slices(b, "text")):
             texts, lines, dropped = utf8(batch), [], []
-            for i, (text, drop) in enumerate(zip(texts, batch.column("__drop").to_pylist(), strict=True)):
+            for i, (text, drop) in enumerate(zip(texts, batch.column(drop_).to_pylist(), strict=True)):
                 lines.append(text.count(b"\n") + 1)
                 dropped.append(0)
                 if drop:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import free, stored, table
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -113,12 +113,13 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", rate: float = 0.05) -> DataFrame:
     """docs with every span in text replaced by `mark`, and n_chars that of the new text; rows without spans as they are."""
-    held = docs.withColumn("__key", F.md5(F.encode(F.concat_ws("\n", F.col("doc_id").cast("string"), F.length("text").cast("string"), "text"), "UTF-8")))
-    spans = secret_spans(held.select("__key", "text"), rate, "__key").where(F.size("spans") > 0).dropDuplicates(["__key"])
-    spans = stored(spans.select("__key", F.array_sort(F.transform("spans", lambda s: F.struct(s["start"], s["end"]))).alias("__s")))
+    key, place = free(docs, "__key"), free(docs, "__spans")
+    held = docs.withColumn(key, F.md5(F.encode(F.concat_ws("\n", F.col("doc_id").cast("string"), F.length("text").cast("string"), "text"), "UTF-8")))
+    spans = secret_spans(held.select(key, "text"), rate, key).where(F.size("spans") > 0).dropDuplicates([key])
+    spans = stored(spans.select(key, F.array_sort(F.transform("spans", lambda s: F.struct(s["start"], s["end"]))).alias(place)))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     step = lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.array_append(F.array_append(a["out"], F.substring("text", a["at"] + 1, s["start"] - a["at"])), F.lit(mark)).alias("out"))).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
-    text = F.aggregate("__s", zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring("text", a["at"] + 1, F.length("text"))))
-    joined_ = held.join(spans.hint("shuffle_hash"), "__key", "left")
-    new = F.when(F.col("__s").isNull(), F.col("text")).otherwise(text)
-    return joined_.withColumn("text", new).withColumn("n_chars", F.when(F.col("__s").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    text = F.aggregate(place, zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring("text", a["at"] + 1, F.length("text"))))
+    joined_ = held.join(spans.hint("shuffle_hash"), key, "left")
+    new = F.when(F.col(place).isNull(), F.col("text")).otherwise(text)
+    return joined_.withColumn("text", new).withColumn("n_chars", F.when(F.col(place).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)

@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, SEEN_ARROW, SEEN_SCHEMA, SeenTwice, components, filter_bits, forget, in_filter, merged, slices, stored, table
+from .common import FILTER_BITS, SEEN_ARROW, SEEN_SCHEMA, SeenTwice, components, filter_bits, forget, free, in_filter, merged, slices, stored, table
 
 ORDERS = 3  # token orders; the first one's prefixes are indexed, the others' must meet too
 HEAVY = 1 << 20  # tokens of the table that ranks frequent ones; more of them only make longer candidate lists
@@ -354,8 +354,9 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, bits:
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs without the rows whose component is led by another document."""
-    lead = stored(jaccard_components(docs, words, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("__out")).distinct())
-    return docs.join(lead.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__out"), "left_anti")
+    id_ = free(docs, "__id")
+    others = stored(jaccard_components(docs, words, percent).where("component_id <> doc_id").select(F.col("doc_id").alias(id_)).distinct())
+    return docs.withColumn(id_, F.col("doc_id").cast("long")).join(others.hint("shuffle_hash"), id_, "left_anti").select(*docs.columns)
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
