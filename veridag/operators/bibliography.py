@@ -262,9 +262,9 @@ def free_slots(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     wanted = wanted.withColumn("__doi", normal_doi(F.col("doi")))
     cut = F.explode(F.sequence(F.lit(0), F.least(F.length(F.regexp_extract("ck", "[a-z]*$", 0)), F.lit(LETTERS)))).alias("n")
     parts = taken.select("ck", normal_doi(F.col("doi")).alias("__doi"), cut).selectExpr("ck", "__doi", "left(ck, length(ck) - n) as base", "right(ck, n) as letters")
-    held = staged(parts.join(wanted.select("base").distinct(), "base").select("base", "__doi", "ck", slot_of(F.col("letters")).alias("slot")))
+    held = staged(parts.join(wanted.select("base").distinct().hint("shuffle_merge"), "base").select("base", "__doi", "ck", slot_of(F.col("letters")).alias("slot")))
     own = held.where("__doi is not null").groupBy("base", "__doi").agg(F.min_by("ck", "slot").alias("ck"))
-    both = staged(wanted.join(own, ["base", "__doi"], "left").select("doi", "base", "seq", "ck"))
+    both = staged(wanted.join(own.hint("shuffle_merge"), ["base", "__doi"], "left").select("doi", "base", "seq", "ck"))
     # the r-th new row stands behind as many taken slots as have at most r free ones before them
     full = ranks_within(held.select("base", "slot").distinct(), "base", [F.col("slot")], "i").select("base", (F.col("slot") - F.col("i") + 1).alias("at"), F.lit(0).alias("new"), F.lit(None).cast("string").alias("doi"))
     new = ranks_within(both.where("ck is null").drop("ck"), "base", [F.col("seq")], "r").select("base", (F.col("r") - 1).alias("at"), F.lit(1).alias("new"), "doi")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import bfs, closure, grow, longest, reach
+from ..plans.fixpoint import bfs, closure, grow, longest
 from ..plans.registry import operator
 from ..plans.staging import shared, staged
 from ..sources.testbed import Library
@@ -247,7 +247,7 @@ def slice_families(lib: Library, rounds: int = 6, most: int = 2) -> DataFrame:
     near = staged(near.union(near.select("dst", "src")).distinct())
     known = staged(cons.withColumn("round", F.lit(0)))
     for k in range(1, rounds + 1):
-        new = near.join(known.select(F.col("node").alias("src"), F.explode("families").alias("f")), "src").groupBy(F.col("dst").alias("node")).agg(F.slice(F.array_sort(F.collect_set("f")), 1, most).alias("families")).join(known, "node", "left_anti")
+        new = near.join(known.select(F.col("node").alias("src"), F.explode("families").alias("f")).hint("shuffle_merge"), "src").groupBy(F.col("dst").alias("node")).agg(F.slice(F.array_sort(F.collect_set("f")), 1, most).alias("families")).join(known, "node", "left_anti")
         new = staged(new.withColumn("round", F.lit(k)))
         if new.isEmpty():
             break
@@ -318,8 +318,4 @@ def model_invariants(lib: Library) -> DataFrame:
     ends = m.select(F.explode(F.array("src", "dst")).alias("node"))
     off = m.where("kind = 'ladder' and (contains(src, ':') or contains(dst, ':'))")
     count = lambda df, rule: df.agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), "n")
-    return count(m.where("src = dst"), "self link").unionAll(count(ends.join(nodes, "node", "left_anti"), "unknown end")).unionAll(count(off, "ladder off broad"))
-
-
-def reachable(lib: Library) -> DataFrame:
-    return reach(floors(lib), upward(lib, WALK))
+    return count(m.where("src = dst"), "self link").unionAll(count(ends.join(nodes.hint("shuffle_merge"), "node", "left_anti"), "unknown end")).unionAll(count(off, "ladder off broad"))

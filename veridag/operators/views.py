@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import closure, longest
+from ..plans.fixpoint import longest
 from ..plans.registry import operator
 from ..plans.staging import staged
 from ..sources.testbed import Library
@@ -234,8 +234,3 @@ def chain_up(lib: Library) -> DataFrame:
         if live.isEmpty():
             return done
     return done.unionByName(live.select("ck", "id", F.col("at").alias("top"), "steps"))
-
-
-def above(lib: Library) -> DataFrame:
-    d = local_dag(lib)
-    return closure(ids(lib).select("node"), d.select(F.concat_ws(":", "ck", "b").alias("src"), F.concat_ws(":", "ck", "a").alias("dst")))

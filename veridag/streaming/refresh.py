@@ -66,17 +66,12 @@ def worklist_state(lib: Library) -> DataFrame:
     return drained(as_stream(staged(lib.list_events.select("ck", "seq", "active"))), "ck", "seq").select("ck", "active")
 
 
-def worklist_batch(events: DataFrame) -> DataFrame:
-    """The same for a table of events."""
-    return events.groupBy("ck").agg(F.max_by("active", "seq").alias("active"))
-
-
-@operator("N4_running_meter", "select ref as slug, sum(case when field = 'contradicts' then -1 else 1 end) as meter from tb_links where form = 'broad' group by ref")
+@operator("N4_running_meter", "select ref as slug, sum(case when field = 'contradicts' then -1 else 1 end) as meter from tb_links where form = 'broad' and field in ('leads_to', 'corroborates', 'contradicts') group by ref")
 def running_meter(lib: Library) -> DataFrame:
     """Evidence of each broad claim from a stream of edges, summed as they come."""
     spark, base = lib.spark, own_folder(lib.spark)
     edges = as_stream(staged(lib.edges))
-    votes = long_edges(edges).where("form = 'broad'")
+    votes = long_edges(edges).where("form = 'broad' and field in ('leads_to', 'corroborates', 'contradicts')")
     meter = votes.groupBy(F.col("ref").alias("slug")).agg(F.sum(F.when(F.col("field") == "contradicts", -1).otherwise(1)).alias("meter"))
 
     def keep(batch: DataFrame, n: int) -> None:
