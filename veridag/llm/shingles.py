@@ -18,7 +18,7 @@ ORDERS = 3  # token orders; the first one's prefixes are indexed, the others' mu
 HEAVY = 1 << 20  # tokens of the table that ranks frequent ones; more of them only make longer candidate lists
 LOCAL = 4  # documents of one task from which a token is counted
 CHUNK = 2 << 20  # tokens that a task counts at once
-BLOCK_ROWS, BLOCK_TOKENS = 512, 1 << 20  # rows of a block's side, and tokens of their sets
+BLOCK = 4096  # rows of a block's side: documents under tokens
 
 
 def mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -85,46 +85,27 @@ class Order:
 
 
 def filtered(table: pa.Table, percent: int) -> pa.Table:
-    """Pairs (doc_id, other) of a block that every order's filter lets through; `own` rows meet the others.
+    """Pairs (doc_id, other) of a block whose first shared token leaves enough of both sets; `own` rows meet the others.
 
-    With s tokens in both prefixes of an order, an intersection has at most s tokens more than the longer of the two rests:
-    what is in both sets is in both prefixes, or behind the prefix that ends first."""
+    A row is a document under a token, with what is left of its set from there on. That falls along the order, so a pair
+    passes if it does under any token that both have."""
     own = table.column("own").to_numpy(zero_copy_only=False)
-    one, two = np.flatnonzero(own), np.flatnonzero(~own)
-    doc, n, c = (table.column(x).to_numpy() for x in ("doc_id", "n", "c"))
-    a, b = n[one][:, None], n[two][None, :]
-    fine = (c[one][:, None] != c[two][None, :]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
-    size = np.array([prefix_size(k, percent) for k in n.tolist()], np.int64)
-    others = table.column("others").to_pylist()
-    for order in range(ORDERS):
-        if not fine.any():
-            break
-        raw = table.column("keys").to_pylist() if order == 0 else [x[order - 1] for x in others]
-        keys = [np.unique(np.frombuffer(r, np.uint32)) for r in raw]
-        token, code = np.unique(np.concatenate(keys), return_inverse=True)
-        row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-        in_one, in_two = (np.bincount(code[own[row] == side], minlength=len(token)) > 0 for side in (True, False))
-        both = np.cumsum(in_one & in_two) - 1
-        hit = (in_one & in_two)[code]
-        code, row = both[code[hit]], row[hit]
-        place = np.zeros(len(keys), np.int64)
-        place[one], place[two] = np.arange(len(one)), np.arange(len(two))
-        shared = np.zeros((len(one), len(two)), np.float32)
-        for low in range(0, int(both[-1]) + 1 if len(both) else 0, 2048):
-            some = (code >= low) & (code < low + 2048)
-            sides = []
-            for side, k in ((True, len(one)), (False, len(two))):
-                x = np.zeros((k, 2048), np.float32)
-                mine = some & (own[row] == side)
-                x[place[row[mine]], code[mine] - low] = 1
-                sides.append(x)
-            shared += sides[0] @ sides[1].T
-        lost = size - [len(k) for k in keys]  # tokens that fell on one key
-        rest = n - size
-        most = shared.astype(np.int64) + np.maximum(rest[one][:, None], rest[two][None, :]) + lost[one][:, None] + lost[two][None, :]
-        fine &= (shared > 0) & (100 * most >= percent * (a + b - most))
-    x, y = np.nonzero(fine)
-    return pa.table({"doc_id": pa.array(doc[one][x], pa.int64()), "other": pa.array(doc[two][y], pa.int64())})
+    doc, n, c, key, most = (table.column(x).to_numpy() for x in ("doc_id", "n", "c", "key", "most"))
+    sides = []
+    for mine in (own, ~own):
+        rows = np.flatnonzero(mine)
+        ids, first, place = np.unique(doc[rows], return_index=True, return_inverse=True)
+        by = np.argsort(key[rows], kind="stable")
+        token, start = np.unique(key[rows][by], return_index=True)
+        sides.append((ids, n[rows][first], c[rows][first], place[by], most[rows][by], token, np.append(start, len(rows))))
+    (ids_a, n_a, c_a, at_a, most_a, token_a, start_a), (ids_b, n_b, c_b, at_b, most_b, token_b, start_b) = sides
+    fine = np.zeros((len(ids_a), len(ids_b)), bool)
+    for i, j in zip(*np.intersect1d(token_a, token_b, assume_unique=True, return_indices=True)[1:], strict=True):
+        x, y = slice(start_a[i], start_a[i + 1]), slice(start_b[j], start_b[j + 1])
+        both = np.minimum(most_a[x][:, None], most_b[y][None, :])
+        fine[np.ix_(at_a[x], at_b[y])] |= (100 + percent) * both >= percent * (n_a[at_a[x]][:, None] + n_b[at_b[y]][None, :])
+    x, y = np.nonzero(fine & (c_a[:, None] != c_b[None, :]))
+    return pa.table({"doc_id": pa.array(ids_a[x], pa.int64()), "other": pa.array(ids_b[y], pa.int64())})
 
 
 def _sets(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -155,7 +136,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, bits:
     token's list is led by its most central document; documents meet leaders first, then leaders of what is still apart, so
     that a large group of near copies costs links to leaders instead of all its pairs. Then what is still outside the
     component of its token's leader meets the rest of that leader's lists in blocks of bounded size, which write only the
-    pairs that the filters of all orders let through. No two components with a link stay apart.
+    pairs whose first shared token leaves enough of both sets. No two components with a link stay apart.
     Null or wordless texts have no shingles and link with nothing; rows with a null doc_id get a null component and link
     with nothing; repeated rows count as one document of each text. Other columns are ignored.
     """
@@ -321,17 +302,16 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, bits:
             to_second = live.join(second.select(*led).hint("shuffle_merge"), "key").where("c <> c2").where(near).select("doc_id", "other")
             pairs = to_first.unionByName(to_second)
         else:
-            # A leader's list: all that any of its tokens lists. Lists with members outside its component are compared in blocks.
-            lists = stored(live.join(ends.select("key", F.col("lead.doc_id").alias("leader"), F.col("lead.c").alias("c1")).hint("shuffle_merge"), "key").select("leader", "doc_id", "n", "c", (F.col("c") != F.col("c1")).alias("apart")).distinct())
-            cut = lambda rows, size: F.ceil(F.greatest(rows / BLOCK_ROWS, size / BLOCK_TOKENS)).cast("int")
-            sizes = lists.groupBy("leader").agg(cut(F.count_if("apart"), F.sum(F.when(F.col("apart"), F.col("n")))).alias("down"), cut(F.count("*"), F.sum("n")).alias("across")).where(F.bool_or("apart"))
+            # A leader's list: all rows of its tokens. Lists with members outside its component are compared in blocks.
+            lists = stored(live.join(ends.select("key", F.col("lead.doc_id").alias("leader"), F.col("lead.c").alias("c1")).hint("shuffle_merge"), "key").select("leader", "doc_id", "n", "c", "key", "most", (F.col("c") != F.col("c1")).alias("apart")))
+            cut = lambda rows: F.ceil(rows / BLOCK)
+            sizes = lists.groupBy("leader").agg(cut(F.count_if("apart")).alias("down"), cut(F.count("*")).alias("across")).where("down > 0")
             split = lists.join(sizes.hint("shuffle_merge"), "leader").withColumn("at", F.xxhash64("doc_id"))
-            block = lambda df, own: df.select("leader", "doc_id", "c", F.lit(own).alias("own"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
-            down = split.where("apart").withColumns({"x": F.pmod("at", "down"), "y": F.explode(F.sequence(F.lit(0), F.col("across") - 1))})
-            across = split.withColumns({"x": F.explode(F.sequence(F.lit(0), F.col("down") - 1)), "y": F.pmod("at", "across")})
-            both = block(down, True).unionByName(block(across, False))
-            filled = both.join(prefix.hint("shuffle_merge"), "doc_id")
-            pairs = filled.groupBy("leader", "x", "y").applyInArrow(lambda t: filtered(t, percent), "doc_id long, other long")
+            zero = F.lit(0).cast("long")
+            block = lambda df, own: df.select("leader", "x", "y", F.lit(own).alias("own"), "doc_id", "n", "c", "key", "most")
+            down = split.where("apart").withColumns({"x": F.pmod("at", "down"), "y": F.explode(F.sequence(zero, F.col("across") - 1))})
+            across = split.withColumns({"x": F.explode(F.sequence(zero, F.col("down") - 1)), "y": F.pmod("at", "across")})
+            pairs = block(down, True).unionByName(block(across, False)).groupBy("leader", "x", "y").applyInArrow(lambda t: filtered(t, percent), "doc_id long, other long")
         pairs = pairs.select(*pair).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b").hint("shuffle_merge"), ["a", "b"], "left_anti")
