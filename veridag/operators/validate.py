@@ -112,7 +112,7 @@ def leads_to_form(lib: Container) -> DataFrame:
     return of_links(of_kind(lib, ["leads_to"]).where(has_broad()).where("form in ('container', 'sharpened')"))
 
 
-@rule("C6_leads_to_kind", f"select l.ck, l.src as id, field, ref from {OWN} {END} where field = 'leads_to' and form = 'local' and {UPPER} and s.kind <> t.kind union all select l.ck, l.src, field, ref from {OWN} join tb_draft_broad b on b.slug = l.ref where field = 'leads_to' and form = 'broad' and {UPPER} and b.kind <> concat('broad ', s.kind)", "leads_to joins slices of one kind")
+@rule("C6_leads_to_kind", f"select l.ck, l.src as id, field, ref from {OWN} left {END} where field = 'leads_to' and form = 'local' and {UPPER} and coalesce(t.kind, s.kind) <> s.kind union all select l.ck, l.src, field, ref from {OWN} left join tb_draft_broad b on b.slug = l.ref where field = 'leads_to' and form = 'broad' and {UPPER} and coalesce(b.kind, concat('broad ', s.kind)) <> concat('broad ', s.kind)", "leads_to joins slices of one kind")
 def leads_to_kind(lib: Container) -> DataFrame:
     led = of_kind(lib, ["leads_to"]).where(has_broad())
     both = of_links(to_kind(lib, led.where("form = 'local'")).where("kind <> dst_kind"))
