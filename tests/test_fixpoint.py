@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from veridag.plans.fixpoint import bfs, closure, cycles, longest, reach
+from veridag.plans.fixpoint import bfs, closure, cycles, longest, radius, reach, strong_components
 
 
 def reachable(seeds, edges):
@@ -58,6 +58,46 @@ def test_longest_and_its_cycle(spark, graph):
         longest(spark.createDataFrame([("a",), ("b",)], "node string"), loop, rounds=5)
 
 
-def test_cycles_give_paths(spark):
-    df = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "c"), ("c", "a")], "src string, dst string")
-    assert {r[0] for r in cycles(df).collect()} == {"a -> b -> a", "b -> a -> b", "c -> c"}
+def components(edges):
+    nodes = {x for e in edges for x in e}
+    onward = {n: reachable({b for a, b in edges if a == n}, edges) for n in nodes}
+    return onward, {n: min(m for m in nodes if m in onward[n] and n in onward[m]) for n in nodes if n in onward[n]}
+
+
+def shortest(root, edges):
+    paths = [[root]]
+    while paths:
+        paths = [[*p, b] for p in paths for a, b in edges if a == p[-1] and (b == root or b not in p)]
+        if done := [p for p in paths if p[-1] == root]:
+            return " -> ".join(min(done))
+
+
+@pytest.mark.parametrize("seed", [1, 3])
+def test_components_cycles_and_radius(spark, seed):
+    rng = random.Random(seed)
+    edges = sorted({(f"n{rng.randrange(14)}", f"n{rng.randrange(14)}") for _ in range((12, 18, 26, 40)[seed])})
+    df = spark.createDataFrame(edges, "src string, dst string")
+    onward, root = components(edges)
+    assert {r["node"]: r["root"] for r in strong_components(df).collect()} == root
+    want = {(r, list(root.values()).count(r), shortest(r, edges)) for r in set(root.values())}
+    assert {tuple(r) for r in cycles(df).collect()} == want
+    got = {r["node"]: r["radius"] for r in radius(spark.createDataFrame([(n,) for n in onward], "node string"), df).collect()}
+    assert got == {n: len(x) for n, x in onward.items() if x}
+
+
+def test_a_large_component_costs_no_pairs(spark, monkeypatch):
+    """A ring of 12 with a tail of 3: its own 12 x 12 pairs are never made."""
+    from veridag.plans import fixpoint
+
+    ring = [(f"r{i}", f"r{(i + 1) % 12}") for i in range(12)] + [("r7", "t0"), ("t0", "t1"), ("t1", "t2")]
+    made = []
+    monkeypatch.setattr(fixpoint, "closure", lambda *a: made.append(closure(*a)) or made[-1])
+    nodes = spark.createDataFrame([(f"r{i}",) for i in range(12)] + [("t1",)], "node string")
+    got = {r["node"]: r["radius"] for r in radius(nodes, spark.createDataFrame(ring, "src string, dst string")).collect()}
+    assert got == {f"r{i}": 15 for i in range(12)} | {"t1": 1}
+    assert made[0].count() == 4
+
+
+def test_no_cycles(spark):
+    df = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c")], "src string, dst string")
+    assert strong_components(df).count() == 0 and cycles(df).count() == 0 and cycles(df.limit(0)).count() == 0

@@ -6,7 +6,7 @@ import os
 import pytest
 
 from veridag.operators import store
-from veridag.streaming import refresh
+from veridag.plans import registry, staging
 
 
 def put(folder, name, record):
@@ -69,6 +69,19 @@ def test_dumps(spark, tmp_path):
 def test_fingerprint(spark, tmp_path):
     put(tmp_path / "a", "1.json", "12345")
     put(tmp_path / "b", "2.json", "678")
-    r = refresh.fingerprint(spark, str(tmp_path)).first()
+    r = staging.fingerprint(spark, str(tmp_path)).first()
     newest = max(os.stat(tmp_path / p).st_mtime for p in ("a/1.json", "b/2.json"))
     assert (r["files"], r["bytes"]) == (2, 8) and abs(r["newest"].timestamp() - newest) < 1
+
+
+def test_a_changed_folder_gets_a_new_library(spark, tmp_path):
+    """New rows are seen, and the old library's stored tables are gone."""
+    path = f"{tmp_path}/numbers.parquet"
+    spark.range(3).write.parquet(path)
+    one = registry.library(spark, str(tmp_path))
+    kept = staging.shared(one, "kept", lambda: one.given("numbers"))
+    assert registry.library(spark, str(tmp_path)) is one and kept.count() == 3
+    spark.range(5).write.mode("append").parquet(path)
+    two = registry.library(spark, str(tmp_path))
+    assert two is not one and staging.shared(two, "kept", lambda: two.given("numbers")).count() == 8
+    assert not os.path.exists(kept._staged_at.removeprefix("file://"))

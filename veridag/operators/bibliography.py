@@ -174,7 +174,7 @@ def author_roles(authors: DataFrame, marks: DataFrame) -> DataFrame:
     key = lambda c: F.trim(F.lower(fold_ascii(c)))
     m = marks.groupBy("ck", key(F.col("family")).alias("k")).agg(F.bool_or("corresponding").alias("c"), F.bool_or("equal").alias("e"))
     n = authors.groupBy("ck").agg(F.max("pos").alias("end"))
-    a = authors.withColumn("k", key(F.col("family"))).join(n, "ck").join(m, ["ck", "k"], "left")
+    a = authors.withColumn("k", key(F.col("family"))).join(n.hint("shuffle_merge"), "ck").join(m.hint("shuffle_merge"), ["ck", "k"], "left")
     no, named = F.lit(False), F.col("k") != ""
     first = (F.col("pos") == 0) | (named & F.coalesce("e", no))
     position = F.when(first, "first").when(F.col("pos") == F.col("end"), "last").otherwise("middle")
@@ -288,7 +288,7 @@ def venue_tokens_of(venues: DataFrame, overrides: DataFrame, words: DataFrame) -
     parts = v.select("venue", F.posexplode(F.split("name", " ")).alias("i", "word")).join(words.hint("shuffle_merge"), "word", "left")
     piece = F.regexp_replace(F.coalesce("short", F.initcap("word")), "[^A-Za-z0-9]", "")
     joined = parts.groupBy("venue").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", piece.alias("p")))), lambda x: x["p"]), "").alias("own"))
-    return v.join(overrides.hint("shuffle_merge"), "name", "left").join(joined, "venue", "left").select("venue", F.coalesce("token", "own", F.lit("")).alias("token"))
+    return v.join(overrides.hint("shuffle_merge"), "name", "left").join(joined.hint("shuffle_merge"), "venue", "left").select("venue", F.coalesce("token", "own", F.lit("")).alias("token"))
 
 
 @operator("M12_venue_token", """

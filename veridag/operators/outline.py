@@ -62,6 +62,9 @@ def coverage(lib: Library) -> DataFrame:
     return row(tag.select("k").distinct().exceptAll(own), "unfiled", "k").unionAll(row(own.select("k").subtract(tag.select("k")), "dead", "k")).unionAll(row(tag.join(own, "k", "left_anti"), "stranded", "ck"))
 
 
+TALLEST = 200
+
+
 @operator("F6_topic_tree", f"""
 with recursive t(slug, depth, path) as (select slug, 0, slug from tb_topics where broader is null union all select c.slug, depth + 1, concat(path, '/', c.slug) from t join tb_topics c on c.broader = t.slug),
 {DOWN}, n as (select root, count(distinct ck) as papers from down join tb_topics k on k.slug = node left join tb_papers p on concat('n', cast(nkey as string)) = keyword and curated group by root)
@@ -70,9 +73,13 @@ def topic_tree(lib: Library) -> DataFrame:
     """The topics in pre-order with the number of papers in each; seen counts a topic's places so far."""
     level = staged(lib.topics.where("broader is null").select("slug", F.lit(0).alias("depth"), F.col("slug").alias("path")))
     tree = level
-    while not level.isEmpty():
+    for _ in range(TALLEST):
         level = staged(lib.topics.join(level.select(F.col("slug").alias("broader"), "depth", "path"), "broader").select("slug", (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "path", "slug").alias("path")))
+        if level.isEmpty():
+            break
         tree = tree.unionByName(level)
+    else:
+        raise RuntimeError(f"a cycle of topics, or a tree of more than {TALLEST} levels")
     n = papers_in(lib).groupBy("slug").agg(F.count("*").alias("papers"))
     out = tree.join(n, "slug", "left").na.fill(0, ["papers"])
     return out.select("slug", "depth", F.row_number().over(Window.orderBy("path")).cast("long").alias("pos"), "papers", F.row_number().over(Window.partitionBy("slug").orderBy("path")).alias("seen"))
@@ -124,10 +131,10 @@ def unbacked(lib: Library) -> DataFrame:
     return bullets(lib).where(F.size("refs") == 0).select("grant_", F.col("s").cast("long"), F.col("b").cast("long"))
 
 
-@operator("G3_first_cited_order", f"with {BULLETS}, f as (select grant_, split_part(ref, ':', 1) as key, min(s * 1000 + b) as at_ from refs group by all) select grant_, key, row_number() over (partition by grant_ order by at_, key) as pos from f")
+@operator("G3_first_cited_order", f"with {BULLETS}, f as (select grant_, split_part(ref, ':', 1) as key, min(row(s, b)) as at_ from refs group by all) select grant_, key, row_number() over (partition by grant_ order by at_, key) as pos from f")
 def first_cited(lib: Library) -> DataFrame:
     """What a narrative cites, in the order of first citation."""
-    cited = bullets(lib).select("grant_", (F.col("s") * 1000 + F.col("b")).alias("at"), F.explode("refs").alias("ref")).groupBy("grant_", F.split("ref", ":")[0].alias("key")).agg(F.min("at").alias("at"))
+    cited = bullets(lib).select("grant_", F.struct("s", "b").alias("at"), F.explode("refs").alias("ref")).groupBy("grant_", F.split("ref", ":")[0].alias("key")).agg(F.min("at").alias("at"))
     return cited.select("grant_", "key", F.row_number().over(Window.partitionBy("grant_").orderBy("at", "key")).cast("long").alias("pos"))
 
 

@@ -49,19 +49,6 @@ def builds(lib: Library) -> DataFrame:
     return g.groupBy(F.col("key").alias("ck")).agg(F.array_join(pairs, ",").alias("builders"))
 
 
-@operator("H6_slice_record", f"select s.ck, s.id, json_object('id', s.id, 'kind', s.kind, 'label', label)::string as record from tb_slices s join ({LABEL}) x on x.ck = s.ck and x.id = s.id")
-def slice_records(lib: Library) -> DataFrame:
-    """A slice as JSON; fields without a value aren't written."""
-    null = F.lit(None).cast("string").alias("modality")
-    return flags(lib).select("ck", "id", F.to_json(F.struct("id", "kind", "label", null), {"ignoreNullFields": "true"}).alias("record"))
-
-
-@operator("H7_paper_record", "select p.ck, count(s.id) as n_slices, string_agg(s.id, ',' order by s.ln) as ids from tb_papers p join tb_slices s on s.ck = p.ck group by p.ck")
-def paper_records(lib: Library) -> DataFrame:
-    nested = lib.slices.groupBy("ck").agg(F.array_sort(F.collect_list(F.struct("ln", "id", "kind"))).alias("slices"))
-    return lib.papers.join(nested, "ck").select("ck", F.size("slices").cast("long").alias("n_slices"), F.array_join("slices.id", ",").alias("ids"))
-
-
 METER = "select ref, count(distinct gid) filter (where field in ('leads_to', 'corroborates')) as support, count(distinct gid) filter (where field = 'contradicts') as contradict from tb_links where form = 'broad' and field <> 'grounded_in' group by ref"
 
 
@@ -106,23 +93,6 @@ def cited_neighbours(lib: Library) -> DataFrame:
     return lib.papers.where("curated").join(far, "ck").select("ck", F.when(F.size("cited") > 0, F.array_join("cited", ",")).alias("cited"))
 
 
-@operator("H13_scratch_overlay", f"""
-with s as (select ck, id, kind from tb_slices where ck not in {FOCUS} union all select ck, 'c1', 'claim' from tb_papers where ck in {FOCUS})
-select l.ck, l.src, l.ref from tb_links l where l.form = 'local' and not exists (select 1 from s where s.ck = l.ck and s.id = l.ref)""")
-def scratch_overlay(lib: Library) -> DataFrame:
-    """Focal containers replaced by drafts of one claim, and the local references that then dangle."""
-    drafts = focus(lib).select("ck", F.lit("c1").alias("ref"))
-    kept = lib.slices.join(focus(lib), "ck", "left_anti").select("ck", F.col("id").alias("ref"))
-    return lib.links.where("form = 'local'").join(kept.unionByName(drafts), ["ck", "ref"], "left_anti").select("ck", "src", "ref")
-
-
-@operator("H14_proposal_page", "select ck, 'slice' as what, count(*) as n from tb_aim_slices group by ck union all select ck, 'cites', count(distinct key) from tb_aim_links where form in ('container', 'sharpened') and ref[1] <> '@' group by ck")
-def proposal_page(lib: Library) -> DataFrame:
-    own = lib.aim_slices.groupBy("ck").agg(F.count("*").alias("n")).select("ck", F.lit("slice").alias("what"), "n")
-    far = lib.aim_links.where("form in ('container', 'sharpened') and ref not like '@%'").groupBy("ck").agg(F.count_distinct("key").alias("n"))
-    return own.unionByName(far.select("ck", F.lit("cites").alias("what"), "n"))
-
-
 @operator("H15_target_lookup", """
 select distinct l.dst as spec, case when s.ck is not null then 'slice' when p.ck is not null and strpos(l.dst, ':') > 0 then 'paper, slice missing' when p.ck is not null then 'paper' when b.slug is not null then 'broad' else 'unknown' end as found
 from tb_links l left join tb_slices s on concat(s.ck, ':', s.id) = l.dst left join tb_papers p on p.ck = split_part(l.dst, ':', 1) left join tb_broad b on b.slug = l.dst""")

@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.refs import aim_label, is_programme
-from ..plans.fixpoint import closure, reach
+from ..plans.fixpoint import radius, reach
 from ..plans.registry import operator
 from ..plans.staging import shared
 from ..sources.testbed import Library
 from .graph import ranks_within
 
+
 def gid() -> Column:
     return F.concat_ws(":", "ck", "id")
 
@@ -128,7 +129,7 @@ def bearing(lib: Library) -> DataFrame:
 @operator("E3_blast_radius", f"with recursive {FACTS} select root as node, count(*) as radius from blast group by root")
 def blast_radius(lib: Library) -> DataFrame:
     """How many nodes depend on each load-bearing claim, directly or through others; only these claims are walked."""
-    return shared(lib, "radius", lambda: closure(bearing(lib), dependents(lib)).groupBy(F.col("root").alias("node")).agg(F.count("*").alias("radius")))
+    return shared(lib, "radius", lambda: radius(bearing(lib), dependents(lib)))
 
 
 @operator("E8_load_bearing", f"with recursive {FACTS} select ck, id from bearing")

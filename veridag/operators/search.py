@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.grams import GRAM, bucket_of, postings_of
 from ..functions.refs import fold_ascii
 from ..plans.registry import operator
+from ..plans.staging import parted
 from ..sources.testbed import Library
 from .graph import landing_order, ranks
 
@@ -30,17 +32,41 @@ def holds_all(blob: Column, terms: list[str]) -> Column:
     return F.forall(F.array(*map(F.lit, terms)), lambda t: F.contains(blob, t)) if terms else F.lit(True)
 
 
+def gram_table(blobs: DataFrame) -> DataFrame:
+    """(bucket, gram, ck) of blobs(ck, blob): each paper under the grams of three characters that its blob has, in folders by a
+    hash of the gram and sorted by it."""
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("blob") - GRAM + 1, F.lit(1))), lambda i: F.substring("blob", i, GRAM)))
+    each = blobs.select(F.explode(grams).alias("gram"), "ck").select(bucket_of("gram").alias("bucket"), "gram", "ck")
+    return parted(each.repartition("bucket").sortWithinPartitions("gram", "ck"), "bucket")
+
+
+def grams_of_blobs(lib: Library) -> DataFrame:
+    if "_grams" not in lib.__dict__:
+        lib._grams = gram_table(index(lib))
+    return lib._grams
+
+
+def found(blobs: DataFrame, grams: DataFrame, terms: list[str]) -> DataFrame:
+    """Rows of blobs(ck, blob, ...) that hold every term. Papers that have all grams of all terms come from the gram table, of
+    which only those grams are read; their blobs are then searched for the terms. Without a term of three characters all are."""
+    wanted = sorted({t[i : i + GRAM] for t in terms for i in range(len(t) - GRAM + 1)})
+    if wanted:
+        have = postings_of(grams, wanted).groupBy("ck").agg(F.count("*").alias("k")).where(F.col("k") == len(wanted)).select("ck")
+        blobs = blobs.join(have.hint("shuffle_merge"), "ck", "left_semi")
+    return blobs.where(holds_all(F.col("blob"), terms))
+
+
 @operator("J1_search_index", f"select ck, blob from ({BLOB}) b")
 def search_index(lib: Library) -> DataFrame:
     return index(lib).select("ck", "blob")
 
 
-@operator("J2_search", f"select ck, count(*) over () - 12 as more from ({BLOB}) b where strpos(blob, 'order') > 0 and strpos(blob, '1995') > 0 order by curated desc, case when curated then coalesce(pass, -1) else 0 end desc, coalesce(year, 0) desc, ck limit 12")
+@operator("J2_search", f"select ck, greatest(count(*) over () - 12, 0) as more from ({BLOB}) b where strpos(blob, 'order') > 0 and strpos(blob, '1995') > 0 order by curated desc, case when curated then coalesce(pass, -1) else 0 end desc, coalesce(year, 0) desc, ck limit 12")
 def search(lib: Library, query: str = "Order 1995", first: int = 12) -> DataFrame:
-    """The first hits of all terms, curated papers first, and how many more there are."""
-    hits = index(lib).where(holds_all(F.col("blob"), query.lower().split()))
+    """The first hits of all terms, curated papers first, and how many more there are beyond them; none below."""
+    hits = found(index(lib), grams_of_blobs(lib), query.lower().split())
     n = hits.agg(F.count("*").alias("n"))  # one row
-    return hits.orderBy(*landing_order(hits)).limit(first).join(F.broadcast(n)).select("ck", (F.col("n") - first).alias("more"))
+    return hits.orderBy(*landing_order(hits)).limit(first).join(F.broadcast(n)).select("ck", F.greatest(F.col("n") - first, F.lit(0)).alias("more"))
 
 
 @operator("J3_topic_search", f"select ck from ({BLOB}) b where curated and nkey in (select cast(substr(keyword, 2) as int) from tb_topics where broader = 'reg-2')")

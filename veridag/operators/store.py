@@ -170,13 +170,6 @@ def keys_in_use(lib: Library) -> DataFrame:
     return p.groupBy("ck").agg(F.min_by("doi", "curated").alias("doi"))
 
 
-@operator("A12_payload_sink", "select ck, count(*) as n from tb_slices group by ck")
-def payload_round_trip(lib: Library) -> DataFrame:
-    """Containers as nested rows, written and read again as tables."""
-    nested = lib.slices.groupBy("ck").agg(F.map_from_entries(F.collect_list(F.struct("id", F.struct("kind", "ln")))).alias("slices"))
-    return staged(nested).select("ck", F.explode("slices").alias("id", "s")).groupBy("ck").agg(F.count("*").alias("n"))
-
-
 def write_new(existing: DataFrame, new: DataFrame, key: str = "ck", force: bool = False) -> DataFrame:
     """existing with new: keys that exist are refused, or replaced with force."""
     if force:
@@ -287,11 +280,3 @@ def page_word_table(lib: Library) -> DataFrame:
     """Words in reading order without control characters; blank ones are dropped."""
     w = lib.page_words.withColumn("t", F.regexp_replace("t", r"\p{Cc}", "")).where(F.trim("t") != "")
     return w.groupBy(F.col("ck"), F.col("page").cast("long").alias("page")).agg(F.count("*").alias("n"), F.max("t").alias("last"))
-
-
-@operator("A13_payload_tables", "select ck, id, kind from tb_slices")
-def payload_tables(lib: Library) -> DataFrame:
-    """A written payload as tables again: a map of each container's slices, exploded."""
-    nested = lib.slices.groupBy("ck").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("id", F.struct("kind"))))).alias("slices"))
-    back = staged(nested).select("ck", F.explode(F.from_json("slices", "map<string, struct<kind: string>>")).alias("id", "s"))
-    return back.select("ck", "id", "s.kind")

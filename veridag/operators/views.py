@@ -39,11 +39,13 @@ HOST = "up(node, root) as (select slug, slug from tb_broad where leads_to is nul
 def family_host(lib: Library) -> DataFrame:
     """The first parent of each broad node, and the top of its family by pointer jumping."""
     at = staged(lib.broad.select(F.col("slug").alias("node"), F.coalesce("leads_to", "slug").alias("up")))
-    for _ in range(64):
+    for _ in range(64):  # each round doubles the steps
         new = staged(at.join(at.select(F.col("node").alias("up"), F.col("up").alias("next")), "up").select("node", F.col("next").alias("up")))
         if new.exceptAll(at).isEmpty():
             break
         at = new
+    else:
+        raise RuntimeError("the ladder has a cycle")
     return lib.broad.select(F.col("slug").alias("node"), F.col("leads_to").alias("host")).join(at.select("node", F.col("up").alias("root")), "node")
 
 

@@ -86,20 +86,97 @@ def longest(nodes: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame
     raise RuntimeError(f"a cycle, or a path of more than {rounds} edges")
 
 
-def cycles(edges: DataFrame, rounds: int = 200) -> DataFrame:
-    """path: a text a -> b -> a for each simple cycle of edges(src, dst), from each of its nodes."""
-    edges = staged(edges.select("src", "dst").distinct())
-    live = edges
-    for _ in range(rounds):  # only nodes that have both an entry and an exit can lie on a cycle
-        core = staged(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        if core.count() == live.count():
+def trimmed(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """Those of edges(src, dst) whose ends both have an edge in and an edge out among them: what is left may lie on a cycle."""
+    live, n = edges, edges.count()
+    for _ in range(rounds):
+        if not n:
+            return live
+        ends = live.select(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(live.select(F.col("dst").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+        inner = ends.groupBy("node").agg(F.max("out").alias("out"), F.max("in").alias("in")).where("out = 1 and in = 1").select("node")
+        core = staged(live.join(inner.withColumnRenamed("node", "src").hint("shuffle_merge"), "src", "left_semi").join(inner.withColumnRenamed("node", "dst").hint("shuffle_merge"), "dst", "left_semi").select("src", "dst"))
+        if live is not edges:
+            dropped(live)
+        live, m = core, core.count()
+        if m == n:
+            return live
+        n = m
+    raise RuntimeError(f"a path of more than {rounds} edges")
+
+
+def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(node, root) for each node on a cycle of edges(src, dst), where root is the least node of its strongly connected component.
+
+    Edges that lie on no cycle are trimmed away. Then every node takes the least node that leads to it as its colour; the
+    nodes of a colour from which its own node can be reached are a component. What is left starts again.
+    """
+    own = staged(edges.select("src", "dst").distinct())
+    live, out = trimmed(own, rounds), []
+    for _ in range(rounds):
+        if live.isEmpty():
             break
-        live = core
-    paths = staged(live.select(F.array("src", "dst").alias("path")))
-    found = paths.where(F.col("path")[0] == F.element_at("path", -1))
+        colour = staged(live.select(F.col("src").alias("node")).distinct().select("node", F.col("node").alias("colour")))
+        for _ in range(rounds):
+            led = live.join(colour.withColumnRenamed("node", "src").hint("shuffle_merge"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("led"))
+            after = staged(colour.join(led.hint("shuffle_merge"), "node", "left").select("node", F.least("colour", F.coalesce("led", "colour")).alias("colour"), (F.col("led") < F.col("colour")).alias("moved")))
+            dropped(colour)
+            colour = after
+            if not after.where("moved").count():
+                break
+        else:
+            raise RuntimeError(f"no fixpoint after {rounds} rounds")
+        at = lambda end: colour.select(F.col("node").alias(end), F.col("colour").alias("of_" + end))
+        within = staged(live.join(at("src").hint("shuffle_merge"), "src").join(at("dst").hint("shuffle_merge"), "dst").where("of_src = of_dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        found = staged(reach(colour.where("node = colour"), within, rounds).join(colour.select("node", F.col("colour").alias("root")), "node"))
+        out.append(found)
+        gone = found.select("node")
+        rest = staged(live.join(gone.withColumnRenamed("node", "src").hint("shuffle_merge"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst").hint("shuffle_merge"), "dst", "left_anti"))
+        dropped(colour, within)
+        live = trimmed(rest, rounds)
+    else:
+        raise RuntimeError(f"components left after {rounds} rounds")
+    empty = own.select(F.col("src").alias("node"), F.col("dst").alias("root")).limit(0)
+    # A node that trimming leaves between two components is one of its own, and on no cycle unless it leads to itself.
+    all_ = reduce(DataFrame.unionByName, out, empty)
+    alone = all_.groupBy("root").agg(F.count("*").alias("n")).where("n = 1").select("root").join(own.where("src = dst").select(F.col("src").alias("root")), "root", "left_anti")
+    return all_.join(alone, "root", "left_anti").select("node", "root")
+
+
+def cycles(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(root, size, path): for each strongly connected component of edges(src, dst) its least node, how many nodes it has, and
+    the shortest cycle through that node as a text a -> b -> a, the least of several. A node keeps one path, whatever leads to it."""
+    members = staged(strong_components(edges, rounds))
+    size = members.groupBy("root").agg(F.count("*").alias("size"))
+    of = lambda end: members.select(F.col("node").alias(end), F.col("root").alias("of_" + end))
+    inner = staged(edges.select("src", "dst").distinct().join(of("src"), "src").join(of("dst"), "dst").where("of_src = of_dst").select("src", "dst"))
+    paths = staged(members.where("node = root").select("root", "node", F.array("node").alias("path")))
+    seen, closed = paths.select("root", "node").limit(0), []
     for _ in range(rounds):
-        paths = staged(paths.where(F.col("path")[0] != F.element_at("path", -1)).join(live, F.element_at("path", -1) == F.col("src")).where((F.col("dst") == F.col("path")[0]) | ~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path")))
         if paths.isEmpty():
-            return found.select(F.array_join("path", " -> ").alias("path"))
-        found = found.unionByName(paths.where(F.col("path")[0] == F.element_at("path", -1)))
+            out = reduce(DataFrame.unionByName, closed, paths.select("root", "path"))
+            return out.join(size, "root").select("root", "size", F.array_join("path", " -> ").alias("path"))
+        step = staged(paths.join(inner, F.col("node") == F.col("src")).groupBy("root", F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path")))
+        done = step.where("node = root").select("root", "path")
+        closed.append(done)
+        more = step.join(done.select("root"), "root", "left_anti").join(seen, ["root", "node"], "left_anti")
+        paths = staged(more)
+        seen = seen.unionByName(paths.select("root", "node"))
     raise RuntimeError(f"a cycle of more than {rounds} nodes")
+
+
+def radius(roots: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(node, radius): how many nodes each of roots(node) reaches by one edge or more of edges(src, dst), itself only on a cycle.
+
+    Cycles are closed up to their components first. The walk goes from component to component and adds up members, so a
+    component of n nodes costs one row for each root outside it instead of n, and one row in all for its own nodes.
+    """
+    edges = staged(edges.select("src", "dst").distinct())
+    part = staged(strong_components(edges, rounds))
+    of = lambda end: part.select(F.col("node").alias(end), F.col("root").alias("of_" + end))
+    merged = edges.join(of("src").hint("shuffle_merge"), "src", "left").join(of("dst").hint("shuffle_merge"), "dst", "left").select(F.coalesce("of_src", "src").alias("src"), F.coalesce("of_dst", "dst").alias("dst"))
+    start = staged(roots.select("node").distinct().join(part.withColumnRenamed("root", "part").hint("shuffle_merge"), "node", "left").select("node", F.coalesce("part", "node").alias("part")))
+    size = part.groupBy(F.col("root").alias("part")).agg(F.count("*").alias("size"))
+    pairs = closure(start.select(F.col("part").alias("node")), merged.where("src <> dst"), rounds).select("root", F.col("node").alias("part"))
+    own = start.join(size.select("part"), "part", "left_semi").select(F.col("part").alias("root"), "part").distinct()
+    reached = pairs.unionByName(own).join(size.hint("shuffle_merge"), "part", "left").groupBy("root").agg(F.sum(F.coalesce("size", F.lit(1))).alias("radius"))
+    return start.join(reached.withColumnRenamed("root", "part").hint("shuffle_merge"), "part").select("node", "radius")

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.testbed import Library, oracle
+from .staging import fingerprint, forgotten
 
 OPERATORS: dict[str, Callable[[Library], DataFrame]] = {}
 SQL: dict[str, str] = {}
-_libraries: dict[tuple[str, str], Library] = {}
+_libraries: dict[tuple[str, str], tuple[tuple, Library]] = {}
 
 
 def operator(name: str, sql: str | Callable[[], str] | None = None):
@@ -25,8 +26,12 @@ def operator(name: str, sql: str | Callable[[], str] | None = None):
 
 
 def library(spark: SparkSession, sf_dir: str) -> Library:
-    """One library for each session and folder, so that derived tables are computed once."""
-    return _libraries.setdefault((spark.sparkContext.applicationId, sf_dir), Library(spark, sf_dir))
+    """One library for each session and folder, so that derived tables are computed once; a folder whose files have changed gets
+    a new one, and the stored tables of the old one go."""
+    key, now = (spark.sparkContext.applicationId, sf_dir), tuple(fingerprint(spark, sf_dir).first())
+    if key in _libraries and _libraries[key][0] != now:
+        forgotten(_libraries.pop(key)[1])
+    return _libraries.setdefault(key, (now, Library(spark, sf_dir)))[1]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local: dict[str, str] = {}
 
@@ -34,6 +35,16 @@ def staged(df: DataFrame) -> DataFrame:
     return out
 
 
+def parted(df: DataFrame, column: str) -> DataFrame:
+    """staged(), in a folder for each value of a column: filters on it read only theirs."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    df.write.partitionBy(column).option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
 def dropped(*frames: DataFrame) -> None:
     """Delete tables made by staged() that no later step reads."""
     for df in frames:
@@ -42,6 +53,24 @@ def dropped(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fingerprint(spark: SparkSession, path: str) -> DataFrame:
+    """files, newest modification and bytes of what lies at path, without reading any of it: unchanged means that nothing needs rebuilding."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "modificationTime", "length")
+    return files.agg(F.count("*").alias("files"), F.max("modificationTime").alias("newest"), F.sum("length").alias("bytes"))
+
+
+def forgotten(owner: object) -> None:
+    """Delete every stored table that owner keeps, in its own columns, among its shared tables, and in what it is made of."""
+    held = list(owner.__dict__.values()) + list(owner.__dict__.get("_shared", {}).values())
+    held += [y for x in held if isinstance(x, tuple) for y in x]
+    for x in held:
+        if isinstance(x, DataFrame):
+            if hasattr(x, "_staged_at"):
+                dropped(x)
+        elif "_shared" in getattr(x, "__dict__", {}):
+            forgotten(x)
+
+
 def shared(owner: object, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """A table that several operators of one library walk or read: staged once."""
     kept = owner.__dict__.setdefault("_shared", {})

@@ -9,7 +9,7 @@ import re
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.refs import global_id, ref_form, ref_key, ref_tid
@@ -222,6 +222,15 @@ FOR_SQL = {
 select concat('Doc', lpad(cast(doc_id as string), 8, '0')) as ck, unnest(string_split_regex(text, '[ \\n]+')) as t, generate_subscripts(string_split_regex(text, '[ \\n]+'), 1) - 1 as pos,
   (generate_subscripts(string_split_regex(text, '[ \\n]+'), 1) - 1) // 200 as page from documents""",
     "tb_layers": "select ck, page, string_agg(t, ' ' order by pos) as layer from tb_words group by ck, page",
+    "tb_passages": """
+select w.ck, i, pos, t, page, min(page) over (partition by w.ck) as at_, pos // 12 as ln from tb_words w
+join (select ck, cast(substr(ck, 4) as int) as i, count(*) as n from tb_words group by ck) d on d.ck = w.ck and pos >= (i * 7) % greatest(n - 8, 1) and pos <= (i * 7) % greatest(n - 8, 1) + 7""",
+    "tb_places": """
+select ck, 'p1' as id, case when i % 13 = 6 then null else string_agg(t, ' ' order by pos) end as quote, case when i % 5 = 3 then at_ + 1000 when i % 17 = 10 then null else at_ end as page
+from tb_passages group by ck, i, at_""",
+    "tb_rects": """
+select ck, 'p1' as id, ln, min(pos % 12) / 12.0 as a0, (ln + case when i % 5 = 2 then 5 else 0 end) % 17 / 17.0 as b0, max(pos % 12) / 12.0 + 0.08 as a1, (ln + case when i % 5 = 2 then 5 else 0 end) % 17 / 17.0 + 0.05 as b1
+from tb_passages where page = at_ and i % 19 <> 11 group by ck, i, ln""",
     "tb_links": _LINKS.replace("{}", "tb_edges"),
     "tb_aim_links": _LINKS.replace("{}", "tb_aim_edges"),
     "tb_floor": """
@@ -253,7 +262,7 @@ def oracle(text: str) -> str:
     """A query over the derived tables as one statement over the given ones. Its own common tables follow `with`."""
     parts = [f"{n} as {'' if n == 'tb_reach' else 'materialized '}({ALL[n]})" for n in needed(text)]
     text = text.strip()
-    if text.startswith("with "):
+    if parts and text.startswith("with "):
         return "with recursive " + ", ".join(parts) + ", " + text[5:].removeprefix("recursive ")
     return ("with recursive " + ", ".join(parts) + " " if parts else "") + text
 
@@ -370,6 +379,25 @@ class Library:
         doc = self.given("documents").select(F.concat(F.lit("Doc"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("ck"), F.posexplode(F.split("text", "[ \n]+")).alias("pos", "t"))
         return doc.select("ck", "pos", "t", F.floor(F.col("pos") / 200).cast("int").alias("page"), F.floor(F.col("pos") / 12).cast("int").alias("ln"))
 
+    @property
+    def places(self) -> DataFrame:
+        """(ck, id, quote, page, rects): where quotes were placed, with rectangles for the lines they cover. Some were moved to
+        another line, some name a page that isn't there, and some lack a quote, a page or rectangles."""
+        words = self.page_words
+        n = words.groupBy("ck").agg(F.count("*").alias("n")).select("ck", F.substring("ck", 4, 8).cast("int").alias("i"), "n")
+        first = (F.col("i") * 7) % F.greatest(F.col("n") - 8, F.lit(1))
+        near = words.join(n.hint("shuffle_merge"), "ck").where(F.col("pos").between(first, first + 7)).withColumn("at", F.min("page").over(Window.partitionBy("ck")))
+        row = (F.col("ln") + F.when(F.col("i") % 5 == 2, 5).otherwise(0)) % 17 / 17
+        lines = near.groupBy("ck", "i", "at", "ln").agg(F.min(F.col("pos") % 12).alias("low"), F.max(F.col("pos") % 12).alias("high"), F.collect_list(F.struct("pos", "t")).alias("words"), F.min("page").alias("page"), F.max("page").alias("last"))
+        # A line that goes on on the next page counts up to the page's end.
+        inside = F.filter("words", lambda w: F.floor(w["pos"] / 200) == F.col("at"))
+        edge = lambda f: f(F.transform(inside, lambda w: w["pos"] % 12)) / 12
+        rect = F.when((F.col("page") == F.col("at")) & (F.col("i") % 19 != 11), F.struct("ln", F.array(edge(F.array_min), row, edge(F.array_max) + 0.08, row + 0.05).alias("box")))
+        whole = lines.groupBy("ck", "i", "at").agg(F.flatten(F.collect_list("words")).alias("words"), F.array_sort(F.collect_list(rect)).alias("rects"))
+        quote = F.array_join(F.transform(F.array_sort("words"), lambda w: w["t"]), " ")
+        page = F.when(F.col("i") % 5 == 3, F.col("at") + 1000).when(F.col("i") % 17 != 10, F.col("at"))
+        return whole.select("ck", F.lit("p1").alias("id"), F.when(F.col("i") % 13 != 6, quote).alias("quote"), page.alias("page"), F.transform("rects", lambda r: r["box"]).alias("rects"))
+
     @cached_property
     def links(self) -> DataFrame:
         return staged(long_edges(self.edges))
