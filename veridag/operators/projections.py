@@ -11,7 +11,7 @@ from ..plans.fixpoint import bfs, closure, grow, longest
 from ..plans.registry import operator
 from ..plans.staging import shared, staged
 from ..sources.testbed import Library
-from .graph import flags, ranks_within
+from .graph import flags, ranks, ranks_within
 
 PAIRS = "select distinct ck, key as target from tb_links where field = 'grounded_in' and form in ('container', 'sharpened')"
 
@@ -202,7 +202,8 @@ def rank_histogram(lib: Library) -> DataFrame:
     return distances(lib).groupBy("d").agg(F.count("*").alias("n"))
 
 
-@operator("K16_reach_mismatch", "select 'grounded' as what, count(*) as n from tb_slices s join tb_reach r on r.ck = s.ck and r.id = s.id where kind = 'claim' union all select 'mismatch', 0")
+@operator("K16_reach_mismatch", ranks_sql("'up'") + """, c as (select concat(s.ck, ':', s.id) as node, r.id is not null as grounded from tb_slices s left join tb_reach r on r.ck = s.ck and r.id = s.id where kind = 'claim')
+select 'grounded' as what, count(*) filter (where grounded) as n from c union all select 'mismatch', count(*) from c where grounded <> (node in (select node from rk))""")
 def reach_mismatch(lib: Library) -> DataFrame:
     """The walk over local grounds must reach exactly the claims that are flagged as grounded."""
     walked = bfs(floors(lib), upward(lib, "'up'")).select("node", F.lit(True).alias("walked"))
@@ -293,7 +294,8 @@ xyz as materialized (select family, cos(t) * sqrt(1 - y * y) as x, y, sin(t) * s
 def family_axes(lib: Library) -> DataFrame:
     """Directions of the families, even on a sphere, and of each broad node as their mean."""
     fam = staged(families(lib))
-    axes = fam.select("family").distinct().withColumn("i", F.row_number().over(Window.orderBy("family")) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))  # families are few
+    tops = staged(fam.select("family").distinct())
+    axes = ranks(tops, [F.col("family")], "i").withColumn("i", F.col("i") - 1).join(F.broadcast(tops.agg(F.count("*").alias("n"))))  # one row
     y, t = 1 - 2 * (F.col("i") + 0.5) / F.col("n"), F.col("i") * F.pi() * (3 - F.sqrt(F.lit(5.0)))
     axes = axes.select("family", (F.cos(t) * F.sqrt(1 - y * y)).alias("x"), y.alias("y"), (F.sin(t) * F.sqrt(1 - y * y)).alias("z"))
     return fam.join(axes, "family").groupBy("node").agg(*[F.round(F.avg(c), 6).alias(c) for c in "xyz"])
@@ -312,10 +314,66 @@ def shell_window(lib: Library, low: int = 1, high: int = 2) -> DataFrame:
     return d.where(~F.contains("node", F.lit(":"))).union(d.where(F.contains("node", F.lit(":"))).join(cited, "node", "left_semi"))
 
 
-@operator("K26_model_invariants", f"with m as ({MODEL}) select 'self link' as rule, count(*) as n from m where src = dst union all select 'unknown end', 0 union all select 'ladder off broad', 0")
+def invariants(edges: DataFrame, nodes: DataFrame, placed: DataFrame, floor: DataFrame, steps: DataFrame) -> DataFrame:
+    """(rule, node): what breaks a rule of the model.
+
+    edges(src, dst, kind) join two different nodes(node), and the ladder joins broad ones. placed(node, d, r) has one row for a
+    node, with a radius from 0.13 to 1 that is 1 for floors and falls with the distance; its floors(node) are at distance 0 and
+    nothing else is; every other one has a step from a node that is one nearer.
+    """
+    row = lambda df, rule, c="node": df.select(F.lit(rule).alias("rule"), F.col(c).alias("node"))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    gone = lambda df, other: df.join(other.hint("shuffle_merge"), "node", "left_anti")
+    nearer = steps.join(placed.select(F.col("node").alias("src"), (F.col("d") + 1).alias("d")).hint("shuffle_merge"), "src").select(F.col("dst").alias("node"), "d")
+    order = placed.groupBy("d").agg(F.min("r").alias("low"), F.max("r").alias("high"))
+    mixed = placed.join(order.select((F.col("d") + 1).alias("d"), F.col("low").alias("inner")).hint("shuffle_merge"), "d").where("r >= inner")
+    parts = [
+        row(edges.where("src = dst").select("src").distinct(), "self link", "src"),
+        row(gone(ends, nodes), "unknown end"),
+        row(edges.where("kind = 'ladder' and (contains(src, ':') or contains(dst, ':'))").select("src").distinct(), "ladder off broad", "src"),
+        row(placed.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "placed twice"),
+        row(gone(placed, nodes), "unknown node"),
+        row(placed.where("r < 0.13 or r > 1 or r is null"), "radius out of range"),
+        row(placed.where("d = 0 and r <> 1"), "floor off the rim"),
+        row(gone(placed.where("d = 0"), floor), "no floor at 0"),
+        row(gone(floor, placed.where("d = 0")), "floor not at 0"),
+        row(placed.where("d > 0").join(nearer.distinct().hint("shuffle_merge"), ["node", "d"], "left_anti"), "no step from a nearer node"),
+        row(mixed, "radius does not fall"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def seeded(lib: Library) -> tuple[DataFrame, ...]:
+    """The model with an error of each kind: links to itself and to nothing, slices on the ladder, nodes that are placed twice, too far or too near."""
+    s = lib.slices.select(F.concat_ws(":", "ck", "id").alias("node"), "pk")
+    link = lambda n, dst, kind: s.where(F.col("pk") % n == 0).select(F.col("node").alias("src"), dst.alias("dst"), F.lit(kind).alias("kind"))
+    edges = model(lib).select("src", "dst", "kind").unionByName(link(101, F.col("node"), "up")).unionByName(link(103, F.concat(F.lit("ghost-"), F.col("pk")), "cite")).unionByName(link(107, F.lit("fam-0"), "ladder"))
+    d = distances(lib).join(s.hint("shuffle_merge"), "node", "left")
+    top = distances(lib).agg(F.max("d").alias("gmax"))  # one row
+    off = F.col("d") + F.when(F.col("pk") % 109 == 0, 5).when(F.col("pk") % 113 == 0, -1).otherwise(0)
+    moved = d.select("node", "pk", off.alias("d"))
+    more = s.where("pk % 127 = 0").select("node", "pk", F.lit(0).alias("d")).unionByName(s.where("pk % 131 = 0").select(F.concat(F.lit("lost-"), "node").alias("node"), "pk", F.lit(1).alias("d")))
+    placed = moved.unionByName(more).join(F.broadcast(top)).select("node", "d", F.round(0.13 + (1 - F.col("d") / F.col("gmax")) * 0.87, 6).alias("r"))
+    return edges, all_nodes(lib), placed, floors(lib), upward(lib, WALK)
+
+
+@operator("K26_model_invariants", ranks_sql(WALK) + f""",
+s as materialized (select concat(ck, ':', id) as node, pk from tb_slices), nodes as materialized ({NODES}),
+e as materialized (select src, dst, kind from m union all select node, node, 'up' from s where pk % 101 = 0 union all select node, concat('ghost-', cast(pk as string)), 'cite' from s where pk % 103 = 0 union all select node, 'fam-0', 'ladder' from s where pk % 107 = 0),
+pl as materialized (select node, d, round(0.13 + (1 - d / gmax) * 0.87, 6) as r from (select rk.node, d + case when pk % 109 = 0 then 5 when pk % 113 = 0 then -1 else 0 end as d from rk left join s on s.node = rk.node
+  union all select node, 0 from s where pk % 127 = 0 union all select concat('lost-', node), 1 from s where pk % 131 = 0) x, (select cast(max(d) as double) as gmax from rk) g),
+v as (select 'self link' as rule, src as node from e where src = dst group by src
+union all select 'unknown end', node from (select src as node from e union select dst from e) x where node not in (select node from nodes)
+union all select 'ladder off broad', src from e where kind = 'ladder' and (strpos(src, ':') > 0 or strpos(dst, ':') > 0) group by src
+union all select 'placed twice', node from pl group by node having count(*) > 1
+union all select 'unknown node', node from pl where node not in (select node from nodes)
+union all select 'radius out of range', node from pl where r < 0.13 or r > 1
+union all select 'floor off the rim', node from pl where d = 0 and r <> 1
+union all select 'no floor at 0', node from pl where d = 0 and node not in (select node from fl)
+union all select 'floor not at 0', node from fl where node not in (select node from pl where d = 0)
+union all select 'no step from a nearer node', node from pl where d > 0 and not exists (select 1 from st join pl q on q.node = st.src where st.dst = pl.node and q.d = pl.d - 1)
+union all select 'radius does not fall', pl.node from pl join (select d, min(r) as low from pl group by d) o on o.d = pl.d - 1 where pl.r >= low)
+select rule, count(*) as n from v group by rule""")
 def model_invariants(lib: Library) -> DataFrame:
-    m, nodes = model(lib), all_nodes(lib)
-    ends = m.select(F.explode(F.array("src", "dst")).alias("node"))
-    off = m.where("kind = 'ladder' and (contains(src, ':') or contains(dst, ':'))")
-    count = lambda df, rule: df.agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), "n")
-    return count(m.where("src = dst"), "self link").unionAll(count(ends.join(nodes.hint("shuffle_merge"), "node", "left_anti"), "unknown end")).unionAll(count(off, "ladder off broad"))
+    """What breaks a rule in a model with seeded errors, by rule."""
+    return invariants(*seeded(lib)).groupBy("rule").agg(F.count("*").alias("n"))

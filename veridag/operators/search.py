@@ -171,7 +171,14 @@ def byline(names: Column, corresponding: Column) -> Column:
     return F.when(F.size(names) >= 6, F.concat_ws(" · ", names[0], F.lit("…"), last)).otherwise(F.array_join(names, " · "))
 
 
-@operator("J13_byline", "select segment, nkey, case when count(*) >= 6 then concat(min(author), ' · … · ', max(author)) else string_agg(author, ' · ' order by author) end as line from (select distinct segment, nkey, author from tb_papers) a group by segment, nkey")
+@operator("J13_byline", """
+with a as (select distinct segment, nkey, author from tb_papers), c as (select segment, nkey, min(author) as corr from tb_papers where okey % 7 = 3 group by segment, nkey), g as (select segment, nkey, count(*) as n, min(author) as first, max(author) as last, string_agg(author, ' · ' order by author) as all_ from a group by segment, nkey)
+select g.segment, g.nkey, case when n >= 6 then concat(first, ' · … · ', coalesce(corr, last)) else all_ end as line from g left join c on c.segment = g.segment and c.nkey = g.nkey""")
 def bylines(lib: Library) -> DataFrame:
-    names = lib.papers.groupBy("segment", "nkey").agg(F.array_sort(F.collect_set("author")).alias("names"))
-    return names.select("segment", "nkey", byline(F.col("names"), F.lit(None).cast("string")).alias("line"))
+    """The authors of each segment and nation. A long list keeps its ends alone, which are minima and maxima; only the first six
+    names, enough to tell that it is long, are gathered."""
+    each = lib.papers.groupBy("segment", "nkey", "author").agg(F.bool_or(F.col("okey") % 7 == 3).alias("corr"))
+    few = each.withColumn("r", F.row_number().over(Window.partitionBy("segment", "nkey").orderBy("author"))).where("r <= 6")
+    names = few.groupBy("segment", "nkey").agg(F.array_sort(F.collect_list("author")).alias("names"))
+    ends = each.groupBy("segment", "nkey").agg(F.max("author").alias("last"), F.min(F.when(F.col("corr"), F.col("author"))).alias("corr"))
+    return names.join(ends.hint("shuffle_merge"), ["segment", "nkey"]).select("segment", "nkey", byline(F.col("names"), F.coalesce("corr", "last")).alias("line"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.refs import valid_rects
 from ..plans.registry import operator
 from ..plans.staging import shared_folder, staged
 from ..sources.testbed import Library
@@ -170,20 +171,27 @@ def keys_in_use(lib: Library) -> DataFrame:
     return p.groupBy("ck").agg(F.min_by("doi", "curated").alias("doi"))
 
 
-def write_new(existing: DataFrame, new: DataFrame, key: str = "ck", force: bool = False) -> DataFrame:
-    """existing with new: keys that exist are refused, or replaced with force."""
+def write_new(existing: DataFrame, new: DataFrame, key: str = "ck", force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """existing with new rows, and (key, outcome) of each new row: written, or refused where its key exists; with force replaced."""
+    known = existing.select(key, F.lit(True).alias("known"))
+    asked = new.join(known.hint("shuffle_merge"), key, "left")
+    outcome = asked.select(key, F.when(F.col("known").isNull(), "written").otherwise("replaced" if force else "refused").alias("outcome"))
     if force:
-        return existing.join(new.select(key), key, "left_anti").unionByName(new)
-    return existing.unionByName(new.join(existing.select(key), key, "left_anti"))
+        return existing.join(new.select(key).hint("shuffle_merge"), key, "left_anti").unionByName(new), outcome
+    return existing.unionByName(asked.where("known is null").select(*existing.columns)), outcome
 
 
-SPLIT = "select ck, okey, segment as v from tb_papers"
-
-
-@operator("A14_write_curated", "select ck, case when okey % 3 = 0 then 'new' else segment end as v from tb_papers")
+@operator("A14_write_curated", """
+select p.ck, case when okey % 6 = 3 then 'new' else segment end as v, case when okey % 6 = 0 then 'refused' when okey % 6 = 3 then 'replaced' end as outcome from tb_papers p
+union all select concat('New', substr(ck, 4)), 'new', 'written' from tb_papers where okey % 6 in (1, 4) order by 1""")
 def write_curated(lib: Library) -> DataFrame:
+    """Records before and after two writes: one that refuses keys in use, and one that replaces them."""
     old = lib.papers.select("ck", "okey", F.col("segment").alias("v"))
-    return write_new(old, old.where("okey % 3 = 0").withColumn("v", F.lit("new")), force=True).select("ck", "v")
+    fresh = old.where("okey % 6 in (1, 4)").withColumn("ck", F.concat(F.lit("New"), F.substring("ck", 4, 100)))
+    new = lambda df: df.withColumn("v", F.lit("new"))
+    first, told = write_new(old, new(fresh.where("okey % 6 = 1").unionByName(old.where("okey % 6 = 0"))))
+    second, more = write_new(first, new(fresh.where("okey % 6 = 4").unionByName(old.where("okey % 6 = 3"))), force=True)
+    return second.join(told.unionByName(more).hint("shuffle_merge"), "ck", "left").select("ck", "v", "outcome")
 
 
 @operator("A15_merge_stubs", "select ck, curated or okey % 2 = 0 as known from tb_papers where not curated or okey % 5 = 0")
@@ -199,11 +207,34 @@ def prune_stubs(lib: Library) -> DataFrame:
     return lib.papers.where("okey % 2 = 0").select("ck").join(lib.papers.where("curated").select("ck"), "ck", "left_anti")
 
 
-@operator("A17_quote_locations", "select ck, id, case when ln % 2 = 0 then ln * 10 else ln end as page from tb_slices")
+def write_locations(slices: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """slices(ck, id, ...) with page and rects of places(ck, id, page, rects) where they are valid, and (ck, written, skipped): how
+    many were written in each container, and how many name no slice of it or no place on a page."""
+    named = places.join(slices.select("ck", "id", F.lit(True).alias("known")).hint("shuffle_merge"), ["ck", "id"], "left")
+    fine = F.col("known").isNotNull() & F.coalesce(F.col("page") >= 0, F.lit(False)) & valid_rects(F.col("rects"))
+    told = named.groupBy("ck").agg(F.count_if(fine).alias("written"), F.count_if(~fine).alias("skipped"))
+    put = named.where(fine).select("ck", "id", "page", "rects")
+    return slices.join(put.hint("shuffle_merge"), ["ck", "id"], "left"), told
+
+
+def located_quotes(lib: Library) -> tuple[DataFrame, DataFrame]:
+    """Stored places written to quotes: those of even documents as c1's, those of odd ones under an id that nothing has."""
+    id_ = F.when(F.substring("ck", 4, 8).cast("int") % 2 == 0, "c1").otherwise("zz")
+    return write_locations(lib.quotes.select("ck", "id"), lib.places.select("ck", id_.alias("id"), "page", "rects"))
+
+
+PLACED_SQL = "pl as (select p.ck, p.page, count(r.ln) as n, coalesce(bool_and(a0 between 0 and 1 and a1 between 0 and 1 and b0 between 0 and 1 and b1 between 0 and 1), false) as inside from tb_places p left join tb_rects r on r.ck = p.ck group by p.ck, p.page)"
+
+
+@operator("A17_quote_locations", f"with {PLACED_SQL} select q.ck, q.id, case when fine then page end as page, case when fine then n end as rects from tb_quotes q left join (select *, page is not null and inside as fine from pl where cast(substr(ck, 4) as int) % 2 = 0) p on p.ck = q.ck and q.id = 'c1'")
 def quote_locations(lib: Library) -> DataFrame:
-    """Locations put on slices; unknown ids are passed over."""
-    locs = lib.slices.where("ln % 2 = 0").select("ck", "id", (F.col("ln") * 10).alias("new")).unionAll(lib.spark.createDataFrame([("nobody", "c1", 1)], "ck string, id string, new int"))
-    return lib.slices.join(locs, ["ck", "id"], "left").select("ck", "id", F.coalesce("new", "ln").alias("page"))
+    """Pages and rectangles put on quotes; unknown ids are passed over."""
+    return located_quotes(lib)[0].select("ck", "id", F.col("page").cast("long").alias("page"), F.when(F.col("rects").isNotNull(), F.size("rects")).cast("long").alias("rects"))
+
+
+@operator("A17_locations_written", f"with {PLACED_SQL} select ck, cast(sum(case when page is not null and inside and cast(substr(ck, 4) as int) % 2 = 0 then 1 else 0 end) as bigint) as written, cast(sum(case when page is not null and inside and cast(substr(ck, 4) as int) % 2 = 0 then 0 else 1 end) as bigint) as skipped from pl group by ck")
+def locations_written(lib: Library) -> DataFrame:
+    return located_quotes(lib)[1]
 
 
 def add_tags(tags: Column, new: Column) -> Column:

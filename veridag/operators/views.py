@@ -52,7 +52,7 @@ def family_host(lib: Library) -> DataFrame:
 @operator("I4_family_order", f"with recursive {HOST} select root, n, row_number() over (order by n desc, root) as pos from (select root, count(*) as n from up group by root) x")
 def family_order(lib: Library) -> DataFrame:
     n = family_host(lib).groupBy("root").agg(F.count("*").alias("n"))
-    return n.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("n"), "root")).cast("long"))  # families are few
+    return ranks(staged(n), [F.desc("n"), F.col("root")])
 
 
 LOCAL = "select distinct on (l.ck, a, b) l.ck, a, b, l.kind from (select ck, src as a, ref as b, case field when 'grounded_in' then 'gen' else 'answers' end as kind, case field when 'grounded_in' then 1 else 2 end as prio from tb_links where form = 'local' and field in ('grounded_in', 'answers')) l join tb_slices t on t.ck = l.ck and t.id = l.b order by l.ck, a, b, prio"
