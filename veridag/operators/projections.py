@@ -132,7 +132,7 @@ def upward(lib: Library, kinds: str) -> DataFrame:
 
 def ranks_sql(kinds: str) -> str:
     return f"""with recursive m as materialized ({MODEL}), st as materialized (select distinct case when kind in ('up', 'cite') then dst else src end as src, case when kind in ('up', 'cite') then src else dst end as dst from m where kind in ({kinds})),
-fl as materialized (select concat(ck, ':', id) as node from tb_floor), w(node, d) as (select node, 0 from fl union select st.dst, w.d + 1 from w join st on st.src = w.node where w.d < 60), rk as materialized (select node, min(d) as d from w group by node)"""
+fl as materialized (select concat(ck, ':', id) as node from tb_floor), w(node, d) using key (node) as (select distinct node, 0 from fl union select st.dst, min(w.d) + 1 from w join st on st.src = w.node left join recurring.w k on k.node = st.dst where k.node is null group by st.dst), rk as materialized (select node, d from w)"""
 
 
 WALK = "'up', 'cite', 'cons', 'ladder'"
