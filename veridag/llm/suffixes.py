@@ -52,6 +52,8 @@ def segments(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.n
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data * up)])
         hashes = mix((total[window:] - total[:-window]) * down[: n - window + 1], 9)
     place = np.arange(len(hashes), dtype=np.uint64)
+    if len(hashes) >> PLACE:
+        raise ValueError(f"texts of more than {1 << PLACE} bytes in one slice")
     least = (hashes >> np.uint64(PLACE) << np.uint64(PLACE)) | place
     span, wide = 1, length - window + 1
     while 2 * span <= wide:

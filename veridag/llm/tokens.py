@@ -54,6 +54,11 @@ class Encoder:
             added = [re.escape(t.content) for t in self.json.get_added_tokens_decoder().values()]
             self.marks = re.compile("|".join(added)) if added else None
 
+    def narrow(self, *others: int) -> str:
+        """The narrowest kind of number that holds every id, and others."""
+        most = max(len(self.bytes), self.json.get_vocab_size() if self.json else 0, *(x + 1 for x in others))
+        return "<u2" if most <= 1 << 16 else "<u4"
+
     def own(self, text: str) -> bool:
         """Does the text hold an added token's string, which has an id of its own in that library?"""
         return self.marks is not None and self.marks.search(text) is not None
@@ -236,7 +241,7 @@ def pack(docs: DataFrame, ranks_path: str, json_path: str, length: int = 1024, e
     def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at = encoder_of(ranks_path, json_path), TaskContext.get().partitionId(), 0
         for batch in (s for b in batches for s in slices(b, "text")):
-            ids = [np.append(x, end_id).astype(np.uint16) for x in encoder.many([t or "" for t in batch.column("text").to_pylist()])]
+            ids = [np.append(x, end_id).astype(encoder.narrow(end_id)) for x in encoder.many([t or "" for t in batch.column("text").to_pylist()])]
             n = np.array([len(x) for x in ids], np.int64)
             low = at + np.cumsum(n) - n
             at += int(n.sum())
@@ -252,7 +257,7 @@ def pack(docs: DataFrame, ranks_path: str, json_path: str, length: int = 1024, e
         for batch in (s for b in batches for s in slices(b, "ids")):
             rows: list[list] = [[] for _ in range(7)]
             for doc, part, low, n, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "low", "n", "ids")), strict=True):
-                at, wide = base[part] + low, np.frombuffer(ids, np.uint16).astype("<u4").tobytes()
+                at, wide = base[part] + low, np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4").tobytes()
                 start = 0
                 while start < n:
                     sequence, offset = divmod(at + start, length)

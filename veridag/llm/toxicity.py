@@ -61,6 +61,18 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def risk_gradient(p: Rows, u: Rows, w: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """The positives' part of the risk, its bracket, and the step's gradient by w, whose last element is the bias: that of the
+    risk, or where the bracket is below zero that which climbs it."""
+    fp, fu = sigmoid(p.times(w[:-1]) + w[-1]), sigmoid(u.times(w[:-1]) + w[-1])
+    # derivatives of l(f), l(-f) by f: -(1 - s), s
+    gp, gpn, gu = -prior * (1 - fp) / p.n, -prior * fp / p.n, fu / u.n
+    bracket = np.mean(-np.log(1 - fu + 1e-12)) + prior * np.mean(np.log(1 - fp + 1e-12))
+    if bracket < 0:
+        gp, gu, gpn = 0 * gp, -gu, -gpn
+    return float(prior * np.mean(-np.log(fp + 1e-12))), float(bracket), np.append(p.back(gp + gpn) + u.back(gu), np.sum(gp + gpn) + np.sum(gu))
+
+
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 80, rate: float = 0.2, decay: float = 1e-4, least: int = 4, apart_by: float = 4.0) -> tuple[np.ndarray, np.ndarray, float]:
     """(features, weights, bias) of a linear classifier that minimises the non-negative positive-unlabelled risk
 
@@ -90,13 +102,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     w, m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     w[-1] = bias
     for step in range(1, steps + 1):
-        fp, fu = sigmoid(p.times(w[:-1]) + w[-1]), sigmoid(u.times(w[:-1]) + w[-1])
-        # derivatives of l(f), l(-f) by f: -(1 - s), s
-        gp, gpn, gu = -prior * (1 - fp) / p.n, -prior * fp / p.n, fu / u.n
-        bracket = np.mean(-np.log(1 - fu + 1e-12)) + prior * np.mean(np.log(1 - fp + 1e-12))
-        if bracket < 0:
-            gp, gu, gpn = 0 * gp, -gu, -gpn
-        g = np.append(p.back(gp + gpn) + u.back(gu), np.sum(gp + gpn) + np.sum(gu))
+        g = risk_gradient(p, u, w, prior)[2]
         g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
