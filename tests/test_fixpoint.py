@@ -98,6 +98,19 @@ def test_a_large_component_costs_no_pairs(spark, monkeypatch):
     assert made[0].count() == 4
 
 
+def test_rounds_leave_edges_where_they_are(spark):
+    """A join with bucketed edges shuffles the frontier alone."""
+    from veridag.plans.staging import bucketed, dropped, staged
+
+    edges = bucketed(spark.range(5000).selectExpr("cast(id as string) as src", "cast(id + 1 as string) as dst"), "src")
+    front = staged(spark.range(900).selectExpr("cast(id as string) as node"))
+    plan = front.hint("shuffle_merge").join(edges, front["node"] == edges["src"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(node") == 1 == plan.count("Exchange hashpartitioning")
+    assert front.join(edges, front["node"] == edges["src"]).count() == 900
+    dropped(edges, front)
+    assert not spark.catalog.tableExists(edges._table)
+
+
 def test_no_cycles(spark):
     df = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c")], "src string, dst string")
     assert strong_components(df).count() == 0 and cycles(df).count() == 0 and cycles(df.limit(0)).count() == 0

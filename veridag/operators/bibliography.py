@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.refs import fold_ascii, work_type
@@ -272,7 +272,10 @@ def free_slots(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     return both.where("ck is not null").select("doi", "ck").unionByName(placed.select("doi", F.concat("base", suffix(F.col("slot") - 1)).alias("ck")))
 
 
-@operator("M17_keys_kept")
+@operator("M17_keys_kept", f"""
+with b as ({BASE}), t as (select doi, base, 2 * row_number() over (partition by base order by seq) - 1 as k from b where seq % 3 = 0), o as (select doi, base, row_number() over (partition by base order by seq) - 1 as j from b where seq % 3 <> 0), n as (select base, count(*) as n from t group by base),
+slots as (select doi, base, cast(k as int) as k from t union all select doi, o.base, cast(case when j <= coalesce(n, 0) then 2 * j else coalesce(n, 0) + j end as int) from o left join n on n.base = o.base)
+select doi, concat(base, {SUFFIX_SQL}) as ck from slots""")
 def keys_kept(lib: Library) -> DataFrame:
     """All works once a third of them is in the library: that third keeps its keys, the others get what is free."""
     b = based(lib)
@@ -332,16 +335,27 @@ union all select case when p_type in ('PROMO', 'STANDARD') then 'type' else 'typ
 union all select 'stubs', case when seq % 12 = 0 then 'skipped' else 'added' end, count(*) from tb_works group by 2""")
 def ingest_report(lib: Library) -> DataFrame:
     """A run in counts: where DOIs, metadata and references come from, what has no work, types that are the default because
-    the source names another, stubs added and those skipped for want of author and year."""
-    f = focal_lookup(lib)
-    row = lambda df, what, value: df.select(F.lit(what).alias("what"), value.alias("value"))
+    the source names another, stubs added and those skipped for want of author and year.
+
+    The counts are observed while the run's tables are written, so that none of them is read or derived again for the report.
+    """
     known = F.lower("p_type").isin("promo", "standard", "article", "journal-article", "original")
-    parts = [
-        row(f, "doi_source", F.col("doi_source")),
-        row(f, "metadata_source", F.col("metadata_source")),
-        row(lib.papers.select("ck").join(f, "ck", "left_anti"), "unresolved", F.lit("")),
-        row(references(lib), "references", F.col("via")),
-        lib.given("part").select(F.when(known, "type").otherwise("type_defaulted").alias("what"), work_type(F.col("p_type")).alias("value")),
-        row(lib.works, "stubs", F.when((F.col("seq") % 4 == 0) & (F.col("seq") % 3 == 0), "skipped").otherwise("added")),
+    bare = (F.col("seq") % 4 == 0) & (F.col("seq") % 3 == 0)
+    each = lambda what, c, values: {(what, v): F.col(c) == v for v in values}
+    runs = [
+        (focal_lookup(lib), each("doi_source", "doi_source", ["given", "pdf", "title-search"]) | each("metadata_source", "metadata_source", ["openalex", "crossref"]) | {("resolved", ""): F.lit(True)}),
+        (references(lib), each("references", "via", ["ids", "stated", "printed"])),
+        (lib.given("part").select(known.alias("known"), work_type(F.col("p_type")).alias("kind")), {("type" if k else "type_defaulted", v): (F.col("known") == k) & (F.col("kind") == v) for k in (True, False) for v in ("original", "review")}),
+        (lib.works.select("doi", "seq"), {("stubs", "skipped"): bare, ("stubs", "added"): ~bare}),
+        (lib.papers.select("ck"), {("unresolved", ""): F.lit(True)}),
     ]
-    return reduce(DataFrame.unionByName, parts).groupBy("what", "value").agg(F.count("*").alias("n"))
+    counts = reduce(lambda x, y: x | y, (written_with(df, wanted)[1] for df, wanted in runs))
+    counts["unresolved", ""] -= counts.pop(("resolved", ""))
+    return lib.spark.createDataFrame([(what, value, n) for (what, value), n in counts.items() if n], "what string, value string, n long")
+
+
+def written_with(df: DataFrame, wanted: dict[tuple, Column]) -> tuple[DataFrame, dict[tuple, int]]:
+    """df as a stored table, and how many of its rows meet each condition, counted in the pass that writes it."""
+    seen = Observation()
+    out = staged(df.observe(seen, *(F.count_if(c).alias(f"n{i}") for i, c in enumerate(wanted.values()))))
+    return out, dict(zip(wanted, (seen.get[f"n{i}"] for i in range(len(wanted))), strict=True))

@@ -22,12 +22,34 @@ def citation_pairs(lib: Library) -> DataFrame:
 
 @operator("K1_grounding_projection", f"select coalesce(a.node, b.node) as node, coalesce(n_in, 0) as n_in, coalesce(n_out, 0) as n_out from (select target as node, count(*) as n_in from ({PAIRS}) p group by target) a full join (select ck as node, count(*) as n_out from ({PAIRS}) p group by ck) b on a.node = b.node")
 def grounding_projection(lib: Library) -> DataFrame:
-    """In and out degrees of papers over distinct citations. Where an estimate will do, approx_count_distinct spares the distinct."""
+    """In and out degrees of papers over distinct citations. Where an estimate will do, sketches spare the distinct."""
     p = citation_pairs(lib)
     ends = p.select(F.explode(F.array(F.struct(F.col("target").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("ck").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")))).alias("e"))
     return ends.groupBy("e.node").agg(F.sum("e.i").alias("n_in"), F.sum("e.o").alias("n_out"))
 
 
+def degree_sketches(pairs: DataFrame, batch: str) -> DataFrame:
+    """(batch, node, sketch) of pairs(ck, target, batch): how many papers cite each node in a batch, as sketches that merge.
+
+    A sketch of 2 ** 12 registers has a standard error of 1.6 % and is at most 4 KB, however often a node is cited; citations
+    that come again, in any batch, don't count again."""
+    return pairs.groupBy(batch, F.col("target").alias("node")).agg(F.hll_sketch_agg("ck", F.lit(12)).alias("sketch"))
+
+
+def sketched_degrees(sketches: DataFrame) -> DataFrame:
+    """(node, degree) over all batches of sketches(node, sketch)."""
+    return sketches.groupBy("node").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("degree"))
+
+
+@operator("K1_sketched_degrees", f"select target as node, count(*) as degree from ({PAIRS}) p group by target")
+def merged_degrees(lib: Library) -> DataFrame:
+    """In degrees from the sketches of two batches that overlap, without a distinct; exact for nodes of few citations."""
+    pairs = lib.links.where("field = 'grounded_in' and form in ('container', 'sharpened')").select("ck", F.col("key").alias("target"))
+    half = F.pmod(F.xxhash64("ck"), F.lit(3))
+    batches = pairs.where(half < 2).withColumn("batch", F.lit(0)).unionByName(pairs.where(half > 0).withColumn("batch", F.lit(1)))
+    return sketched_degrees(staged(degree_sketches(batches, "batch")))
+
+
 SUPPORT = "select distinct ck, ref as slug from tb_links where form = 'broad' and field in ('leads_to', 'corroborates', 'contradicts')"
 COSUPPORT = f"select a.ck as a, b.ck as b, count(*) as weight from ({SUPPORT}) a join ({SUPPORT}) b on a.slug = b.slug and a.ck < b.ck group by a.ck, b.ck"
 

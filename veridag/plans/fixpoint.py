@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import dropped, staged
+from .staging import bucketed, dropped, staged
 
 
 class Known:
@@ -37,9 +37,9 @@ class Known:
 def grow(start: DataFrame, edges: DataFrame, keys: list[str], step, rounds: int = 1000) -> DataFrame:
     """start with all that step(newest rows joined with edges on node = src, round) adds, a row for each value of keys.
 
-    Edges are written once, whatever they are derived from."""
-    new, own = staged(start), not hasattr(edges, "_staged_at")
-    edges = staged(edges) if own else edges
+    Edges are written once, in buckets by src, so that no round shuffles them: only the newest rows move."""
+    new, own = staged(start), not hasattr(edges, "_table")
+    edges = bucketed(edges, "src") if own else edges
     known = Known(new)
     for k in range(1, rounds + 1):
         found = step(new.join(edges, new["node"] == edges["src"]), k).distinct()
@@ -63,7 +63,7 @@ def bfs(seeds: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
 
 def closure(roots: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
     """(root, node): what each of roots(node) reaches by one edge or more; itself only on a cycle."""
-    edges = staged(edges.select("src", "dst").distinct())
+    edges = bucketed(edges.select("src", "dst").distinct(), "src")
     start = roots.select(F.col("node").alias("root")).distinct().join(edges, F.col("root") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
     return grow(start, edges, ["root", "node"], lambda j, k: j.select("root", F.col("dst").alias("node")), rounds)
 
@@ -75,7 +75,7 @@ def longest(nodes: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame
     """
     new = staged(nodes.select("node").distinct())
     within = new.select(F.col("node").alias("dst"))
-    edges = staged(edges.select("src", "dst").distinct().join(within, "dst", "left_semi"))
+    edges = bucketed(edges.select("src", "dst").distinct().join(within, "dst", "left_semi"), "src")
     levels = new.withColumn("level", F.lit(0))
     for k in range(1, rounds + 1):
         new = staged(new.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct())

@@ -45,10 +45,23 @@ def parted(df: DataFrame, column: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, column: str) -> DataFrame:
+    """staged(), in as many buckets by a column as shuffles have partitions: a join on it moves the other side alone."""
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"veridag_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/staged-{name}"
+    df.repartition(n, column).write.bucketBy(n, column).sortBy(column).option("compression", "zstd").option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._staged_at, out._table = path, name
+    return out
+
+
 def dropped(*frames: DataFrame) -> None:
-    """Delete tables made by staged() that no later step reads."""
+    """Delete tables made by staged(), parted() or bucketed() that no later step reads."""
     for df in frames:
         spark = df.sparkSession
+        if hasattr(df, "_table"):
+            spark.sql(f"drop table if exists {df._table}")
         path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
