@@ -206,33 +206,42 @@ def worklist_state(lib: Library) -> DataFrame:
 EVENTS = "gid string, slug string, field string, seq long, live boolean"
 
 
+def sides(edges: dict) -> set[tuple[str, bool]]:
+    """(slug, against) of a claim's votes: a side counts once while any edge of it lives."""
+    return {(slug, field == "contradicts") for slug, fields in edges.items() for field, (_, live) in fields.items() if live}
+
+
 def claim_votes(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes of one claim's votes: its state has the last event of each edge, and a side counts once while any edge of it lives."""
+    """Changes of the votes of one group's claims; the group's state has the last event of each edge."""
     held = json.loads(state.get[0]) if state.exists else {}
-    sides = lambda: {(slug, field == "contradicts") for slug, fields in held.items() for field, (_, live) in fields.items() if live}
-    before = sides()
+    before: dict[str, set] = {}
     for part in parts:
-        for slug, field, seq, live in zip(part["slug"], part["field"], part["seq"], part["live"], strict=True):
-            fields = held.setdefault(slug, {})
+        for gid, slug, field, seq, live in zip(*(part[c].tolist() for c in ("gid", "slug", "field", "seq", "live")), strict=True):
+            edges = held.setdefault(gid, {})
+            if gid not in before:
+                before[gid] = sides(edges)
+            fields = edges.setdefault(slug, {})
             if field not in fields or fields[field][0] < seq:
-                fields[field] = [int(seq), bool(live)]
+                fields[field] = [seq, live]
     state.update((json.dumps(held),))
-    after = sides()
-    changed = [(slug, against, d) for d, keys in ((1, after - before), (-1, before - after)) for slug, against in keys]
+    now = {gid: sides(held[gid]) for gid in before}
+    changed = [(slug, against, d) for gid, old in before.items() for d, keys in ((1, now[gid] - old), (-1, old - now[gid])) for slug, against in keys]
     if changed:
         yield pd.DataFrame(changed, columns=["slug", "against", "change"])
 
 
-def running_votes(stream: DataFrame, base: str) -> DataFrame:
+def running_votes(stream: DataFrame, base: str, groups: int = 4096) -> DataFrame:
     """(slug, support, contradict) after all that a stream of edge events has now: EVENTS, where the last event of an edge says
     whether it lives.
 
-    Two aggregates in a row. The first is keyed by claim and writes what its votes gain and lose, exactly once; the second adds
-    that up by slug. Either starts again from its checkpoint, and the result is read from the second one's state.
+    Two aggregates in a row. The first is keyed by claims, by a hash in `groups` groups, since a group costs a call of Python and
+    a claim alone is little work; a group's state holds its share of the claims, so `groups` goes with their number. It
+    writes what votes gain and lose, exactly once; the second adds that up by slug. Either starts again from its checkpoint, and the result is read from the second one's state.
     """
     spark = stream.sparkSession
     changed = "slug string, against boolean, change long"
-    changes = stream.groupBy("gid").applyInPandasWithState(claim_votes, changed, "held string", "append", GroupStateTimeout.NoTimeout)
+    grouped = stream.withColumn("part", F.pmod(F.xxhash64("gid"), F.lit(groups)).cast("int")).groupBy("part")
+    changes = grouped.applyInPandasWithState(claim_votes, changed, "held string", "append", GroupStateTimeout.NoTimeout)
     changes.writeStream.outputMode("append").format("parquet").option("path", f"{base}/changes").option("checkpointLocation", f"{base}/claims").trigger(availableNow=True).start().awaitTermination()
     total = spark.readStream.schema(changed).parquet(f"{base}/changes").groupBy("slug", "against").agg(F.sum("change").alias("n"))
     total.writeStream.outputMode("update").format("noop").option("checkpointLocation", f"{base}/slugs").trigger(availableNow=True).start().awaitTermination()
