@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +108,21 @@ def filtered(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids_a[x], pa.int64()), "other": pa.array(ids_b[y], pa.int64())})
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Four bits or more for each token, a power of two; a token sets the bit that its low bits number."""
+    width = max(64, 1 << (4 * len(tokens) - 1).bit_length())
+    bits = np.zeros(width, np.uint8)
+    bits[tokens & np.uint64(width - 1)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_shared(x: bytes, n: int, y: bytes, m: int) -> int:
+    """No fewer than the tokens two sets of n and m tokens share: each bit of one bitmap alone stands for a token that the other set lacks."""
+    width = min(len(x), len(y))
+    a, b = (np.bitwise_or.reduce(np.frombuffer(t, np.uint8).reshape(-1, width), axis=0) for t in (x, y))
+    return min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+
+
 def _sets(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[tuple[list, list[np.ndarray]]]:
     for batch in (s for b in batches for s in slices(b, "text", 2 << 20)):
         yield batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), words)
@@ -176,7 +191,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, bits:
     order = spark.sparkContext.broadcast((token[by], top.column("rank").to_numpy()[by].astype(np.uint64)))
     classes = stored(rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep")))
 
-    prefix_row = pa.schema([("doc_id", pa.int64()), ("sig", pa.binary()), ("n", pa.int64()), ("keys", pa.binary()), ("others", pa.list_(pa.binary()))])
+    prefix_row = pa.schema([("doc_id", pa.int64()), ("sig", pa.binary()), ("n", pa.int64()), ("keys", pa.binary())])
 
     def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rule = Order(*order.value)
@@ -185,18 +200,13 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, bits:
             for doc, s in zip(ids, sets, strict=True):
                 if len(s) and doc is not None and ((sig := signature(s)) not in best or doc < best[sig][0]):
                     best[sig] = (doc, s)
-            keys, others = [], []
-            for _, s in best.values():
-                ranks, size = rule.rank(s), prefix_size(len(s), percent)
-                keys.append(rule.prefix(s, ranks, size, 0).tobytes())
-                others.append([np.unique(rule.prefix(s, ranks, size, k)).tobytes() for k in range(1, ORDERS)])
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in best.values()], pa.int64()), pa.array(list(best), pa.binary()), pa.array([len(s) for _, s in best.values()], pa.int64()), pa.array(keys, pa.binary()), pa.array(others, pa.list_(pa.binary()))], schema=prefix_row)
+            keys = [rule.prefix(s, rule.rank(s), prefix_size(len(s), percent), 0).tobytes() for _, s in best.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in best.values()], pa.int64()), pa.array(list(best), pa.binary()), pa.array([len(s) for _, s in best.values()], pa.int64()), pa.array(keys, pa.binary())], schema=prefix_row)
 
     leads = classes.select("sig", F.col("rep").alias("doc_id"))
     most = bits
-    prefix = stored(slim.mapInArrow(prefixes, "doc_id long, sig binary, n long, keys binary, others array<binary>").join(leads.hint("shuffle_hash"), ["sig", "doc_id"]).dropDuplicates(["sig", "doc_id"]).select("doc_id", "n", "keys", "others"))
+    prefix = stored(slim.mapInArrow(prefixes, "doc_id long, sig binary, n long, keys binary").join(leads.hint("shuffle_hash"), ["sig", "doc_id"]).dropDuplicates(["sig", "doc_id"]).select("doc_id", "n", "keys"))
 
-    order.destroy()
     bits = filter_bits(prefix.agg(F.sum(F.length("keys")) / 4).first()[0] or 0, 8, most)
 
     def seen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,8 +236,9 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, bits:
     index = stored(loose.join(common.hint("shuffle_merge"), "key").select("doc_id", "n", "key", (F.col("n") - F.col("pos")).alias("most")))
     forget(loose)
     forget(common)
+    sketch_row = pa.schema([("doc_id", pa.int64()), ("sig", pa.binary()), ("n", pa.int64()), ("bits", pa.binary()), ("others", pa.list_(pa.binary()))])
     token_row = pa.schema([("doc_id", pa.int64()), ("sig", pa.binary()), ("tokens", pa.binary())])
-    verified = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
+    pair_row = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def named(pairs: DataFrame) -> tuple[int, Broadcast]:
         """A filter of the ids that pairs(a, b) name, with its size: other rows are dropped before they are shuffled."""
@@ -239,44 +250,63 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, bits:
             ids = pc.fill_null(batch.column("doc_id"), -1).to_numpy()
             yield batch.take(pa.array(np.flatnonzero(in_filter(mix(ids.astype(np.uint64), 5), wanted.value, size))))
 
-    def with_both(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
-        side = lambda x: rows.select(F.col("doc_id").alias(x), F.col(column).alias(f"of_{x}"))
-        return pairs.select("a", "b").join(side("a").hint("shuffle_merge"), "a").join(side("b").hint("shuffle_merge"), "b")
+    def described(batches: Iterable[pa.RecordBatch], size: int, wanted: Broadcast, row: pa.Schema, describe: Callable[[np.ndarray], tuple]) -> Iterator[pa.RecordBatch]:
+        """What describe says of the needed documents' sets, once for each document and text of a task."""
+        done = set()
+        for ids, sets in _sets(needed(batches, size, wanted), words):
+            rows = []
+            for d, s in zip(ids, sets, strict=True):
+                if len(s) and d is not None and (at := (d, signature(s))) not in done:
+                    done.add(at)
+                    rows.append(at + describe(s))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(row)], schema=row)
+
+    def sketch(s: np.ndarray) -> tuple:
+        rule = Order(*order.value)
+        ranks, size = rule.rank(s), prefix_size(len(s), percent)
+        return len(s), bitmap(s), [np.unique(rule.prefix(s, ranks, size, k)).tobytes() for k in range(1, ORDERS)]
+
+    def with_both(pairs: DataFrame, row: pa.Schema, types: str, describe: Callable[[np.ndarray], tuple]) -> DataFrame:
+        """pairs(a, b) with what describe says of both ends, as structs of_a and of_b: two joins by document, no other shuffle."""
+        size, sent = named(pairs)
+        held = stored(slim.mapInArrow(lambda batches: described(batches, size, sent, row, describe), types))
+        rule = leads.select("doc_id", F.col("sig").alias("lead")).mapInArrow(lambda batches: needed(batches, size, sent), "doc_id long, lead binary")
+        rule = stored(rule)
+        sent.destroy()
+
+        def side(x: str) -> DataFrame:
+            told = held.join(rule.hint("shuffle_merge"), "doc_id").where("sig = lead").dropDuplicates(["doc_id"])
+            return told.select(F.col("doc_id").alias(x), F.struct(*row.names[2:]).alias(f"of_{x}"))
+
+        out = pairs.select("a", "b").join(side("a").hint("shuffle_merge"), "a").join(side("b").hint("shuffle_merge"), "b")
+        out._from = [held, rule]
+        return out
 
     def meeting(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fine = [all(len(np.intersect1d(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), assume_unique=True)) for x, y in zip(oa, ob, strict=True)) for oa, ob in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
+            fine = []
+            for x, y in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist(), strict=True):
+                both = most_shared(x["bits"], x["n"], y["bits"], y["n"])
+                fine.append((100 + percent) * both >= percent * (x["n"] + y["n"]) and all(len(np.intersect1d(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32), assume_unique=True)) for p, q in zip(x["others"], y["others"], strict=True)))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=pair_row).filter(pa.array(fine, pa.bool_()))
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
             for ta, tb in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(ta, np.uint64), np.frombuffer(tb, np.uint64)
+                x, y = np.frombuffer(ta["tokens"], np.uint64), np.frombuffer(tb["tokens"], np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], schema=verified)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=pair_row).filter(pa.array(linked, pa.bool_()))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """Linked (a, b) of pairs(a, b): prefixes in the other orders must meet, then the sets are compared."""
-        size, sent = named(pairs)
-        some = prefix.select("doc_id", "others").mapInArrow(lambda batches: needed(batches, size, sent), "doc_id long, others array<binary>")
-        met = stored(with_both(pairs, some, "others").mapInArrow(meeting, "a long, b long"))
-        sent.destroy()
-        wide, sent = named(met)
-
-        def tokens(batches: Iterable[pa.RecordBatch], wide: int = wide, sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
-            for ids, sets in _sets(needed(batches, wide, sent), words):
-                rows = [(d, signature(s), s.tobytes()) for d, s in zip(ids, sets, strict=True) if len(s) and d is not None]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(token_row)], schema=token_row)
-
-        some = slim.mapInArrow(tokens, "doc_id long, sig binary, tokens binary")
-        sets = stored(some.join(leads.hint("shuffle_hash"), ["sig", "doc_id"]).dropDuplicates(["doc_id"]).select("doc_id", "tokens"))
-        sent.destroy()
-        out = stored(with_both(met, sets, "tokens").mapInArrow(compare, "a long, b long, linked boolean").where("linked").select("a", "b"))
-        forget(sets)
-        forget(met)
-        return out
+        """Linked (a, b) of pairs(a, b): prefixes in the other orders must meet and bitmaps leave enough, then the sets are compared."""
+        for row, types, describe, passes in ((sketch_row, "doc_id long, sig binary, n long, bits binary, others array<binary>", sketch, meeting), (token_row, "doc_id long, sig binary, tokens binary", lambda s: (s.tobytes(),), compare)):
+            both = with_both(pairs, row, types, describe)
+            pairs = stored(both.mapInArrow(passes, "a long, b long"))
+            for used in both._from:
+                forget(used)
+        return pairs
 
     both = F.least("most", "m")
     near = 100 * both >= percent * (F.col("n") + F.col("n2") - both)
@@ -324,6 +354,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, bits:
         new = verify(pairs)
         links = new if links is None else links.unionByName(new)
         tested = pairs if tested is None else tested.unionByName(pairs)
+    order.destroy()
     forget(index)
     forget(prefix)
     lead = stored(components(links))
