@@ -275,8 +275,9 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, bits:
         sent.destroy()
 
         def side(x: str) -> DataFrame:
-            told = held.join(rule.hint("shuffle_merge"), "doc_id").where("sig = lead").dropDuplicates(["doc_id"])
-            return told.select(F.col("doc_id").alias(x), F.struct(*row.names[2:]).alias(f"of_{x}"))
+            # Not a condition of the join, which would then shuffle by both columns and once more by documents.
+            told = F.first(F.when(F.col("sig") == F.col("lead"), F.struct(*row.names[2:])), ignorenulls=True)
+            return held.join(rule.hint("shuffle_merge"), "doc_id").groupBy(F.col("doc_id").alias(x)).agg(told.alias(f"of_{x}")).where(f"of_{x} is not null")
 
         out = pairs.select("a", "b").join(side("a").hint("shuffle_merge"), "a").join(side("b").hint("shuffle_merge"), "b")
         out._from = [held, rule]
