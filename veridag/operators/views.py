@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.fixpoint import longest
 from ..plans.registry import operator
-from ..plans.staging import staged
+from ..plans.staging import bucketed, staged
 from ..sources.testbed import Library
 from .graph import answered, landing_order, ranks
 
@@ -225,14 +225,15 @@ def entry_rows(lib: Library) -> DataFrame:
 @operator("I21_chain_up", f"with recursive ld as materialized (select ck, b, min(a) as up from ({LOCAL}) q where kind = 'gen' group by ck, b), ch(ck, id, at_, n) as (select ck, id, id, 0 from tb_slices union all select ch.ck, ch.id, ld.up, n + 1 from ch join ld on ld.ck = ch.ck and ld.b = ch.at_ where n < 64) select ck, id, max(n) as steps, max_by(at_, n) as top from ch group by ck, id")
 def chain_up(lib: Library) -> DataFrame:
     """From each slice to the row it is entered by: the first dependent (in binary order) at each step, 64 at most."""
-    up = staged(local_dag(lib).where("kind = 'gen'").groupBy("ck", F.col("b").alias("at")).agg(F.min("a").alias("up")))
-    live = staged(lib.slices.select("ck", "id", F.col("id").alias("at"), F.lit(0).alias("steps")))
+    up = bucketed(local_dag(lib).where("kind = 'gen'").groupBy("ck", F.col("b").alias("at")).agg(F.min("a").alias("up")).select(F.concat_ws(":", "ck", "at").alias("node"), "up"), "node")
+    live = lib.slices.select("ck", "id", F.col("id").alias("at"))
     done = None
     for k in range(1, 65):
-        moved = live.join(up, ["ck", "at"], "left")
-        end = staged(moved.where("up is null").select("ck", "id", F.col("at").alias("top"), "steps"))
+        # Rows are written once a round, ended or not; those that go on are read back, and alone move to their next row's bucket.
+        moved = staged(live.withColumn("node", F.concat_ws(":", "ck", "at")).hint("shuffle_merge").join(up, "node", "left").select("ck", "id", "at", "up"))
+        end = moved.where("up is null").select("ck", "id", F.col("at").alias("top"), F.lit(k - 1).alias("steps"))
         done = end if done is None else done.unionByName(end)
-        live = staged(moved.where("up is not null").select("ck", "id", F.col("up").alias("at"), F.lit(k).alias("steps")))
+        live = moved.where("up is not null").select("ck", "id", F.col("up").alias("at"))
         if live.isEmpty():
             return done
-    return done.unionByName(live.select("ck", "id", F.col("at").alias("top"), "steps"))
+    return done.unionByName(live.select("ck", "id", F.col("at").alias("top"), F.lit(64).alias("steps")))
