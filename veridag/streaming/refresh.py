@@ -35,12 +35,13 @@ def source_fingerprint(lib: Library) -> DataFrame:
     return held.join(F.broadcast(seen), "files").select("rows")  # one row on either side
 
 
-def as_stream(df: DataFrame, files: int = 3) -> DataFrame:
-    """df written to a folder of its own and read as a stream of files."""
+def as_stream(df: DataFrame, batches: int = 3) -> DataFrame:
+    """df written to a folder of its own and read as a stream of files, in so many batches; a batch has as many files as shuffles
+    have partitions, so that neither writing nor reading one is a single task's work."""
     spark = df.sparkSession
-    path = own_folder(spark) + "/in"
-    df.repartition(files).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    path, n = own_folder(spark) + "/in", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(batches * n).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", n).parquet(path)
 
 
 # -- containers --------------------------------------------------------------------------------------
