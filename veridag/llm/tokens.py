@@ -8,7 +8,7 @@ import hashlib
 import itertools
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -121,29 +121,39 @@ class Encoder:
         return out
 
 
+class Kept(dict):
+    """Ids of matches: those of up to LEAF characters are remembered, KEPT of them at most."""
+
+    def __init__(self, encode: Callable[[str], list[int]]):
+        self.encode = encode
+
+    def __missing__(self, match: str) -> tuple[int, ...]:
+        out = tuple(self.encode(match))
+        if len(match) <= LEAF:
+            if len(self) >= KEPT:
+                self.clear()
+            self[match] = out
+        return out
+
+
 class Monoid:
-    """Spans of text under concatenation. A span is the list of the pattern's matches in it and the list of their ids."""
+    """Spans of text under concatenation. A span is the list of the pattern's matches in it and the list of their ids. The
+    first and the last match may lack ids (None): most of them are pieces of words, which a join puts together first."""
 
     def __init__(self, ranks_path: str):
         import public_tokenizers
         import regex
 
         self.encoder = encoder_of(ranks_path)
-        self.matches = regex.compile(public_tokenizers.PATTERN).findall
-        self.kept: dict[str, tuple[int, ...]] = {}
-
-    def ids(self, match: str) -> tuple[int, ...]:
-        if (out := self.kept.get(match)) is None:
-            out = tuple(self.encoder.plain.encode_ordinary(match))
-            if len(match) <= LEAF:
-                if len(self.kept) >= KEPT:
-                    self.kept.clear()
-                self.kept[match] = out
-        return out
+        pattern = regex.compile(public_tokenizers.PATTERN)
+        self.matches, self.first = pattern.findall, pattern.match
+        self.ids = Kept(self.encoder.plain.encode_ordinary).__getitem__
 
-    def leaf(self, text: str) -> tuple[list[str], list[tuple[int, ...]]]:
+    def leaf(self, text: str) -> tuple[list[str], list[tuple[int, ...] | None]]:
         found = self.matches(text)
-        return found, list(map(self.ids, found))
+        if len(found) < 3:
+            return found, [None] * len(found)
+        return found, [None, *map(self.ids, found[1:-1]), None]
 
     def join(self, a: tuple[list, list], b: tuple[list, list]) -> tuple[list, list]:
         """The span of both texts. A match depends on the text from its start alone, and sees the character behind it and
@@ -154,30 +164,39 @@ class Monoid:
         if not left or not right:
             return b if not left else a
         k = len(left) - 1
-        n = len(left[k])
-        while k and n + len(left[k - 1]) < LOOK:
+        tail = left[k]
+        while k and len(tail) < LOOK:
             k -= 1
-            n += len(left[k])
-        tail, m = "".join(left[k:]), 2
+            tail = left[k] + tail
+        m = 2
         while True:
             text = tail + "".join(right[:m])
-            whole, size = m >= len(right), len(text)
-            i, at, end, new = 0, len(tail), 0, []  # b's match i starts at `at`
+            whole, size, seam = m >= len(right), len(text), len(tail)
+            if not whole and size > LOOK and (end := self.first(text).end()) < size and end in (seam, seam + len(right[0])):
+                new, i = [text[:end]], int(end > seam)  # most often one match ends at the seam, or with b's first
+                break
+            i, at, end, new = 0, seam, 0, []  # b's match i starts at `at`
             for match in self.matches(text):
                 start, end = end, end + len(match)
                 if not whole and (end >= size or start + LOOK > size):
+                    at = -1
                     break
                 new.append(match)
                 while at < end and i < len(right):
                     at += len(right[i])
                     i += 1
                 if at == end:
-                    left[k:] = new
-                    left += right[i:]
-                    left_ids[k:] = map(self.ids, new)
-                    left_ids += right_ids[i:]
-                    return left, left_ids
+                    break
+            if at == end:
+                break
             m *= 2
+        if not i and len(right) > 1 and right_ids[0] is None:  # it isn't the first any more
+            right_ids[0] = self.ids(right[0])
+        left[k:] = new
+        left_ids[k:] = map(self.ids, new)
+        left += right[i:]
+        left_ids += right_ids[i:]
+        return left, left_ids
 
     def encode(self, text: str, leaf: int = LEAF) -> list[int]:
         """Halves are encoded recursively down to leaves, and joined up the tree."""
@@ -188,7 +207,11 @@ class Monoid:
             middle = (low + high) // 2
             return self.join(span(low, middle), span(middle, high))
 
-        return list(itertools.chain.from_iterable(span(0, len(text))[1]))
+        matches, ids = span(0, len(text))
+        for i in {0, len(matches) - 1} if matches else ():
+            if ids[i] is None:
+                ids[i] = self.ids(matches[i])
+        return list(itertools.chain.from_iterable(ids))
 
     def decode(self, ids: list[int], leaf: int = LEAF) -> bytes:
         """The bytes of the ids, concatenated up the tree."""
