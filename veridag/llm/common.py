@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..plans.staging import shared_folder
 
 FILTER_BITS = 1 << 27  # 16 MB; beyond its capacity a filter lets more rows through, never fewer
+FEW = 1 << 17  # counted edges whose minima are broadcast at most: some 4 MB
 
 
 def free(df: DataFrame, name: str) -> str:
@@ -136,30 +137,35 @@ def in_filter(keys: np.ndarray, filled: bytes, bits: int) -> np.ndarray:
 # -- connected components ------------------------------------------------------------------------
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int = 60, few: int = FEW) -> DataFrame:
     """(id, component) for every end of links(a, b), where component is the smallest id reachable.
 
     Alternates the two star steps: every vertex points its larger, then its smaller neighbours to the smallest one.
-    Each step is a grouped minimum, combined before the shuffle, and a join that Spark splits where a vertex is hot.
+    Each step is a grouped minimum, combined before the shuffle, and a join that Spark splits where a vertex is hot; minima
+    of at most `few` edges are broadcast, so that edges move once in a round. It ends when all edges form stars.
     Null ends and self links are ignored; an empty input gives an empty result.
     """
     edges = stored(links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    n, hubs = edges.count(), 1
     for _ in range(rounds):
+        if not n or not hubs:
+            break
+        how = "broadcast" if n <= few else "shuffle_merge"
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low.hint("shuffle_merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(low.hint(how), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = large if n <= few else large.distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low.hint("shuffle_merge"), "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        small = large.join(low.hint(how), "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         after = stored(small)
-        now = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         forget(edges)
         edges = after
-        if now == before:
-            break
-        before = now
+        # Stars: no vertex points to two, and none that points is pointed to.
+        ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionAll(edges.select("b", F.lit(0), F.lit(1)))
+        n, hubs = ends.groupBy("v").agg(F.sum("out").alias("out"), F.max("in").alias("in")).agg(F.coalesce(F.sum("out"), F.lit(0)), F.count_if(F.expr("out > 1 or out = 1 and in = 1"))).first()
     else:
-        raise RuntimeError(f"no fixpoint after {rounds} rounds")
+        if hubs:
+            raise RuntimeError(f"no fixpoint after {rounds} rounds")
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
