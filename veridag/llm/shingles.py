@@ -12,13 +12,18 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, SEEN_ARROW, SEEN_SCHEMA, SeenTwice, components, filter_bits, forget, free, in_filter, merged, slices, stored, table
+from .common import FILTER_BITS, SEEN_ARROW, SEEN_SCHEMA, SeenTwice, components, filter_bits, forget, free, in_filter, merged, pieces, slices, stored, table
 
 ORDERS = 3  # token orders; the first one's prefixes are indexed, the others' must meet too
 HEAVY = 1 << 20  # tokens of the table that ranks frequent ones; more of them only make longer candidate lists
 LOCAL = 4  # documents of one task from which a token is counted
 CHUNK = 2 << 20  # tokens that a task counts at once
 BLOCK = 4096  # rows of a block's side: documents under tokens
+DENSE = 64  # pairs for each row of a block, from which on it is compared as a matrix
+LONG = 64  # bytes of the longest words that are hashed eight bytes at a time
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", np.uint8))
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # of the low bytes
 
 
 def mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -28,15 +33,50 @@ def mix(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of the word shingles of each text; none without words, one with fewer words.
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, and where each text's begin in them.
 
     A-Z are lower-cased; words are runs of other characters than space and \\t to \\r."""
-    split = [(t or b"").lower().split() for t in texts.cast(pa.binary()).to_pylist()]  # both know ASCII alone
-    at = np.cumsum([0, *map(len, split)])
-    coded = pa.array([w for ws in split for w in ws], pa.large_binary()).dictionary_encode()
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    all_words = hashes[coded.indices.to_numpy()] if at[-1] else np.zeros(0, np.uint64)
+    held = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    at = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1] if len(held) else np.zeros(1, np.int64)
+    if at[-1] == at[0]:
+        return np.zeros(0, np.uint64), np.zeros(len(held) + 1, np.int64)
+    data = np.frombuffer(held.buffers()[2], np.uint8)[at[0] : at[-1]]
+    low = np.zeros(len(data) + 8, np.uint8)
+    low[:-8] = LOWER[data]
+    inside = ~SPACE[data]
+    at = at - at[0]
+    some = at[:-1][at[:-1] < at[1:]]  # where texts begin that aren't empty: words end there too
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    first[some] = inside[some]
+    last = np.append(first[1:] | ~inside[1:], True) & inside
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    size = end - start
+    eights = np.ndarray(len(data) + 1, "<u8", low, strides=(1,))  # the eight bytes from each place on
+    hashes = mix(size.astype(np.uint64), 71)
+    rows, place, left = slice(None), start, size
+    for _ in range(LONG // 8):
+        hashes[rows] = mix(hashes[rows] ^ (eights[place] & MASKS[np.minimum(left, 8)]), 72)
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            break
+        rows = more if isinstance(rows, slice) else rows[more]
+        place, left = place[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG).tolist():
+        hashes[k] = xxhash.xxh3_64_intdigest(low[start[k] : end[k]])
+    return hashes, np.searchsorted(start, at)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values of x, which it sorts."""
+    x.sort()
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the word shingles of each text; none without words, one with fewer words."""
+    all_words, at = word_hashes(texts)
     out = []
     if len(all_words) >= words:
         rolled = mix(all_words[: len(all_words) - words + 1], 1)
@@ -44,7 +84,7 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
             rolled = mix(rolled + all_words[k : len(all_words) - words + 1 + k], k + 1)
     for a, b in zip(at.tolist(), at[1:].tolist(), strict=False):
         if b - a >= words:
-            out.append(np.unique(rolled[a : b - words + 1]))
+            out.append(distinct(rolled[a : b - words + 1]))
         elif b > a:
             one = mix(all_words[a : a + 1], 77 + b - a)
             for k in range(a + 1, b):
@@ -56,7 +96,7 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
 
 
 def signature(tokens: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(tokens.tobytes())
+    return xxhash.xxh3_128_digest(tokens)
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -69,19 +109,34 @@ class Order:
 
     def __init__(self, tokens: np.ndarray, ranks: np.ndarray):
         self.tokens, self.ranks = tokens, ranks
+        self.held = np.zeros(1 << max(10, min(23, (8 * len(tokens)).bit_length())), bool)  # by tokens' low bits: most tokens aren't frequent
+        self.held[self.low(tokens)] = True
+
+    def low(self, tokens: np.ndarray) -> np.ndarray:
+        return (tokens & np.uint64(len(self.held) - 1)).astype(np.int64)
 
     def rank(self, tokens: np.ndarray) -> np.ndarray:
-        if not len(self.tokens):
-            return np.zeros(len(tokens), np.uint64)
-        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-        return np.where(self.tokens[at] == tokens, self.ranks[at], 0).astype(np.uint64)
+        out = np.zeros(len(tokens), np.uint64)
+        maybe = np.flatnonzero(self.held[self.low(tokens)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.tokens, tokens[maybe]), len(self.tokens) - 1)
+            out[maybe] = np.where(self.tokens[at] == tokens[maybe], self.ranks[at], 0)
+        return out
 
-    def prefix(self, tokens: np.ndarray, ranks: np.ndarray, size: int, order: int) -> np.ndarray:
-        """The first tokens of a set in an order, as 32-bit keys in that order."""
-        key = (ranks << np.uint64(58)) | (mix(tokens, 1000 + order) >> np.uint64(6))
-        at = np.argpartition(key, size - 1)[:size] if size < len(tokens) else np.arange(len(tokens))
-        first = tokens[at[np.argsort(key[at])]]
-        return (first ^ (first >> np.uint64(32))).astype(np.uint32)
+    def prefixes(self, sets: list[np.ndarray], percent: int, orders: Iterable[int]) -> list[list[np.ndarray]]:
+        """The first tokens of each set in each of the orders, as 32-bit keys in that order."""
+        if not sets:
+            return [[] for _ in orders]
+        tokens, ends = np.concatenate(sets), np.cumsum([len(s) for s in sets]).tolist()
+        ranks = self.rank(tokens) << np.uint64(58)
+        out = []
+        for order in orders:
+            keys, first = ranks | (mix(tokens, 1000 + order) >> np.uint64(6)), []
+            for a, b in zip([0, *ends], ends, strict=False):
+                keys[a:b].sort()
+                first.append(keys[a : a + prefix_size(b - a, percent)].astype(np.uint32))
+            out.append(first)
+        return out
 
 
 def filtered(table: pa.Table, percent: int) -> pa.Table:
@@ -108,6 +163,54 @@ def filtered(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids_a[x], pa.int64()), "other": pa.array(ids_b[y], pa.int64())})
 
 
+def filtered_blocks(table: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
+    """filtered() of each of a table's blocks, whose rows are adjacent. What few rows meet is worked out for all blocks at once."""
+    own = table.column("own").to_numpy(zero_copy_only=False)
+    doc, n, c, key, most = (table.column(x).to_numpy() for x in ("doc_id", "n", "c", "key", "most"))
+    start = np.append(0, block_starts(table))
+    rows = np.diff(np.append(start, table.num_rows))
+    block = np.repeat(np.arange(len(start)), rows)
+    token = block << 32 | key.view(np.uint32)
+    mine, others = np.flatnonzero(own), np.flatnonzero(~own)
+    others = others[np.argsort(token[others], kind="stable")]
+    at = np.searchsorted(token[others], token[mine])
+    meets = np.searchsorted(token[others], token[mine], "right") - at
+    dense = np.bincount(block[mine], meets, len(start)) > DENSE * rows
+    for k in np.flatnonzero(dense).tolist():
+        yield from filtered(table.slice(start[k], rows[k]), percent).to_batches()
+    few = np.flatnonzero(~dense[block[mine]] & (meets > 0))
+    mine, at, meets = mine[few], at[few], meets[few]
+    for a, b in pieces(meets.tolist(), CHUNK):
+        size = meets[a:b]
+        x, y = np.repeat(mine[a:b], size), others[np.repeat(at[a:b] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        fine = np.flatnonzero(((100 + percent) * np.minimum(most[x], most[y]) >= percent * (n[x] + n[y])) & (c[x] != c[y]))
+        ends = doc[x[fine]], doc[y[fine]]
+        by = np.lexsort(ends)
+        ends = [e[by] for e in ends]
+        new = np.append(True, (ends[0][1:] != ends[0][:-1]) | (ends[1][1:] != ends[1][:-1])) if len(by) else by
+        yield pa.RecordBatch.from_arrays([pa.array(e[new]) for e in ends], ["doc_id", "other"])
+
+
+def block_starts(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """Where the rows' second and later blocks begin."""
+    x = [rows.column(x).to_numpy() for x in ("leader", "x", "y")]
+    return np.flatnonzero(np.logical_or.reduce([v[1:] != v[:-1] for v in x])) + 1
+
+
+def whole_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows in tables that cut no block in two."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        ends = block_starts(pa.Table.from_batches([*(h.slice(h.num_rows - 1) for h in held[-1:]), batch]))
+        if len(ends):
+            cut = int(ends[-1]) - bool(held)
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held, batch = [], batch.slice(cut)
+        held += [batch] if batch.num_rows else []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def bitmap(tokens: np.ndarray) -> bytes:
     """Four bits or more for each token, a power of two; a token sets the bit that its low bits number."""
     width = max(64, 1 << (4 * len(tokens) - 1).bit_length())
@@ -163,9 +266,10 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, bits:
         held, size, seen = [], 0, set()
 
         def counted() -> pa.RecordBatch:
-            token, count = np.unique(np.concatenate(held), return_counts=True)
-            often = count >= LOCAL
-            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([token[often].view(np.int64)], pa.list_(pa.int64())), pa.array([count[often]], pa.list_(pa.int64()))], schema=first_schema)
+            tokens = np.sort(np.concatenate(held))
+            often = distinct(tokens[LOCAL - 1 :][tokens[LOCAL - 1 :] == tokens[: 1 - LOCAL]])
+            count = np.searchsorted(tokens, often, "right") - np.searchsorted(tokens, often)
+            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([often.view(np.int64)], pa.list_(pa.int64())), pa.array([count], pa.list_(pa.int64()))], schema=first_schema)
 
         for ids, sets in _sets(batches, words):
             sigs = [signature(s) if len(s) else None for s in sets]
@@ -200,7 +304,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, bits:
             for doc, s in zip(ids, sets, strict=True):
                 if len(s) and doc is not None and ((sig := signature(s)) not in best or doc < best[sig][0]):
                     best[sig] = (doc, s)
-            keys = [rule.prefix(s, rule.rank(s), prefix_size(len(s), percent), 0).tobytes() for _, s in best.values()]
+            keys = [k.tobytes() for k in rule.prefixes([s for _, s in best.values()], percent, [0])[0]]
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in best.values()], pa.int64()), pa.array(list(best), pa.binary()), pa.array([len(s) for _, s in best.values()], pa.int64()), pa.array(keys, pa.binary())], schema=prefix_row)
 
     leads = classes.select("sig", F.col("rep").alias("doc_id"))
@@ -250,24 +354,29 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, bits:
             ids = pc.fill_null(batch.column("doc_id"), -1).to_numpy()
             yield batch.take(pa.array(np.flatnonzero(in_filter(mix(ids.astype(np.uint64), 5), wanted.value, size))))
 
-    def described(batches: Iterable[pa.RecordBatch], size: int, wanted: Broadcast, row: pa.Schema, describe: Callable[[np.ndarray], tuple]) -> Iterator[pa.RecordBatch]:
-        """What describe says of the needed documents' sets, once for each document and text of a task."""
-        done = set()
+    def described(batches: Iterable[pa.RecordBatch], size: int, wanted: Broadcast, row: pa.Schema, describe: Callable[[], Callable[[list[np.ndarray]], list[list]]]) -> Iterator[pa.RecordBatch]:
+        """What describe() says of the needed documents' sets, column by column, once for each document and text of a task."""
+        done, told = set(), describe()
         for ids, sets in _sets(needed(batches, size, wanted), words):
-            rows = []
+            new = []
             for d, s in zip(ids, sets, strict=True):
                 if len(s) and d is not None and (at := (d, signature(s))) not in done:
                     done.add(at)
-                    rows.append(at + describe(s))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(row)], schema=row)
+                    new.append((*at, s))
+            columns = [[r[0] for r in new], [r[1] for r in new], *told([r[2] for r in new])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, row, strict=True)], schema=row)
 
-    def sketch(s: np.ndarray) -> tuple:
+    def sketch() -> Callable[[list[np.ndarray]], list[list]]:
         rule = Order(*order.value)
-        ranks, size = rule.rank(s), prefix_size(len(s), percent)
-        return len(s), bitmap(s), [np.unique(rule.prefix(s, ranks, size, k)).tobytes() for k in range(1, ORDERS)]
 
-    def with_both(pairs: DataFrame, row: pa.Schema, types: str, describe: Callable[[np.ndarray], tuple]) -> DataFrame:
-        """pairs(a, b) with what describe says of both ends, as structs of_a and of_b: two joins by document, no other shuffle."""
+        def told(sets: list[np.ndarray]) -> list[list]:
+            others = rule.prefixes(sets, percent, range(1, ORDERS))
+            return [[len(s) for s in sets], [bitmap(s) for s in sets], [[distinct(k).tobytes() for k in keys] for keys in zip(*others, strict=True)]]
+
+        return told
+
+    def with_both(pairs: DataFrame, row: pa.Schema, types: str, describe: Callable[[], Callable[[list[np.ndarray]], list[list]]]) -> DataFrame:
+        """pairs(a, b) with what describe() says of both ends, as structs of_a and of_b: two joins by document, no other shuffle."""
         size, sent = named(pairs)
         held = stored(slim.mapInArrow(lambda batches: described(batches, size, sent, row, describe), types))
         rule = leads.select("doc_id", F.col("sig").alias("lead")).mapInArrow(lambda batches: needed(batches, size, sent), "doc_id long, lead binary")
@@ -302,7 +411,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, bits:
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Linked (a, b) of pairs(a, b): prefixes in the other orders must meet and bitmaps leave enough, then the sets are compared."""
-        for row, types, describe, passes in ((sketch_row, "doc_id long, sig binary, n long, bits binary, others array<binary>", sketch, meeting), (token_row, "doc_id long, sig binary, tokens binary", lambda s: (s.tobytes(),), compare)):
+        for row, types, describe, passes in ((sketch_row, "doc_id long, sig binary, n long, bits binary, others array<binary>", sketch, meeting), (token_row, "doc_id long, sig binary, tokens binary", lambda: lambda sets: [[s.tobytes() for s in sets]], compare)):
             both = with_both(pairs, row, types, describe)
             pairs = stored(both.mapInArrow(passes, "a long, b long"))
             for used in both._from:
@@ -342,7 +451,9 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, bits:
             block = lambda df, own: df.select("leader", "x", "y", F.lit(own).alias("own"), "doc_id", "n", "c", "key", "most")
             down = split.where("apart").withColumns({"x": F.pmod("at", "down"), "y": F.explode(F.sequence(zero, F.col("across") - 1))})
             across = split.withColumns({"x": F.explode(F.sequence(zero, F.col("down") - 1)), "y": F.pmod("at", "across")})
-            pairs = block(down, True).unionByName(block(across, False)).groupBy("leader", "x", "y").applyInArrow(lambda t: filtered(t, percent), "doc_id long, other long")
+            # Not applyInArrow: most blocks have some fifty rows, and a call of Python for each costs more than their pairs.
+            blocks = block(down, True).unionByName(block(across, False)).repartition("leader", "x", "y").sortWithinPartitions("leader", "x", "y")
+            pairs = blocks.mapInArrow(lambda batches: (found for rows in whole_blocks(batches) for found in filtered_blocks(rows, percent)), "doc_id long, other long")
         pairs = pairs.select(*pair).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b").hint("shuffle_merge"), ["a", "b"], "left_anti")
